@@ -115,7 +115,8 @@ def smooth_intervals(df: DataFrame, raw: str = "raw_ms", rule: Smoothing = Smoot
     otherwise each further failure does. Before any target the interval is -1 (no override).
     """
     target = F.col(raw).cast("long")
-    placed = chunks.with_chunk(df, size).withColumn("_target", target)
+    placed = chunks.with_chunk(df, size).withColumns(
+        {"_target": target, "_initial": F.lit(UNSET).cast("long")})
     if failures:
         ok = F.when(F.col("_target").isNotNull(), F.col("step"))
         here = chunks.up_to_here()
@@ -135,10 +136,9 @@ def smooth_intervals(df: DataFrame, raw: str = "raw_ms", rule: Smoothing = Smoot
     else:
         placed = placed.withColumn("_reset", F.lit(False))
 
-    entering = folds.entering_states(
-        placed, _chunk_map(rule), ["_target", "_reset"], UNSET, size)
-    folded = folds.fold_rows(placed, entering, _fold(rule), UNSET,
-                             [T.StructField("smoothed_ms", T.LongType())])
+    entering = folds.entering_states(placed, _chunk_map(rule), ["_target", "_reset"], size=size)
+    folded = folds.fold_rows(
+        placed, entering, _fold(rule), [T.StructField("smoothed_ms", T.LongType())])
     result = folded.drop("_target", "_reset")
     if failures:
         result = result.withColumn("fallback", F.col("failed_run") >= rule.failures)

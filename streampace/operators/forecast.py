@@ -141,18 +141,16 @@ def ensemble(wide: DataFrame, name: str, members: Sequence[str],
              weights: Mapping[str, float] | DataFrame | None = None) -> DataFrame:
     """Add ``pred_<name>``, the weighted mean of the members.
 
-    ``weights`` may be a mapping or a table ``(model, weight)``; a member without one weighs 1. Each
-    weight of a table enters as a scalar subquery, so nothing is joined.
+    ``weights`` may be a mapping or a table ``(model, weight)``, a row per model; a member without one
+    weighs 1. A table enters as one scalar subquery, so nothing is joined.
     """
-    def weight(member: str) -> float | Column:
-        if weights is None:
-            return 1.0
-        if isinstance(weights, DataFrame):
-            one = weights.filter(F.col("model") == member).agg(F.first("weight").alias("w"))
-            return F.coalesce(one.select("w").scalar(), F.lit(1.0))
-        return float(weights.get(member, 1.0))
-
-    return wide.withColumn(f"pred_{name}", weighted_mean({m: weight(m) for m in members}))
+    if isinstance(weights, DataFrame):
+        table = weights.agg(F.map_from_entries(F.collect_list(F.struct("model", "weight"))).alias("m"))
+        known = table.select("m").scalar()
+        by_member = {m: F.coalesce(F.try_element_at(known, F.lit(m)), F.lit(1.0)) for m in members}
+    else:
+        by_member = {m: float((weights or {}).get(m, 1.0)) for m in members}
+    return wide.withColumn(f"pred_{name}", weighted_mean(by_member))
 
 
 # Published ensemble recipes: the recurrent pair, the recommended three, one of each family.

@@ -6,7 +6,7 @@ A trace is a rate series whose steps are ticks of ``tick_ms``. A policy cuts it
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 from functools import reduce
 
 import numpy as np
@@ -90,7 +90,6 @@ def _chain_fold(widths: Sequence[int], size: int):
     bases = [int(b) for b in np.concatenate(([0], np.cumsum(widths)))]
 
     def body(run: pd.DataFrame, state: int) -> tuple[dict[str, Sequence], int]:
-        # Between rows the state is kept as 2-tuple encoded by tick: see ``chain_batches``.
         modes = range(len(widths))
         steps = run["step"].tolist()
         jumps = [run[f"_jump{m}"].tolist() for m in modes]
@@ -112,82 +111,109 @@ def _chain_fold(widths: Sequence[int], size: int):
     return body
 
 
-def _chain_batches(ticks: DataFrame, policy: str, first: int, widths: Sequence[int],
-                   tick_ms: int, size: int) -> DataFrame:
-    """Follow the trigger chain of each trace and sum the ticks of each batch.
+def _chain_batches(ticks: DataFrame, widths: Sequence[int], tick_ms: int,
+                   size: int) -> DataFrame:
+    """Follow the trigger chain of each trace and policy and sum the ticks of each batch.
 
     ``ticks`` has, for every mode ``m`` in which a trigger can be reached, the ticks to the next one
     (``_jump{m}``, at most ``widths[m]``) and the mode that one is reached in (``_mode{m}``). Chains
-    start at tick ``first`` in mode 0.
+    start in mode 0 at tick ``_initial``, which is less than ``widths[0]``.
     """
-    widths = [max(widths[0], first + 1), *widths[1:]]
     if max(widths) > size:
         raise ValueError(f"a jump of {max(widths)} ticks exceeds the chunk size {size}")
+    keys = ("series_id", "policy")
     placed = chunks.with_chunk(ticks, size)
     inputs = [f"_{kind}{m}" for m in range(len(widths)) for kind in ("jump", "mode")]
-    entering = folds.entering_states(placed, _chain_map(widths, size), inputs, first, size)
-    folded = folds.fold_rows(
-        placed.select("series_id", CHUNK, "step", "rate", *inputs), entering,
-        _chain_fold(widths, size), first, [T.StructField("_end", T.LongType())])
-    batches = folded.groupBy("series_id", "_end").agg(
+    entering = folds.entering_states(placed, _chain_map(widths, size), inputs, keys, size)
+    folded = folds.fold_rows(placed, entering, _chain_fold(widths, size),
+                             [T.StructField("_end", T.LongType())], keys)
+    batches = folded.groupBy(*keys, "_end").agg(
         F.sum("rate").alias("_rate"), F.max("step").alias("_last")
     ).filter(F.col("_last") == F.col("_end"))
-    counted = chunks.numbered(
-        batches.select("series_id", F.col("_end").alias("tick"),
+    return chunks.numbered(
+        batches.select(*keys, F.col("_end").alias("tick"),
                        (F.col("_rate") * (tick_ms / 1000)).alias("rows")),
-        "trigger_no", step="tick", size=size)
-    return counted.withColumn("policy", F.lit(policy)).select(*BATCH_COLUMNS)
+        "trigger_no", keys, "tick", size).select(*BATCH_COLUMNS)
 
 
-def adaptive_batches(trace: DataFrame, model: str | Forecaster, tick_ms: int = TICK_MS, k: int = K,
-                     rule: IntervalRule = BACKTEST, size: int = CHUNK_SIZE) -> DataFrame:
-    """Batches of a policy that sets each interval from a forecast.
+def _plan(name: str, first: int, jumps: Sequence[tuple[Column, Column]]) -> Column:
+    fields = [F.lit(name).alias("policy"), F.lit(first).cast("long").alias("_initial")]
+    for m, (jump, mode) in enumerate(jumps):
+        fields += [jump.cast("int").alias(f"_jump{m}"), mode.cast("int").alias(f"_mode{m}")]
+    return F.struct(*fields)
 
-    The first trigger is one second in. At a trigger the forecast from the last ``k`` ticks (the
-    current rate while there are fewer) gives the interval to the next. Forecasts and jumps of all
-    ticks are computed side by side; only following the jumps is ordered.
-    """
-    name = model if isinstance(model, str) else model.name
-    windows = predict_all(with_window(trace, k, size=size), [model], k)
-    forecast = F.when(F.col("ready"), F.col(f"pred_{name}")).otherwise(F.col("rate"))
-    ticks = windows.select(
-        "series_id", "step", "rate",
-        ticks_of(interval_ms(forecast, rule=rule), tick_ms).alias("_jump0"),
-        F.lit(0).alias("_mode0"))
-    return _chain_batches(
-        ticks, f"adaptive_{name}", _half_even_ticks(FIRST_TRIGGER_MS, tick_ms),
-        [_half_even_ticks(rule.max_ms, tick_ms)], tick_ms, size)
 
+def _ticks(rows: DataFrame, plans: Sequence[Column]) -> DataFrame:
+    """One row per tick and policy."""
+    return rows.select("series_id", "step", "rate", F.inline(F.array(*plans)))
 
-def reactive_batches(trace: DataFrame, threshold: float = 200.0, normal_ms: int = 2000,
-                     burst_ms: int = 500, tick_ms: int = TICK_MS,
+
+def _adaptive_ticks(trace: DataFrame, models: Sequence[str | Forecaster], tick_ms: int, k: int,
+                    rule: IntervalRule, modes: int, size: int) -> DataFrame:
+    windows = predict_all(with_window(trace, k, size=size), models, k)
+    first = _half_even_ticks(FIRST_TRIGGER_MS, tick_ms)
+    plans = []
+    for model in models:
+        name = model if isinstance(model, str) else model.name
+        forecast = F.when(F.col("ready"), F.col(f"pred_{name}")).otherwise(F.col("rate"))
+        jump = ticks_of(interval_ms(forecast, rule=rule), tick_ms)
+        plans.append(_plan(f"adaptive_{name}", first, [(jump, F.lit(0))] * modes))
+    return _ticks(windows, plans)
+
+
+def _adaptive_width(tick_ms: int, rule: IntervalRule) -> int:
+    return max(_half_even_ticks(rule.max_ms, tick_ms),
+               _half_even_ticks(FIRST_TRIGGER_MS, tick_ms) + 1)
+
+
+def adaptive_batches(trace: DataFrame, models: str | Forecaster | Sequence[str | Forecaster],
+                     tick_ms: int = TICK_MS, k: int = K, rule: IntervalRule = BACKTEST,
                      size: int = CHUNK_SIZE) -> DataFrame:
-    """Batches of a policy that shortens the interval after a batch above ``threshold`` rows.
+    """Batches of policies that set each interval from a forecast, one policy per model.
 
-    It reacts one batch late: the batch that shows the burst was still cut at the old interval. A
-    trigger reached in either mode has summed that mode's number of ticks, so the next jump follows
-    from two rolling sums, and the chain has two modes.
+    The first trigger is one second in. At a trigger the forecast from the last ``k`` ticks (the
+    current rate while there are fewer) gives the interval to the next. Forecasts and jumps of all
+    ticks are computed side by side; only following the jumps is ordered. Traces begin at step 0.
     """
-    spans = [_half_even_ticks(normal_ms, tick_ms), _half_even_ticks(burst_ms, tick_ms)]
-    # The very first batch holds one tick more.
-    first = F.sum("rate")
+    chosen = [models] if isinstance(models, (str, Forecaster)) else list(models)
+    ticks = _adaptive_ticks(trace, chosen, tick_ms, k, rule, 1, size)
+    return _chain_batches(ticks, [_adaptive_width(tick_ms, rule)], tick_ms, size)
+
 
+def _reactive_ticks(trace: DataFrame, threshold: float, spans: Sequence[int], tick_ms: int,
+                    size: int) -> DataFrame:
     def sums(_, order) -> dict[str, Column]:
         cols = {f"_sum{m}": F.sum("rate").over(order.rowsBetween(-(p - 1), 0))
                 for m, p in enumerate(spans)}
-        cols["_opening"] = first.over(order.rowsBetween(-spans[0], 0))
+        # The very first batch holds one tick more.
+        cols["_opening"] = F.sum("rate").over(order.rowsBetween(-spans[0], 0))
         return cols
 
     summed = over_frame(trace, -spans[0], 0, sums, size).withColumn(
         "_sum0", F.when(F.col("step") == spans[0], F.col("_opening")).otherwise(F.col("_sum0")))
-    jumps = {}
+    jumps = []
     for m in (0, 1):
         burst = F.col(f"_sum{m}") * (tick_ms / 1000) > threshold
-        jumps[f"_jump{m}"] = F.when(burst, F.lit(spans[1])).otherwise(F.lit(spans[0]))
-        jumps[f"_mode{m}"] = F.when(burst, F.lit(1)).otherwise(F.lit(0))
-    ticks = summed.withColumns(jumps).select(
-        "series_id", "step", "rate", "_jump0", "_mode0", "_jump1", "_mode1")
-    return _chain_batches(ticks, "reactive", spans[0], spans, tick_ms, size)
+        jumps.append((F.when(burst, spans[1]).otherwise(spans[0]), F.when(burst, 1).otherwise(0)))
+    return _ticks(summed, [_plan("reactive", spans[0], jumps)])
+
+
+def _reactive_spans(normal_ms: int, burst_ms: int, tick_ms: int) -> list[int]:
+    return [_half_even_ticks(normal_ms, tick_ms), _half_even_ticks(burst_ms, tick_ms)]
+
+
+def reactive_batches(trace: DataFrame, threshold: float = 200.0, normal_ms: int = 2000,
+                     burst_ms: int = 500, tick_ms: int = TICK_MS,
+                     size: int = CHUNK_SIZE) -> DataFrame:
+    """Batches of a policy that shortens the interval after a batch above ``threshold`` rows.
+
+    It reacts one batch late: the batch that shows the burst was still cut at the old interval. A
+    trigger reached in either mode has summed that mode's number of ticks, so the next jump follows
+    from two rolling sums, and the chain has two modes.
+    """
+    spans = _reactive_spans(normal_ms, burst_ms, tick_ms)
+    ticks = _reactive_ticks(trace, threshold, spans, tick_ms, size)
+    return _chain_batches(ticks, [spans[0] + 1, spans[1]], tick_ms, size)
 
 
 def policy_metrics(batches: DataFrame, tick_ms: int = TICK_MS,
@@ -245,9 +271,6 @@ def order_policies(metrics: DataFrame) -> DataFrame:
     return metrics.orderBy("series_id", ~F.col("policy").startswith("fixed"), "policy")
 
 
-Policy = Callable[[DataFrame], DataFrame]
-
-
 def union_all(parts: Sequence[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
@@ -255,9 +278,19 @@ def union_all(parts: Sequence[DataFrame]) -> DataFrame:
 def compare_policies(trace: DataFrame, models: Sequence[str | Forecaster] = ("ema",),
                      intervals: Sequence[int] = FIXED_INTERVALS_MS, reactive: bool = True,
                      tick_ms: int = TICK_MS, k: int = K, size: int = CHUNK_SIZE) -> DataFrame:
-    """Metrics and savings of fixed, reactive and adaptive policies on every trace."""
-    parts = [fixed_batches(trace, intervals, tick_ms)]
-    parts += [adaptive_batches(trace, m, tick_ms, k, size=size) for m in models]
+    """Metrics and savings of fixed, reactive and adaptive policies on every trace.
+
+    All policies with a trigger chain are followed in the same pass.
+    """
+    parts = [fixed_batches(trace, intervals, tick_ms)] if intervals else []
+    chained, widths = [], [1, 1]
+    if models:
+        chained.append(_adaptive_ticks(trace, models, tick_ms, k, BACKTEST, 2, size))
+        widths[0] = _adaptive_width(tick_ms, BACKTEST)
     if reactive:
-        parts.append(reactive_batches(trace, tick_ms=tick_ms, size=size))
+        spans = _reactive_spans(2000, 500, tick_ms)
+        chained.append(_reactive_ticks(trace, 200.0, spans, tick_ms, size))
+        widths = [max(widths[0], spans[0] + 1), spans[1]]
+    if chained:
+        parts.append(_chain_batches(union_all(chained), widths, tick_ms, size))
     return savings_vs(policy_metrics(union_all(parts), tick_ms, size=size))

@@ -118,7 +118,7 @@ def best_of(report: DataFrame, names: Sequence[str]) -> DataFrame:
 def inverse_error_weights(report: DataFrame) -> DataFrame:
     """Weights ``(model, weight)`` proportional to 1 / MAE."""
     inverse = 1 / F.col("mae")
-    total = report.agg(F.sum(inverse).alias("t")).select("t").scalar()
+    total = F.sum(inverse).over(Window.partitionBy(F.lit(0)))   # a row per model
     return report.select("model", (inverse / total).alias("weight"))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from streampace.functions import rates
 from streampace.plans import chunks
 from streampace.plans.chunks import CHUNK, CHUNK_SIZE
+from streampace.plans.durable import broadcast_if_small
 from streampace.plans.quantiles import exact_quantiles
 from streampace.plans.ranks import dense_index
 
@@ -173,12 +174,14 @@ def rate_summary(series: DataFrame, by: Sequence[str] = ("series_id",)) -> DataF
         {"min": F.min("rate"), "max": F.max("rate"), "mean": F.avg("rate")})
 
 
-def with_split(series: DataFrame, train: float = 0.70, validation: float = 0.15) -> DataFrame:
+def with_split(series: DataFrame, train: float = 0.70, validation: float = 0.15,
+               ids: DataFrame | None = None) -> DataFrame:
     """Column ``split``: the first series (by id) train, the next validate, the rest test.
 
-    Whole series go to one side, so no window of a test series is ever seen in training.
+    Whole series go to one side, so no window of a test series is ever seen in training. ``ids`` may
+    give the column ``series_id`` from a cheaper table than ``series``.
     """
-    index = dense_index(series, "series_id", "_index")
+    index = dense_index(series if ids is None else ids, "series_id", "_index")
     count = index.agg(F.count(F.lit(1)).alias("n")).select("n").scalar()
     n_train = F.floor(count * F.lit(train))
     n_val = F.floor(count * F.lit(validation))
@@ -186,7 +189,7 @@ def with_split(series: DataFrame, train: float = 0.70, validation: float = 0.15)
         "series_id",
         F.when(F.col("_index") < n_train, "train")
         .when(F.col("_index") < n_train + n_val, "val").otherwise("test").alias("split"))
-    return series.join(parts, "series_id")
+    return series.join(broadcast_if_small(parts), "series_id")
 
 
 def recent(df: DataFrame, k: int, keys: Sequence[str] = ("series_id",),

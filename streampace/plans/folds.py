@@ -21,14 +21,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from streampace.plans import chunks
-from streampace.plans.chunks import CHUNK, CHUNK_SIZE
-
-# A chunk's map: state ``starts[i]`` and those up to the next start leave as ``ends[i]``. An empty map
-# is the identity.
-MAP_SCHEMA = "series_id string, _chunk long, starts array<long>, ends array<long>"
+from streampace.plans.chunks import CHUNK, CHUNK_SIZE, KEYS
 
 ChunkMap = Callable[[pd.DataFrame], tuple[Sequence[int], Sequence[int]]]
-Apply = Callable[[int, np.ndarray, np.ndarray], int]
 
 
 def look_up(state: int, starts: np.ndarray, ends: np.ndarray) -> int:
@@ -38,65 +33,70 @@ def look_up(state: int, starts: np.ndarray, ends: np.ndarray) -> int:
     return int(ends[max(int(np.searchsorted(starts, state, side="right")) - 1, 0)])
 
 
-def entering_states(rows: DataFrame, chunk_map: ChunkMap, columns: Sequence[str], initial: int,
-                    size: int = CHUNK_SIZE) -> DataFrame:
-    """``(series_id, _chunk, _enter)`` for every chunk that follows another one.
+def entering_states(rows: DataFrame, chunk_map: ChunkMap, columns: Sequence[str],
+                    keys: Sequence[str] = KEYS, size: int = CHUNK_SIZE) -> DataFrame:
+    """``(*keys, _chunk, _enter)`` for every chunk that follows another one.
 
-    ``rows`` carries the chunk column; ``chunk_map`` gets the rows of one chunk in step order.
+    ``rows`` carries the chunk column and the string ``keys``; column ``_initial`` is the state in
+    which a series begins. ``chunk_map`` gets the rows of one chunk in step order and returns starts
+    and ends: states from ``starts[i]`` up to the next start leave as ``ends[i]``; an empty map is the
+    identity.
     """
-    whole = Window.partitionBy("series_id", CHUNK)
-    followed = rows.select("series_id", CHUNK, "step", *columns).withColumn(
+    keys = list(keys)
+    ids = ", ".join(f"{k} string" for k in keys) + f", {CHUNK} long"
+    whole = Window.partitionBy(*keys, CHUNK)
+    followed = rows.select(*keys, CHUNK, "step", "_initial", *columns).withColumn(
         "_end", F.max("step").over(whole)
     ).filter(F.col("_end") == (F.col(CHUNK) + 1) * size - 1).drop("_end")
 
     def summarise(part: pd.DataFrame) -> pd.DataFrame:
-        starts, ends = chunk_map(part.sort_values("step"))
-        return pd.DataFrame({
-            "series_id": [part["series_id"].iloc[0]], CHUNK: [part[CHUNK].iloc[0]],
-            "starts": [list(starts)], "ends": [list(ends)]})
+        part = part.sort_values("step")
+        starts, ends = chunk_map(part)
+        head = part[[*keys, CHUNK, "_initial"]].head(1)
+        return head.assign(starts=[list(starts)], ends=[list(ends)])
 
     def chain(maps: pd.DataFrame) -> pd.DataFrame:
         maps = maps.sort_values(CHUNK)
-        state, out = initial, []
+        state, out = int(maps["_initial"].iloc[0]), []
         for starts, ends in zip(maps["starts"], maps["ends"]):
             state = look_up(state, np.asarray(starts), np.asarray(ends))
             out.append(state)
-        return pd.DataFrame({
-            "series_id": maps["series_id"], CHUNK: maps[CHUNK] + 1, "_enter": out})
+        return maps[keys].assign(**{CHUNK: maps[CHUNK] + 1, "_enter": out})
 
-    maps = followed.groupBy("series_id", CHUNK).applyInPandas(summarise, MAP_SCHEMA)
-    return maps.groupBy("series_id").applyInPandas(
-        chain, "series_id string, _chunk long, _enter long")
+    maps = followed.groupBy(*keys, CHUNK).applyInPandas(
+        summarise, f"{ids}, _initial long, starts array<long>, ends array<long>")
+    return maps.groupBy(*keys).applyInPandas(chain, f"{ids}, _enter long")
 
 
-FoldBody = Callable[[pd.DataFrame, int | None], tuple[dict[str, Sequence], int]]
+FoldBody = Callable[[pd.DataFrame, int], tuple[dict[str, Sequence], int]]
 
 
-def fold_rows(rows: DataFrame, entering: DataFrame, body: FoldBody, initial: int,
-              added: Sequence[T.StructField]) -> DataFrame:
+def fold_rows(rows: DataFrame, entering: DataFrame, body: FoldBody,
+              added: Sequence[T.StructField], keys: Sequence[str] = KEYS) -> DataFrame:
     """Fold every chunk from its entering state and add the columns ``added``.
 
     ``body(run, state)`` gets consecutive rows of one chunk and the state before them, and returns
     the new columns and the state after them. Arrow batches may cut a chunk; the state goes along.
     """
-    placed = chunks.ordered(rows.join(entering, ["series_id", CHUNK], "left"))
-    keep = [f for f in placed.schema.fields if f.name not in (CHUNK, "_enter", "_row")]
-    schema = T.StructType(keep + list(added))
+    known = rows.join(entering, [*keys, CHUNK], "left").withColumn(
+        "_state", F.coalesce("_enter", "_initial"))
+    placed = chunks.ordered(known, keys)
+    hidden = (CHUNK, "_enter", "_initial", "_state", "_row")
+    schema = T.StructType([f for f in placed.schema.fields if f.name not in hidden] + list(added))
     names = [f.name for f in schema.fields]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        state = initial
+        state = 0
         for batch in batches:
             if batch.empty:
                 continue
-            starts = np.flatnonzero(batch["_row"].to_numpy() == 1)
-            edges = [0, *starts[starts > 0], len(batch)]
+            numbers, states = batch["_row"].to_numpy(), batch["_state"].to_numpy()
+            first = np.flatnonzero(numbers == 1)
+            edges = [0, *first[first > 0], len(batch)]
             pieces: list[dict[str, Sequence]] = []
-            first_rows = batch["_row"].to_numpy()
-            enters = batch["_enter"].to_numpy(dtype="float64", na_value=np.nan)
             for a, b in zip(edges, edges[1:]):
-                if first_rows[a] == 1:
-                    state = initial if np.isnan(enters[a]) else int(enters[a])
+                if numbers[a] == 1:
+                    state = int(states[a])
                 columns, state = body(batch.iloc[a:b], state)
                 pieces.append(columns)
             fresh = {f.name: np.concatenate([np.asarray(p[f.name]) for p in pieces])

@@ -1,8 +1,9 @@
-"""Exact quantiles of large groups without collecting a group.
+"""Exact quantiles of groups of any size.
 
-``percentile`` keeps every distinct value of a group in one task. Here a bounded sketch first brackets
-each wanted rank; rows below the bracket collapse to one count, rows above are dropped, and only the
-few values inside are ordered, split further by equal-width slots.
+``percentile`` keeps every distinct value of a group in one task, so it serves only when a first pass
+has shown that all groups are small. Otherwise the same pass has bracketed each wanted rank by a
+bounded sketch: rows below a bracket collapse to one count, rows above are dropped, and only the few
+values inside are ordered, split further by equal-width slots.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from streampace.plans.durable import broadcast_if_small, durable
 ACCURACY = 2_000      # sketch rank error is n / ACCURACY
 MARGIN = 5            # bracket half-width, in sketch errors
 SLOTS = 1_024         # equal-width slots inside a bracket
-SMALL_GROUP = 20_000  # groups up to this many rows need no bracket
+SMALL_GROUP = 1_000_000  # rows up to which one task may hold a group
 
 
 def _literals(values: Sequence[float]) -> Column:
@@ -26,14 +27,16 @@ def _literals(values: Sequence[float]) -> Column:
 
 def exact_quantiles(df: DataFrame, by: Sequence[str], value: str,
                     quantiles: Mapping[str, float],
-                    extra: Mapping[str, Column] | None = None) -> DataFrame:
+                    extra: Mapping[str, Column] | None = None,
+                    small_group: int = SMALL_GROUP) -> DataFrame:
     """Linear-interpolation quantiles per group, one column per name in ``quantiles``.
 
     ``extra`` holds further aggregates of the same groups, computed in the first pass. Null values
     are ignored by the quantiles.
     """
     if not by:
-        whole = exact_quantiles(df.withColumn("_all", F.lit(0)), ["_all"], value, quantiles, extra)
+        whole = exact_quantiles(df.withColumn("_all", F.lit(0)), ["_all"], value, quantiles, extra,
+                                small_group)
         return whole.drop("_all")
     extra = dict(extra or {})
     names = list(quantiles)
@@ -45,38 +48,38 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], value: str,
     first = df.groupBy(*by).agg(
         *[agg.alias(name) for name, agg in extra.items()],
         F.count(value).alias("_n"),
-        F.min(value).alias("_min"),
-        F.max(value).alias("_max"),
-        F.percentile_approx(value, _literals(low), ACCURACY).alias("_low"),
-        F.percentile_approx(value, _literals(high), ACCURACY).alias("_high"),
+        F.min(value).cast("double").alias("_min"),
+        F.max(value).cast("double").alias("_max"),
+        F.percentile_approx(F.col(value).cast("double"), _literals(low + high), ACCURACY)
+        .alias("_ends"),
     )
     # The sketch depends on the order of merging: fix it once, so that all later passes agree.
     stored = durable(first)
+    back = [F.col(c).eqNullSafe(F.col(f"_g{j}")) for j, c in enumerate(by)]
+    groups = [F.col(c).alias(f"_g{j}") for j, c in enumerate(by)]
+
+    if stored.filter(F.col("_n") > small_group).isEmpty():
+        small = df.groupBy(*groups).agg(
+            F.percentile(F.col(value).cast("double"), _literals(probs)).alias("_p"))
+        answers = small.select(
+            *[f"_g{j}" for j in range(len(by))],
+            *[F.col("_p")[i].alias(n) for i, n in enumerate(names)])
+        return stored.join(answers, back, "left").select(*by, *extra, *names)
 
-    # A group small enough to sort in one slot is taken whole; otherwise ends of the range stay open.
     brackets = []
     for i, (p, lo, hi) in enumerate(zip(probs, low, high)):
-        small = F.col("_n") <= SMALL_GROUP
-        rank = F.lit(p) * (F.col("_n") - 1)
         brackets.append(F.struct(
             F.lit(i).alias("i"),
-            rank.alias("rank"),
-            (F.col("_min") if lo == 0.0 else
-             F.when(small, F.col("_min")).otherwise(F.col("_low")[i])).alias("lo"),
-            (F.col("_max") if hi == 1.0 else
-             F.when(small, F.col("_max")).otherwise(F.col("_high")[i])).alias("hi"),
+            (F.lit(p) * (F.col("_n") - 1)).alias("rank"),
+            (F.col("_min") if lo == 0.0 else F.col("_ends")[i]).alias("lo"),
+            (F.col("_max") if hi == 1.0 else F.col("_ends")[len(probs) + i]).alias("hi"),
         ))
-    wanted = stored.select(
-        *[F.col(c).alias(f"_g{j}") for j, c in enumerate(by)],
-        F.array(*brackets).alias("_brackets"),
-    ).filter(F.size("_brackets") > 0)
-    wanted = broadcast_if_small(wanted)
-    same = [F.col(c).eqNullSafe(F.col(f"_g{j}")) for j, c in enumerate(by)]
+    wanted = broadcast_if_small(stored.select(*groups, F.array(*brackets).alias("_brackets")))
     keys = [f"_g{j}" for j in range(len(by))]
 
     rows = df.select(*by, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
     inside = (
-        rows.join(wanted, same)
+        rows.join(wanted, back)
         .select(*keys, "_v", F.explode(F.filter(
             "_brackets", lambda b: F.col("_v") <= b["hi"])).alias("_b"))
         .select(
@@ -125,5 +128,4 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], value: str,
     answers = picked.groupBy(*keys).agg(
         *[F.max(F.when(F.col("_i") == i, checked)).alias(n) for i, n in enumerate(names)])
 
-    back = [F.col(c).eqNullSafe(F.col(k)) for c, k in zip(by, keys)]
     return stored.join(answers, back, "left").select(*by, *extra, *names)

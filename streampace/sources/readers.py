@@ -51,12 +51,18 @@ def read_kafka_batch(spark: SparkSession, servers: str, topic: str,
 
 
 def replay_events(spark: SparkSession, path: str, schema: T.StructType | None = None,
-                  max_files_per_trigger: int = 1, fmt: str = "parquet") -> DataFrame:
-    """Stream recorded events file by file. Files should be written in time order, otherwise a
-    watermark drops rows. Without a schema, that of the stored table is used."""
+                  max_files_per_trigger: int | None = 1, fmt: str = "parquet") -> DataFrame:
+    """Stream a recorded table. Without a schema, that of the stored table is used.
+
+    Read file by file, files should be written in time order, otherwise a watermark drops rows.
+    ``max_files_per_trigger=None`` reads all that is new at each trigger; if another streaming query
+    writes the table, these are whole batches of it.
+    """
     stored = schema or spark.read.format(fmt).load(path).schema
-    return (spark.readStream.format(fmt).schema(stored)
-            .option("maxFilesPerTrigger", max_files_per_trigger).load(path))
+    reader = spark.readStream.format(fmt).schema(stored)
+    if max_files_per_trigger is not None:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    return reader.load(path)
 
 
 def read_results(spark: SparkSession, root: str, schema: T.StructType = LATENCY_SCHEMA) -> DataFrame:

@@ -1,15 +1,21 @@
 """Interval recommendations for a live stream.
 
-Events are first counted per stream and time bucket, with partial counts on the map side, so a hot
-stream sends only one row per bucket into its state. The stateful operator then keeps the last ``k``
-rates, the smoothed interval and the failure count of each stream.
+Two queries follow each other, because Spark allows no arbitrary state after a streaming aggregation:
+
+1. :func:`rate_stream` counts events per stream and time bucket, with partial counts on the map side,
+   and writes each closed bucket once to a table (see ``sinks.to_parquet``);
+2. :func:`recommend_stream` reads that table as a stream, whole batches at a time
+   (``readers.replay_events(..., max_files_per_trigger=None)``), and keeps the last ``k`` rates and the
+   smoothed interval of each stream in its state.
+
+So a hot stream sends one row per bucket into its state, however many events it has.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,13 +32,17 @@ STATE = "last_step long, window array<double>, smoothed long"
 
 
 def rate_stream(events: DataFrame, keys: Sequence[str], bucket_seconds: int, watermark: str,
-                ts: str = "ts") -> DataFrame:
-    """Closed buckets of a stream: ``(series_id, bucket, rate)`` with ``bucket`` an epoch number."""
+                ts: str = "ts", unit_seconds: float | None = None) -> DataFrame:
+    """Closed buckets of a stream: ``(series_id, bucket, rate)`` with ``bucket`` an epoch number.
+
+    ``unit_seconds`` turns counts into rates per that many seconds.
+    """
+    factor = 1.0 if unit_seconds is None else unit_seconds / bucket_seconds
     counted = (
         events.withWatermark(ts, watermark)
         .groupBy(series_key(keys).alias("series_id"),
                  F.window(ts, f"{bucket_seconds} seconds").alias("w"))
-        .agg(F.count(F.lit(1)).cast("double").alias("rate"))
+        .agg((F.count(F.lit(1)).cast("double") * factor).alias("rate"))
     )
     return counted.select(
         "series_id", F.floor(F.unix_seconds("w.start") / bucket_seconds).alias("bucket"), "rate")
@@ -50,13 +60,10 @@ def recommend_stream(rates: DataFrame, alpha: float = 0.3, k: int = K, rule: Int
                      smoothing: Smoothing = Smoothing()) -> DataFrame:
     """Forecast, interval and smoothed interval for every bucket of every stream, in append mode.
 
-    ``rates`` is the output of :func:`rate_stream`. Buckets without events are filled with rate 0
+    ``rates`` streams the table written from :func:`rate_stream`. Buckets without events are filled with rate 0
     from the bucket numbers, since an empty micro-batch calls no function. Until the window is full
     the forecast is its mean, with confidence 0. A bucket that was already passed is ignored.
     """
-    decay = np.array([(1 - alpha) ** (k - 1)] + [alpha * (1 - alpha) ** (k - 1 - i)
-                                                 for i in range(1, k)])
-
     def advance(key: tuple, frames: Iterator[pd.DataFrame],
                 state: GroupState) -> Iterator[pd.DataFrame]:
         last, window, smoothed = state.get if state.exists else (None, [], UNSET)
@@ -71,8 +78,10 @@ def recommend_stream(rates: DataFrame, alpha: float = 0.3, k: int = K, rule: Int
             for step, value in [(bucket - gap + i, 0.0) for i in range(gap)] + [(bucket, rate)]:
                 window = (window + [value])[-k:]
                 full = len(window) == k
-                pred = max(float(decay @ np.asarray(window)), 0.0) if full else float(
-                    np.mean(window))
+                if full:
+                    pred = reduce(lambda acc, v: alpha * v + (1 - alpha) * acc, window)
+                else:
+                    pred = sum(window) / len(window)
                 confidence = 1.0 if full else 0.0
                 raw = _interval(pred, confidence, rule)
                 smoothed = smoothing.step(smoothed, raw)

@@ -47,8 +47,12 @@ def trace(spark: SparkSession, sf: str) -> DataFrame:
     return hourly(spark, sf).withColumn("rate", F.col("rate") * TRACE_SCALE)
 
 
+def user_ids(spark: SparkSession, sf: str) -> DataFrame:
+    return events(spark, sf).select(F.col("user_id").cast("string").alias("series_id")).distinct()
+
+
 def split_users(spark: SparkSession, sf: str) -> DataFrame:
-    return with_split(hourly_by_user(spark, sf))
+    return with_split(hourly_by_user(spark, sf), ids=user_ids(spark, sf))
 
 
 def messages_of(table: DataFrame) -> DataFrame:

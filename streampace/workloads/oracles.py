@@ -321,7 +321,7 @@ ORACLES["shape_error_matrix"] = with_sql(
     TYPES, LABELS, """nx AS (SELECT *, lead(shape) OVER (PARTITION BY series_id ORDER BY step)
   AS next_shape FROM shaped)""", WINDOWS.replace("FROM r WINDOW", "FROM nx WINDOW"), FORECASTS,
     scored_sql(extra="next_shape,"), "SELECT next_shape AS shape, " + ", ".join(
-        f"round(avg(abs_err) FILTER (model = '{n}'), 6) AS mae_{n}" for n in NAMES)
+        f"round(avg(abs_err) FILTER (model = '{n}'), 9) AS mae_{n}" for n in NAMES)
     + " FROM sc GROUP BY 1")
 ORACLES["rolling_report"] = with_sql(TYPES, WINDOWS, FORECASTS, scored_sql(), """
 SELECT model, series_id, step, round(avg(abs_err) OVER f, 6) AS rolling_mae,
@@ -516,3 +516,23 @@ FROM m WHERE event_type <> 'error' GROUP BY 1, 2""")
 ORACLES["stream_progress_dedup"] = with_sql(PROGRESS, """
 SELECT run_id, count(*) AS batches, sum(num_input_rows)::BIGINT AS input_rows FROM p GROUP BY 1""")
 ORACLES["stream_progress_capture"] = "SELECT count(*) AS input_rows FROM events"
+# Closed hours of each type, gaps filled from its first to its last one.
+CLOSED = """
+h AS (SELECT event_type AS series_id, epoch_us(ts) // 3600000000 AS bucket, count(*) AS n FROM events
+  GROUP BY 1, 2 HAVING (epoch_us(min(ts)) // 3600000000 + 1) * 3600000000
+    <= (SELECT max(epoch_us(ts)) FROM events) - 5000000),
+ends AS (SELECT series_id, min(bucket) AS lo, max(bucket) AS hi FROM h GROUP BY 1),
+g AS (SELECT series_id, lo, unnest(range(lo, hi + 1)) AS bucket FROM ends),
+r AS (SELECT g.series_id, g.lo, (g.bucket - g.lo)::BIGINT AS step,
+  coalesce(h.n, 0)::DOUBLE * 60.0::DOUBLE AS rate
+  FROM g LEFT JOIN h ON h.series_id = g.series_id AND h.bucket = g.bucket)"""
+RECOMMENDED = f"""
+pr AS (SELECT series_id, step, lo, rate, CASE WHEN ready THEN {ema_sql(0.3)}
+  ELSE list_sum(win) / len(win) END AS pred, CASE WHEN ready THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END
+  AS confidence FROM w),
+i AS (SELECT series_id, step, rate, {live_sql('pred', 'confidence')} AS raw_ms FROM pr)"""
+ORACLES["stream_recommend"] = with_sql(CLOSED, WINDOWS, RECOMMENDED, smooth_sql(), """
+SELECT s.series_id, s.step + pr.lo AS step, s.rate, round(pr.pred, 6) AS pred, pr.confidence, s.raw_ms,
+  s.smoothed_ms FROM s JOIN pr ON pr.series_id = s.series_id AND pr.step = s.step""", recursive=True)
+ORACLES["stream_agreement"] = with_sql(CLOSED, """
+SELECT count(*) AS same, 0::BIGINT AS different, 0::BIGINT AS live_only, 0::BIGINT AS replay_only FROM r""")

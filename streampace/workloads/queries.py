@@ -15,6 +15,7 @@ from streampace.sources.readers import read_results, replay_events
 from streampace.streaming import recommend, sinks
 from streampace.functions import intervals as fi
 from streampace.functions import messages as fm
+from streampace.plans.durable import durable
 from streampace.session import zoned
 from streampace.workloads import bindings as b
 
@@ -313,7 +314,7 @@ def _validation(spark, sf):
 def ensemble_recipes(spark, sf):
     """Every model and ensemble on the test series; weights come from the validation series."""
     test = b.split_users(spark, sf).filter(F.col("split") == "test")
-    weights = score.inverse_error_weights(_validation(spark, sf))
+    weights = durable(score.inverse_error_weights(_validation(spark, sf)))
     wide = forecast.ensembles(
         forecast.forecasts(test, MODELS), NAMES, weights,
         {"ens_pair": ("ema", "ema_fast"), "ens_top3": ("sma", "ema", "ema_slow"),
@@ -368,7 +369,7 @@ def shape_error_matrix(spark, sf):
     shaped = series.with_next(series.label_steps(rates, b.labels(rates)), "shape", "next_shape")
     wide = forecast.forecasts(shaped, MODELS).withColumn("shape", F.col("next_shape"))
     long = forecast.to_long(wide, NAMES, ("series_id", "step", "shape", "actual", "current"))
-    return rounded(score.shape_matrix(score.score(long), NAMES))
+    return rounded(score.shape_matrix(score.score(long), NAMES), 9)
 
 
 @query
@@ -510,7 +511,7 @@ def policy_fixed_many(spark, sf):
     """All users' traces; a policy too slow to fire within a trace still gets its row."""
     users = b.hourly_by_user(spark, sf)
     intervals = (1000, 100_000)
-    expected = users.select("series_id").distinct().withColumn("policy", F.explode(F.array(
+    expected = b.user_ids(spark, sf).withColumn("policy", F.explode(F.array(
         *[F.lit(f"fixed_{ms}ms") for ms in intervals])))
     metrics = policy.policy_metrics(policy.fixed_batches(users, intervals), expected=expected)
     return rounded(metrics.drop("clearance_triggers", "clearance_s"))
@@ -567,32 +568,37 @@ def stream_progress_dedup(spark, sf):
     folder = b.scratch(spark, "progress")
     b.progress(spark, sf).repartitionByRange("ts").write.parquet(f"{folder}/log")
     # Files written side by side have no order in time: read together, none can come late.
-    log = replay_events(spark, f"{folder}/log", max_files_per_trigger=1_000_000)
+    log = replay_events(spark, f"{folder}/log", max_files_per_trigger=None)
     kept = progress.dedup_progress_stream(log, within="2 hours")
     done = spark.read.parquet(_finish(kept, spark, "dedup"))
     return done.groupBy("run_id").agg(
         F.count(F.lit(1)).alias("batches"), F.sum("num_input_rows").alias("input_rows"))
 
 
+def _recommendations(spark, sf):
+    """Closed hourly buckets are written by one query and read by the stateful one."""
+    rates = recommend.rate_stream(_replay(spark, sf), ["event_type"], b.HOUR, "5 seconds",
+                                  unit_seconds=b.TRACE_SCALE * b.HOUR)
+    stored = replay_events(spark, _finish(rates, spark, "rates"), max_files_per_trigger=None)
+    return spark.read.parquet(_finish(recommend.recommend_stream(stored), spark, "recommend"))
+
+
 @query
 def stream_recommend(spark, sf):
-    rates = recommend.rate_stream(_replay(spark, sf), ["event_type"], b.HOUR, "5 seconds")
-    return rounded(spark.read.parquet(_finish(
-        recommend.recommend_stream(rates), spark, "recommend")))
+    return rounded(_recommendations(spark, sf))
 
 
 @query
 def stream_agreement(spark, sf):
     """Live recommendations against the batch operators on the same rates."""
-    live = spark.read.parquet(_finish(recommend.recommend_stream(recommend.rate_stream(
-        _replay(spark, sf), ["event_type"], b.HOUR, "5 seconds")), spark, "agree"))
+    live = _recommendations(spark, sf)
     base = live.agg(F.min("step").alias("s")).select("s").scalar()
-    rates = live.select("series_id", (F.col("step") - base).alias("step"), "rate")
-    windows = forecast.predict_all(features.with_window(rates), ["ema"])
+    counted = live.withColumn("step", F.col("step") - base)
+    windows = forecast.predict_all(
+        features.with_window(counted.select("series_id", "step", "rate")), ["ema"])
     replay = control.smooth_intervals(control.with_interval(
         forecast.warmup_forecast(windows).drop("win", "mu", "scale"), "pred", "confidence"))
-    return score.agreement(
-        live.withColumn("step", F.col("step") - base), replay, ["series_id", "step"], "smoothed_ms")
+    return score.agreement(counted, replay, ["series_id", "step"], "smoothed_ms")
 
 
 @query
