@@ -1,27 +1,93 @@
-"""Column functions over a window array (oldest value first)."""
+"""Column functions over a window array (oldest value first).
+
+The mean and the deviation of a full window are unrolled expressions, compiled with the rest of the
+stage. Several unrolled folds in one stage exceed what the JVM compiles, and higher-order functions
+are interpreted, so recursive averages and linear maps with many outputs run as array operations on
+whole Arrow batches; all of them in a projection share one transfer of the window.
+"""
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def fold(window: Column, k: int, step: Callable[[Column, Column], Column],
+         start: Column | None = None) -> Column:
+    """Left fold over the ``k`` values of a full window; null if the window is shorter."""
+    values = [F.get(window, F.lit(i)) for i in range(k)]
+    acc = values.pop(0) if start is None else start
+    for value in values:
+        acc = step(acc, value)
+    return acc
+
+
 def mean_of(window: Column) -> Column:
+    """Mean of a window of any length; null when empty."""
     total = F.aggregate(window, F.lit(0.0), lambda acc, v: acc + v)
     return F.when(F.size(window) > 0, total / F.size(window))
 
 
+def full_mean(window: Column, k: int) -> Column:
+    return fold(window, k, lambda acc, v: acc + v) / k
+
+
+def mean_where(ready: Column, window: Column, k: int) -> Column:
+    return F.when(ready, full_mean(window, k)).otherwise(mean_of(window))
+
+
+def deviation_where(ready: Column, window: Column, mu: Column, k: int) -> Column:
+    """Population standard deviation around ``mu``."""
+    def add(acc: Column, v: Column) -> Column:
+        return acc + (v - mu) * (v - mu)
+
+    short = F.aggregate(window, F.lit(0.0), add) / F.size(window)
+    return F.sqrt(F.when(ready, fold(window, k, add, F.lit(0.0)) / k).otherwise(short))
+
+
 def last_of(window: Column) -> Column:
     return F.element_at(window, -1)
 
 
-def ema_of(window: Column, alpha: float | Column, k: int) -> Column:
-    """Exponential average seeded with the oldest value."""
-    a = alpha if isinstance(alpha, Column) else F.lit(float(alpha))
-    return F.aggregate(
-        F.slice(window, 2, k), F.element_at(window, 1), lambda acc, v: a * v + (1 - a) * acc)
+def _on_full_windows(k: int, out: int | None, compute: Callable[[np.ndarray], np.ndarray]):
+    """Arrow UDF that applies ``compute`` to the rows with ``k`` values, as a matrix; others get null.
+
+    ``compute`` returns one number per row, or with ``out`` a row of that many.
+    """
+    @F.arrow_udf("double" if out is None else "array<double>")
+    def apply(windows: pa.Array) -> pa.Array:
+        full = pc.fill_null(pc.equal(pc.list_value_length(windows), k), False)
+        every = len(windows) == (full.true_count or 0)
+        kept = windows if every else windows.filter(full)
+        rows = kept.flatten().to_numpy(zero_copy_only=False).reshape(len(kept), k)
+        result = pa.array(compute(rows).ravel())
+        if out is not None:
+            result = pa.ListArray.from_arrays(
+                pa.array(np.arange(len(kept) + 1, dtype=np.int32) * out), result)
+        if every:
+            return result
+        place = np.cumsum(full.to_numpy(zero_copy_only=False)) - 1
+        return result.take(pa.array(place, mask=~full.to_numpy(zero_copy_only=False)))
+
+    return apply
+
+
+def ema_of(window: Column, alpha: float, k: int) -> Column:
+    """Exponential average of a full window, seeded with the oldest value; else null."""
+    def fold_columns(rows: np.ndarray) -> np.ndarray:
+        columns = np.ascontiguousarray(rows.T)
+        acc = columns[0].copy()
+        for values in columns[1:]:
+            acc = alpha * values + (1 - alpha) * acc
+        return acc
+
+    return _on_full_windows(k, None, fold_columns)(window)
 
 
 def warmup_of(window: Column) -> Column:
@@ -39,34 +105,35 @@ def lag_normalised(window: Column, mu: Column, sd: Column) -> Column:
         window, lambda v: F.when(sd < 1e-6, F.lit(0.0)).otherwise((v - mu) / (sd + 1e-8)))
 
 
-def trend_of(window: Column, k: int, kernel: int = 5) -> Column:
-    """Centred moving average; the first and last ``kernel // 2`` values are repeated at the ends."""
+def moving_average_matrix(k: int, kernel: int = 5) -> np.ndarray:
+    """Centred moving average of ``k`` values; the first and the last ``kernel // 2`` values are
+    repeated at the ends."""
     pad = kernel // 2
-    padded = F.concat(F.slice(window, 1, pad), window, F.slice(window, k - pad + 1, pad))
+    source = [*range(pad), *range(k), *range(k - pad, k)]
+    matrix = np.zeros((k, k))
+    for row in range(k):
+        for column in source[row:row + kernel]:
+            matrix[row, column] += 1 / kernel
+    return matrix
 
-    def averages(p: Column) -> Column:
-        return F.transform(
-            F.sequence(F.lit(1), F.lit(k)),
-            lambda i: F.aggregate(
-                F.slice(p, i, F.lit(kernel)), F.lit(0.0), lambda acc, v: acc + v) / kernel)
 
-    # Bound as a lambda variable, so that the padded window is built once per row.
-    return F.element_at(F.transform(F.array(padded), averages), 1)
+def trend_residual_matrix(k: int, kernel: int = 5) -> np.ndarray:
+    trend = moving_average_matrix(k, kernel)
+    return np.vstack([trend, np.eye(k) - trend])
 
 
-def residual_of(window: Column, trend: Column) -> Column:
-    return F.zip_with(window, trend, lambda v, t: v - t)
-
-
-def low_frequencies(window: Column, k: int, cut: int = 10) -> Column:
+def low_frequency_matrix(k: int, cut: int = 10) -> np.ndarray:
     """Real parts, then imaginary parts, of the first ``cut`` frequencies of the real Fourier
-    transform. Each is one product of the window with a constant wave."""
+    transform."""
     cut = min(cut, k // 2 + 1)
-    waves = [[math.cos(2 * math.pi * f * i / k) for i in range(k)] for f in range(cut)]
-    waves += [[-math.sin(2 * math.pi * f * i / k) for i in range(k)] for f in range(cut)]
-    table = F.array(*[F.array(*[F.lit(v) for v in wave]) for wave in waves])
-    return F.transform(table, lambda wave: F.aggregate(
-        F.zip_with(window, wave, lambda v, w: v * w), F.lit(0.0), lambda acc, v: acc + v))
+    angle = 2 * math.pi * np.outer(np.arange(cut), np.arange(k)) / k
+    return np.vstack([np.cos(angle), -np.sin(angle)])
+
+
+def linear_map(window: Column, matrix: np.ndarray) -> Column:
+    """``matrix @ window`` of a full window; else null."""
+    outputs, k = matrix.shape
+    return _on_full_windows(k, outputs, lambda rows: rows @ matrix.T)(window)
 
 
 def dispersion_confidence(forecasts: list[Column]) -> Column:

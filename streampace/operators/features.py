@@ -28,8 +28,33 @@ def over_frame(series: DataFrame, start: int, end: int,
     return chunks.trim(halo.withColumns(build(order.rowsBetween(start, end), order)), size)
 
 
-def _moments(value: str, frame: WindowSpec, prefix: str = "") -> dict[str, Column]:
-    return {f"{prefix}mu": F.avg(value).over(frame), f"{prefix}sd": F.stddev_pop(value).over(frame)}
+def _moments(df: DataFrame, window: str, k: int, prefix: str = "") -> DataFrame:
+    """Columns ``mu`` and ``sd`` of a window array."""
+    full = F.size(window) == k
+    return df.withColumn(
+        f"{prefix}mu", fw.mean_where(full, F.col(window), k)
+    ).withColumn(
+        f"{prefix}sd", fw.deviation_where(full, F.col(window), F.col(f"{prefix}mu"), k))
+
+
+def _windowed(series: DataFrame, start: int, end: int, lag: bool, following: bool,
+              size: int) -> DataFrame:
+    def build(frame: WindowSpec, order: WindowSpec) -> dict[str, Column]:
+        cols = {"win": F.collect_list("rate").over(frame)}
+        if lag:
+            cols["lag_win"] = F.collect_list("lag").over(frame)
+        if following:
+            cols["actual"] = F.lead("rate").over(order)
+        return cols
+
+    return over_frame(series, start, end, build, size)
+
+
+def _scaled(framed: DataFrame, lag: bool, k: int) -> DataFrame:
+    moments = _moments(framed, "win", k)
+    if lag:
+        moments = _moments(moments, "lag_win", k, "lag_")
+    return moments.withColumn("scale", spread(F.col("mu"), F.col("sd"))).drop("sd")
 
 
 def with_window(series: DataFrame, k: int = K, lag: bool = False, following: bool = False,
@@ -39,19 +64,8 @@ def with_window(series: DataFrame, k: int = K, lag: bool = False, following: boo
     Adds ``win``, ``mu``, ``scale``, ``ready``; with ``lag`` also ``lag_win``, ``lag_mu``, ``lag_sd``;
     with ``following`` the next rate as ``actual``.
     """
-    def build(frame: WindowSpec, order: WindowSpec) -> dict[str, Column]:
-        cols = {"win": F.collect_list("rate").over(frame), **_moments("rate", frame)}
-        if lag:
-            cols |= {"lag_win": F.collect_list("lag").over(frame), **_moments("lag", frame, "lag_")}
-        if following:
-            cols["actual"] = F.lead("rate").over(order)
-        return cols
-
-    framed = over_frame(series, -(k - 1), 0, build, size)
-    return framed.withColumns({
-        "scale": spread(F.col("mu"), F.col("sd")),
-        "ready": F.size("win") == k,
-    }).drop("sd")
+    framed = _windowed(series, -(k - 1), 0, lag, following, size)
+    return _scaled(framed, lag, k).withColumn("ready", F.size("win") == k)
 
 
 def with_norm(windows: DataFrame) -> DataFrame:
@@ -73,14 +87,8 @@ def supervised(series: DataFrame, k: int = K, use_lag: bool = False,
     Both are in the window's mean and scale. ``features`` is ``array<double>``, or with ``use_lag``
     ``array<struct<rate, lag>>``. Columns that the input has besides are kept.
     """
-    def build(frame: WindowSpec, _: WindowSpec) -> dict[str, Column]:
-        cols = {"win": F.collect_list("rate").over(frame), **_moments("rate", frame)}
-        if use_lag:
-            cols |= {"lag_win": F.collect_list("lag").over(frame), **_moments("lag", frame, "lag_")}
-        return cols
-
-    framed = over_frame(series, -k, -1, build, size).filter(F.size("win") == k).withColumn(
-        "scale", spread(F.col("mu"), F.col("sd")))
+    full = _windowed(series, -k, -1, use_lag, False, size).filter(F.size("win") == k)
+    framed = _scaled(full, use_lag, k)
     rates = fw.normalised(F.col("win"), F.col("mu"), F.col("scale"))
     if use_lag:
         lags = fw.lag_normalised(F.col("lag_win"), F.col("lag_mu"), F.col("lag_sd"))
@@ -91,18 +99,19 @@ def supervised(series: DataFrame, k: int = K, use_lag: bool = False,
         "features": features,
         "label": (F.col("rate") - F.col("mu")) / F.col("scale"),
     })
-    return samples.drop("win", "sd", "lag_win", "lag_mu", "lag_sd")
+    return samples.drop("win", "lag_win", "lag_mu", "lag_sd")
 
 
 def trend_residual(windows: DataFrame, column: str = "norm", k: int = K,
                    kernel: int = 5) -> DataFrame:
-    """Columns ``trend`` and ``residual`` of a window array."""
-    return windows.withColumn("trend", fw.trend_of(F.col(column), k, kernel)).withColumn(
-        "residual", fw.residual_of(F.col(column), F.col("trend")))
+    """Columns ``trend`` and ``residual`` of a window array; null until it is full."""
+    both = fw.linear_map(F.col(column), fw.trend_residual_matrix(k, kernel))
+    return windows.withColumn("_both", both).withColumns({
+        "trend": F.slice("_both", 1, k), "residual": F.slice("_both", k + 1, k)}).drop("_both")
 
 
 def spectral(windows: DataFrame, column: str = "norm", k: int = K, cut: int = 10) -> DataFrame:
-    """Column ``spectrum``: real, then imaginary parts of the lowest ``cut`` frequencies."""
-    return windows.withColumn("spectrum", fw.low_frequencies(F.col(column), k, cut))
-
-
+    """Column ``spectrum``: real, then imaginary parts of the lowest ``cut`` frequencies; null
+    until the window is full."""
+    return windows.withColumn(
+        "spectrum", fw.linear_map(F.col(column), fw.low_frequency_matrix(k, cut)))

@@ -48,7 +48,7 @@ def registered() -> list[str]:
 
 
 register("last", lambda win, k: fw.last_of(win))
-register("sma", lambda win, k: fw.mean_of(win))
+register("sma", lambda win, k: fw.full_mean(win, k))
 register("ema", lambda win, k: fw.ema_of(win, 0.3, k))
 
 

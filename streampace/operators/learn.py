@@ -23,8 +23,6 @@ from streampace.operators.features import K
 from streampace.operators.forecast import Forecaster
 from streampace.operators.score import error_report, score
 
-KINDS = ("flat", "trend", "spectral")
-
 
 class WindowFeatures(Transformer, DefaultParamsReadable, DefaultParamsWritable):
     """Turn a window row into the vector ``features`` of one of three kinds.
@@ -46,14 +44,10 @@ class WindowFeatures(Transformer, DefaultParamsReadable, DefaultParamsWritable):
         rows = dataset
         if "norm" not in rows.columns:
             rows = feat.with_norm(rows)
-        norm = F.col("norm")
-        if kind == "trend":
-            trend = fw.trend_of(norm, k)
-            array = F.concat(trend, fw.residual_of(norm, trend))
-        elif kind == "spectral":
-            array = fw.low_frequencies(norm, k)
-        else:
-            array = norm
+        matrices = {"trend": fw.trend_residual_matrix, "spectral": fw.low_frequency_matrix}
+        array = F.col("norm")
+        if kind in matrices:
+            array = fw.linear_map(array, matrices[kind](k))
         if self.getOrDefault(self.lag):
             if "lag_norm" not in rows.columns:
                 rows = feat.with_lag_norm(rows)

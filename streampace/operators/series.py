@@ -19,17 +19,29 @@ def _partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def _steps(spans: DataFrame, keep: Sequence[str], size: int) -> DataFrame:
-    """One row per step of ``[first, last]``, generated chunk by chunk on many tasks."""
-    pieces = spans.select(
-        *keep, "first", "last",
-        F.explode(F.sequence(chunks.chunk_of("first", size), chunks.chunk_of("last", size)))
-        .alias(CHUNK))
-    # A fixed partition count keeps adaptive execution from merging these few but heavy rows.
-    spread = pieces.repartition(_partitions(spans), *keep, CHUNK)
-    return spread.select(*keep, F.explode(F.sequence(
-        F.greatest("first", F.col(CHUNK) * size),
-        F.least("last", (F.col(CHUNK) + 1) * size - 1))).alias("step"))
+def _pieces(spans: DataFrame, size: int) -> DataFrame:
+    """One row per chunk that the steps ``first..last`` touch: ``step`` is the first one in it."""
+    return spans.withColumn(CHUNK, F.explode(F.sequence(
+        chunks.chunk_of("first", size), chunks.chunk_of("last", size)))
+    ).withColumn("step", F.greatest("first", F.col(CHUNK) * size))
+
+
+def _fill(marks: DataFrame, keys: Sequence[str], last: Column, size: int,
+          first_only: Sequence[str]) -> DataFrame:
+    """Repeat each mark until the next one of its chunk; columns ``first_only`` are 0 on repeats.
+
+    Every chunk must begin with a mark. The partition count is fixed, because adaptive execution
+    would merge these few rows without knowing how many they become.
+    """
+    spread = marks.withColumn(CHUNK, chunks.chunk_of("step", size)).repartition(
+        _partitions(marks), *keys, CHUNK)
+    end = F.least((F.col(CHUNK) + 1) * size, last + 1)
+    following = F.coalesce(F.lead("step").over(chunks.in_chunk(keys)), end)
+    filled = spread.withColumn("_next", following - 1).withColumn(
+        "_at", F.explode(F.sequence("step", "_next")))
+    return filled.withColumns({
+        c: F.when(F.col("_at") == F.col("step"), F.col(c)).otherwise(F.lit(0)) for c in first_only
+    }).withColumn("step", F.col("_at")).drop("_at", "_next", CHUNK)
 
 
 def series_key(keys: Sequence[str]) -> Column:
@@ -44,9 +56,9 @@ def rate_series(events: DataFrame, keys: Sequence[str], bucket_seconds: int = 36
     """Events per time bucket and key; buckets without events get rate 0.
 
     Every series covers the buckets between the first and the last event of the table, so ``step`` is
-    dense. Events are counted before the shuffle, and the zeros are added as empty counts rather than
-    by a join: one shuffle, whose keys ``(series_id, step)`` cannot be hot. ``unit_seconds`` turns
-    counts into rates per that many seconds.
+    dense. Events are counted before the first shuffle, and the zeros are filled in after the last
+    one, chunk by chunk: only counts travel, and no key is hot. ``unit_seconds`` turns counts into
+    rates per that many seconds.
     """
     bucket = F.floor(F.unix_micros(ts) / F.lit(bucket_seconds * 1_000_000))
     placed = events.select(series_key(keys).alias("series_id"), bucket.alias("_bucket"))
@@ -57,13 +69,16 @@ def rate_series(events: DataFrame, keys: Sequence[str], bucket_seconds: int = 36
 
     counted = placed.select("series_id", (F.col("_bucket") - start).alias("step"),
                             F.lit(1).cast("long").alias("_n"))
-    spans = by_series.select("series_id", F.lit(0).cast("long").alias("first"),
-                             (end - start).alias("last"))
-    empty = _steps(spans, ["series_id"], size).withColumn("_n", F.lit(0).cast("long"))
-    total = F.sum("_n").cast("double")
+    openings = _pieces(by_series.select(
+        "series_id", F.lit(0).cast("long").alias("first"), (end - start).alias("last")), size)
+    marks = counted.unionByName(
+        openings.select("series_id", "step", F.lit(0).cast("long").alias("_n"))
+    ).groupBy("series_id", "step").agg(F.sum("_n").alias("_n"))
+    filled = _fill(marks, ["series_id"], end - start, size, ["_n"])
+    rate = F.col("_n").cast("double")
     if unit_seconds is not None:
-        total = total * (unit_seconds / bucket_seconds)
-    return counted.unionByName(empty).groupBy("series_id", "step").agg(total.alias("rate"))
+        rate = rate * (unit_seconds / bucket_seconds)
+    return filled.select("series_id", "step", rate.alias("rate"))
 
 
 def reindexed(df: DataFrame, order: str, size: int = CHUNK_SIZE) -> DataFrame:
@@ -121,7 +136,9 @@ def label_steps(series: DataFrame, labels: DataFrame, default: str = "noise",
         F.greatest("start", "_min").alias("first"),
         F.least(F.col("end") - 1, F.col("_max")).alias("last"),
     ).filter("first <= last")
-    covered = _steps(spans, ["series_id", "shape", "_start"], size)
+    covered = _pieces(spans, size).repartition(_partitions(spans), "series_id", CHUNK).select(
+        "series_id", "shape", "_start", F.explode(F.sequence(
+            "step", F.least("last", (F.col(CHUNK) + 1) * size - 1))).alias("step"))
     winner = covered.groupBy("series_id", "step").agg(
         F.max(F.struct("_start", "shape")).alias("_w"))
     shapes = winner.select("series_id", "step", F.col("_w.shape").alias("shape"))
