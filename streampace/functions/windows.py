@@ -1,9 +1,10 @@
 """Column functions over a window array (oldest value first).
 
-The mean and the deviation of a full window are unrolled expressions, compiled with the rest of the
-stage. Several unrolled folds in one stage exceed what the JVM compiles, and higher-order functions
-are interpreted, so recursive averages and linear maps with many outputs run as array operations on
-whole Arrow batches; all of them in a projection share one transfer of the window.
+Spark interprets higher-order functions, and unrolling several folds over a window exceeds what the
+JVM compiles. So recursive averages and linear maps with many outputs run as array operations on whole
+Arrow batches; all of them in a projection share one transfer of the window. Moments come from window
+frames (see ``operators.features``), not from the array: an expression that a lambda refers to would
+be evaluated again for each element.
 """
 
 from __future__ import annotations
@@ -18,16 +19,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def fold(window: Column, k: int, step: Callable[[Column, Column], Column],
-         start: Column | None = None) -> Column:
-    """Left fold over the ``k`` values of a full window; null if the window is shorter."""
-    values = [F.get(window, F.lit(i)) for i in range(k)]
-    acc = values.pop(0) if start is None else start
-    for value in values:
-        acc = step(acc, value)
-    return acc
-
-
 def mean_of(window: Column) -> Column:
     """Mean of a window of any length; null when empty."""
     total = F.aggregate(window, F.lit(0.0), lambda acc, v: acc + v)
@@ -35,20 +26,11 @@ def mean_of(window: Column) -> Column:
 
 
 def full_mean(window: Column, k: int) -> Column:
-    return fold(window, k, lambda acc, v: acc + v) / k
-
-
-def mean_where(ready: Column, window: Column, k: int) -> Column:
-    return F.when(ready, full_mean(window, k)).otherwise(mean_of(window))
-
-
-def deviation_where(ready: Column, window: Column, mu: Column, k: int) -> Column:
-    """Population standard deviation around ``mu``."""
-    def add(acc: Column, v: Column) -> Column:
-        return acc + (v - mu) * (v - mu)
-
-    short = F.aggregate(window, F.lit(0.0), add) / F.size(window)
-    return F.sqrt(F.when(ready, fold(window, k, add, F.lit(0.0)) / k).otherwise(short))
+    """Mean of a full window, unrolled to a compiled sum; null if the window is shorter."""
+    total = F.get(window, F.lit(0))
+    for i in range(1, k):
+        total = total + F.get(window, F.lit(i))
+    return total / k
 
 
 def last_of(window: Column) -> Column:

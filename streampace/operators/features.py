@@ -28,33 +28,23 @@ def over_frame(series: DataFrame, start: int, end: int,
     return chunks.trim(halo.withColumns(build(order.rowsBetween(start, end), order)), size)
 
 
-def _moments(df: DataFrame, window: str, k: int, prefix: str = "") -> DataFrame:
-    """Columns ``mu`` and ``sd`` of a window array."""
-    full = F.size(window) == k
-    return df.withColumn(
-        f"{prefix}mu", fw.mean_where(full, F.col(window), k)
-    ).withColumn(
-        f"{prefix}sd", fw.deviation_where(full, F.col(window), F.col(f"{prefix}mu"), k))
+def _moments(value: str, frame: WindowSpec, prefix: str = "") -> dict[str, Column]:
+    return {f"{prefix}mu": F.avg(value).over(frame), f"{prefix}sd": F.stddev_pop(value).over(frame)}
 
 
 def _windowed(series: DataFrame, start: int, end: int, lag: bool, following: bool,
               size: int) -> DataFrame:
+    """Window arrays and their moments over the frame ``start..end``."""
     def build(frame: WindowSpec, order: WindowSpec) -> dict[str, Column]:
-        cols = {"win": F.collect_list("rate").over(frame)}
+        cols = {"win": F.collect_list("rate").over(frame), **_moments("rate", frame)}
         if lag:
-            cols["lag_win"] = F.collect_list("lag").over(frame)
+            cols |= {"lag_win": F.collect_list("lag").over(frame), **_moments("lag", frame, "lag_")}
         if following:
             cols["actual"] = F.lead("rate").over(order)
         return cols
 
-    return over_frame(series, start, end, build, size)
-
-
-def _scaled(framed: DataFrame, lag: bool, k: int) -> DataFrame:
-    moments = _moments(framed, "win", k)
-    if lag:
-        moments = _moments(moments, "lag_win", k, "lag_")
-    return moments.withColumn("scale", spread(F.col("mu"), F.col("sd"))).drop("sd")
+    framed = over_frame(series, start, end, build, size)
+    return framed.withColumn("scale", spread(F.col("mu"), F.col("sd"))).drop("sd")
 
 
 def with_window(series: DataFrame, k: int = K, lag: bool = False, following: bool = False,
@@ -65,7 +55,7 @@ def with_window(series: DataFrame, k: int = K, lag: bool = False, following: boo
     with ``following`` the next rate as ``actual``.
     """
     framed = _windowed(series, -(k - 1), 0, lag, following, size)
-    return _scaled(framed, lag, k).withColumn("ready", F.size("win") == k)
+    return framed.withColumn("ready", F.size("win") == k)
 
 
 def with_norm(windows: DataFrame) -> DataFrame:
@@ -87,8 +77,7 @@ def supervised(series: DataFrame, k: int = K, use_lag: bool = False,
     Both are in the window's mean and scale. ``features`` is ``array<double>``, or with ``use_lag``
     ``array<struct<rate, lag>>``. Columns that the input has besides are kept.
     """
-    full = _windowed(series, -k, -1, use_lag, False, size).filter(F.size("win") == k)
-    framed = _scaled(full, use_lag, k)
+    framed = _windowed(series, -k, -1, use_lag, False, size).filter(F.size("win") == k)
     rates = fw.normalised(F.col("win"), F.col("mu"), F.col("scale"))
     if use_lag:
         lags = fw.lag_normalised(F.col("lag_win"), F.col("lag_mu"), F.col("lag_sd"))
