@@ -18,6 +18,7 @@ from streampace.plans.durable import broadcast_if_small, durable
 ACCURACY = 2_000      # sketch rank error is n / ACCURACY
 MARGIN = 5            # bracket half-width, in sketch errors
 SLOTS = 1_024         # equal-width slots inside a bracket
+WHOLE_GROUP = 20_000  # groups up to this many rows are not bracketed
 SMALL_GROUP = 1_000_000  # rows up to which one task may hold a group
 
 
@@ -35,9 +36,8 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], value: str,
     are ignored by the quantiles.
     """
     if not by:
-        whole = exact_quantiles(df.withColumn("_all", F.lit(0)), ["_all"], value, quantiles, extra,
-                                small_group)
-        return whole.drop("_all")
+        return exact_quantiles(df.withColumn("_all", F.lit(0)), ["_all"], value, quantiles, extra,
+                               small_group).drop("_all")
     extra = dict(extra or {})
     names = list(quantiles)
     probs = [float(quantiles[n]) for n in names]
@@ -66,13 +66,16 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], value: str,
             *[F.col("_p")[i].alias(n) for i, n in enumerate(names)])
         return stored.join(answers, back, "left").select(*by, *extra, *names)
 
+    # Where a sketch error is not many rows, the neighbouring ranks may lie outside: take the whole.
+    whole = F.col("_n") <= WHOLE_GROUP
     brackets = []
     for i, (p, lo, hi) in enumerate(zip(probs, low, high)):
         brackets.append(F.struct(
             F.lit(i).alias("i"),
             (F.lit(p) * (F.col("_n") - 1)).alias("rank"),
-            (F.col("_min") if lo == 0.0 else F.col("_ends")[i]).alias("lo"),
-            (F.col("_max") if hi == 1.0 else F.col("_ends")[len(probs) + i]).alias("hi"),
+            F.when(whole | F.lit(lo == 0.0), F.col("_min")).otherwise(F.col("_ends")[i]).alias("lo"),
+            F.when(whole | F.lit(hi == 1.0), F.col("_max"))
+            .otherwise(F.col("_ends")[len(probs) + i]).alias("hi"),
         ))
     wanted = broadcast_if_small(stored.select(*groups, F.array(*brackets).alias("_brackets")))
     keys = [f"_g{j}" for j in range(len(by))]
