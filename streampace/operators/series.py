@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from streampace.functions import rates
 from streampace.plans import chunks
 from streampace.plans.chunks import CHUNK, CHUNK_SIZE
-from streampace.plans.durable import broadcast_if_small
+from streampace.plans.durable import broadcast_if_small, durable
 from streampace.plans.quantiles import exact_quantiles
 from streampace.plans.ranks import dense_index
 
@@ -26,59 +26,62 @@ def _pieces(spans: DataFrame, size: int) -> DataFrame:
     ).withColumn("step", F.greatest("first", F.col(CHUNK) * size))
 
 
-def _fill(marks: DataFrame, keys: Sequence[str], last: Column, size: int,
-          first_only: Sequence[str]) -> DataFrame:
-    """Repeat each mark until the next one of its chunk; columns ``first_only`` are 0 on repeats.
-
-    Every chunk must begin with a mark. The partition count is fixed, because adaptive execution
-    would merge these few rows without knowing how many they become.
-    """
-    spread = marks.withColumn(CHUNK, chunks.chunk_of("step", size)).repartition(
-        _partitions(marks), *keys, CHUNK)
-    end = F.least((F.col(CHUNK) + 1) * size, last + 1)
-    following = F.coalesce(F.lead("step").over(chunks.in_chunk(keys)), end)
-    filled = spread.withColumn("_next", following - 1).withColumn(
-        "_at", F.explode(F.sequence("step", "_next")))
-    return filled.withColumns({
-        c: F.when(F.col("_at") == F.col("step"), F.col(c)).otherwise(F.lit(0)) for c in first_only
-    }).withColumn("step", F.col("_at")).drop("_at", "_next", CHUNK)
-
-
 def series_key(keys: Sequence[str]) -> Column:
     if len(keys) == 1:
         return F.col(keys[0]).cast("string")
     return F.concat_ws("|", *[F.col(k).cast("string") for k in keys])
 
 
+def bucket_counts(events: DataFrame, keys: Sequence[str], bucket_seconds: int = 3600,
+                  ts: str = "ts") -> DataFrame:
+    """Events per series and time bucket (an epoch number), only where there are any."""
+    bucket = F.floor(F.unix_micros(ts) / F.lit(bucket_seconds * 1_000_000))
+    return events.groupBy(series_key(keys).alias("series_id"), bucket.alias("bucket")).agg(
+        F.count(F.lit(1)).alias("n"))
+
+
+def filled(counts: DataFrame, size: int = CHUNK_SIZE) -> DataFrame:
+    """``(series_id, step, n)`` for every bucket between the first and the last one of the table.
+
+    One shuffle moves the counts and one opening mark per chunk of a series; the zeros up to the next
+    mark are made after it. The partition count is fixed, because adaptive execution would merge these
+    few rows without knowing how many they become.
+    """
+    span = counts.agg(F.min("bucket").alias("lo"), F.max("bucket").alias("hi"))
+    lo, hi = span.select("lo").scalar(), span.select("hi").scalar()
+    spans = counts.select("series_id").distinct().select(
+        "series_id", F.lit(0).cast("long").alias("first"), (hi - lo).alias("last"))
+    zero = F.lit(0).cast("long").alias("n")
+    marks = counts.select("series_id", (F.col("bucket") - lo).alias("step"), "n").unionByName(
+        _pieces(spans, size).select("series_id", "step", zero))
+    placed = chunks.with_chunk(marks, size).repartition(_partitions(counts), "series_id", CHUNK)
+    once = placed.groupBy("series_id", CHUNK, "step").agg(F.sum("n").alias("n"))
+    end = F.least((F.col(CHUNK) + 1) * size, hi - lo + 1)
+    following = F.coalesce(F.lead("step").over(chunks.in_chunk()), end)
+    steps = once.withColumn("_next", following - 1).withColumn(
+        "_at", F.explode(F.sequence("step", "_next")))
+    return steps.select("series_id", F.col("_at").alias("step"),
+                        F.when(F.col("_at") == F.col("step"), F.col("n")).otherwise(zero).alias("n"))
+
+
 def rate_series(events: DataFrame, keys: Sequence[str], bucket_seconds: int = 3600,
                 ts: str = "ts", unit_seconds: float | None = None,
-                size: int = CHUNK_SIZE) -> DataFrame:
+                size: int = CHUNK_SIZE, store: bool = True) -> DataFrame:
     """Events per time bucket and key; buckets without events get rate 0.
 
     Every series covers the buckets between the first and the last event of the table, so ``step`` is
-    dense. Events are counted before the first shuffle, and the zeros are filled in after the last
-    one, chunk by chunk: only counts travel, and no key is hot. ``unit_seconds`` turns counts into
-    rates per that many seconds.
+    dense. ``unit_seconds`` turns counts into rates per that many seconds.
+
+    The counts, far fewer than the events, are stored in the checkpoint folder: the time span, the
+    list of series and all operators on the result then read them, and the events are scanned once.
+    ``store=False`` leaves everything lazy and scans the events for each use.
     """
-    bucket = F.floor(F.unix_micros(ts) / F.lit(bucket_seconds * 1_000_000))
-    placed = events.select(series_key(keys).alias("series_id"), bucket.alias("_bucket"))
-    by_series = placed.groupBy("series_id").agg(
-        F.min("_bucket").alias("_lo"), F.max("_bucket").alias("_hi"))
-    span = by_series.agg(F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"))
-    start, end = span.select("_lo").scalar(), span.select("_hi").scalar()
-
-    counted = placed.select("series_id", (F.col("_bucket") - start).alias("step"),
-                            F.lit(1).cast("long").alias("_n"))
-    openings = _pieces(by_series.select(
-        "series_id", F.lit(0).cast("long").alias("first"), (end - start).alias("last")), size)
-    marks = counted.unionByName(
-        openings.select("series_id", "step", F.lit(0).cast("long").alias("_n"))
-    ).groupBy("series_id", "step").agg(F.sum("_n").alias("_n"))
-    filled = _fill(marks, ["series_id"], end - start, size, ["_n"])
-    rate = F.col("_n").cast("double")
+    counts = bucket_counts(events, keys, bucket_seconds, ts)
+    steps = filled(durable(counts) if store else counts, size)
+    rate = F.col("n").cast("double")
     if unit_seconds is not None:
         rate = rate * (unit_seconds / bucket_seconds)
-    return filled.select("series_id", "step", rate.alias("rate"))
+    return steps.select("series_id", "step", rate.alias("rate"))
 
 
 def reindexed(df: DataFrame, order: str, size: int = CHUNK_SIZE) -> DataFrame:

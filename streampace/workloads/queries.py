@@ -263,10 +263,12 @@ def lag_norm(spark, sf):
 @query
 def supervised_windows(spark, sf):
     samples = features.supervised(b.split_users(spark, sf))
+    # Bound as a lambda variable, so that the features of a row are made once.
+    summary = F.transform(F.array("features"), lambda x: F.struct(
+        F.element_at(x, 1).alias("oldest"), F.element_at(x, -1).alias("newest"),
+        F.aggregate(x, F.lit(0.0), lambda a, v: a + v * v).alias("power")))
     return rounded(samples.select(
-        "series_id", "step", "split", "label", "mu", "scale",
-        F.element_at("features", 1).alias("oldest"), F.element_at("features", -1).alias("newest"),
-        F.aggregate("features", F.lit(0.0), lambda a, v: a + v * v).alias("power")))
+        "series_id", "step", "split", "label", "mu", "scale", F.inline(summary)))
 
 
 @query
@@ -304,8 +306,8 @@ def tune_ema(spark, sf):
     return rounded(forecast.tune_ema(validation))
 
 
-def _validation(spark, sf):
-    rows = b.split_users(spark, sf).filter(F.col("split") == "val")
+def _validation(split: DataFrame) -> DataFrame:
+    rows = split.filter(F.col("split") == "val")
     return score.error_report(score.score(
         forecast.to_long(forecast.forecasts(rows, MODELS), NAMES)))
 
@@ -313,10 +315,10 @@ def _validation(spark, sf):
 @query
 def ensemble_recipes(spark, sf):
     """Every model and ensemble on the test series; weights come from the validation series."""
-    test = b.split_users(spark, sf).filter(F.col("split") == "test")
-    weights = durable(score.inverse_error_weights(_validation(spark, sf)))
+    split = b.split_users(spark, sf)
+    weights = durable(score.inverse_error_weights(_validation(split)))
     wide = forecast.ensembles(
-        forecast.forecasts(test, MODELS), NAMES, weights,
+        forecast.forecasts(split.filter(F.col("split") == "test"), MODELS), NAMES, weights,
         {"ens_pair": ("ema", "ema_fast"), "ens_top3": ("sma", "ema", "ema_slow"),
          "ens_absent": ("sma", "unknown")})
     names = [*NAMES, "ens_mean", "ens_wtd", "ens_pair", "ens_top3"]
@@ -326,12 +328,12 @@ def ensemble_recipes(spark, sf):
 
 @query
 def ensemble_weights(spark, sf):
-    return rounded(score.inverse_error_weights(_validation(spark, sf)))
+    return rounded(score.inverse_error_weights(_validation(b.split_users(spark, sf))))
 
 
 @query
 def best_of_family(spark, sf):
-    return rounded(score.best_of(_validation(spark, sf), STEADY))
+    return rounded(score.best_of(_validation(b.split_users(spark, sf)), STEADY))
 
 
 @query

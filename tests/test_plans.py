@@ -17,7 +17,7 @@ def plan(df):
 
 
 def test_scan_reads_only_the_columns_used(spark):
-    schemas = re.findall(r"ReadSchema: struct<([^>]*)>", plan(series.rate_series(
+    schemas = re.findall(r"ReadSchema: struct<([^>]*)>", plan(series.bucket_counts(
         b.events(spark, SF), ["event_type"])))
     assert schemas and all({f.split(":")[0] for f in s.split(",")} <= {"ts", "event_type"} for s in schemas)
 
@@ -35,6 +35,14 @@ def test_column_operators_stay_in_the_jvm_and_are_keyed(spark, make_series, buil
     assert "CartesianProduct" not in text and "NestedLoop" not in text
 
 
+def test_events_are_scanned_once(spark):
+    rates = series.rate_series(b.events(spark, SF), ["event_type"])
+    assert "parquet" not in plan(rates)         # the stored counts are read instead
+    assert plan(rates).count("Exchange hashpartitioning(series_id") <= 2
+    lazy = series.rate_series(b.events(spark, SF), ["event_type"], store=False)
+    assert sorted(lazy.collect()) == sorted(rates.collect())
+
+
 def test_windows_are_partitioned_by_chunk(spark, make_series):
     text = plan(features.with_window(make_series({"a": [1, 2, 3]})))
     for spec in re.findall(r"Exchange hashpartitioning\(([^)]*)\)", text):
