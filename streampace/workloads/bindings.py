@@ -32,9 +32,9 @@ def hourly(spark: SparkSession, sf: str) -> DataFrame:
     return rate_series(events(spark, sf), ["event_type"], HOUR)
 
 
-def hourly_by_user(spark: SparkSession, sf: str) -> DataFrame:
-    """One series per user: many series, most of them sparse."""
-    return rate_series(events(spark, sf), ["user_id"], HOUR)
+def hourly_by_user(spark: SparkSession, sf: str, hours: int = 1) -> DataFrame:
+    """One series per user: many series, most of them sparse. ``hours`` is the length of a step."""
+    return rate_series(events(spark, sf), ["user_id"], hours * HOUR)
 
 
 def daily_orders(spark: SparkSession, sf: str) -> DataFrame:
@@ -51,8 +51,8 @@ def user_ids(spark: SparkSession, sf: str) -> DataFrame:
     return events(spark, sf).select(F.col("user_id").cast("string").alias("series_id")).distinct()
 
 
-def split_users(spark: SparkSession, sf: str) -> DataFrame:
-    return with_split(hourly_by_user(spark, sf), ids=user_ids(spark, sf))
+def split_users(spark: SparkSession, sf: str, hours: int = 1) -> DataFrame:
+    return with_split(hourly_by_user(spark, sf, hours), ids=user_ids(spark, sf))
 
 
 def messages_of(table: DataFrame) -> DataFrame:
