@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from streampace.functions.messages import epoch_seconds
 from streampace.operators.series import rate_series, with_split
-from streampace.plans.durable import ensure_checkpoint_dir
+from streampace.plans.durable import new_path
 from streampace.session import load
 
 HOUR = 3600
@@ -115,11 +111,5 @@ def labels(series: DataFrame) -> DataFrame:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh folder for written results: in the checkpoint folder that all executors share, or for
-    a local master in the temporary one."""
-    ensure_checkpoint_dir(spark)
-    if spark.sparkContext.master.startswith("local"):
-        return tempfile.mkdtemp(prefix=f"streampace-{name}-")
-    return os.path.join(spark.sparkContext.getCheckpointDir(), f"{name}-{uuid.uuid4().hex}")
-
-
+    """A fresh folder for written results, in the folder that all executors share."""
+    return new_path(spark, name)
