@@ -40,7 +40,7 @@ def slices(batch: pa.RecordBatch, column: str, most: int = BATCH_BYTES) -> Itera
         yield batch.slice(start)
 
 
-def lookup(left: DataFrame, right: DataFrame, key: str, weight: str) -> DataFrame:
+def lookup(left: DataFrame, right: DataFrame, key: str | list[str], weight: str) -> DataFrame:
     """Inner join of rows with a table that has one row per key.
 
     ``weight`` is the number of left rows of the key. Keys with more than a thousandth of all rows,

@@ -6,10 +6,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from streampace.llm import language_id, token_counts
+from streampace.llm import exact_dedup, language_id, token_counts
 from streampace.llm.common import fold_of, table
 
 
+def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def language_model(docs: DataFrame) -> language_id.Model:
     """Learned from three of four documents, so that the others show the accuracy."""
     return language_id.learn(docs.filter(fold_of("doc_id", 4) != 2))
@@ -28,5 +32,5 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {q.__name__: q for q in (
-    op7_language_id, op8_token_counts,
+    op2_exact_dedup, op7_language_id, op8_token_counts,
 )}

@@ -9,7 +9,8 @@ SF = "/root/testdata/sf0.001"
 
 @pytest.fixture
 def model(spark):
-    rows = [("en", "the thing that is with the other and the"), ("de", "der die das und einheit werden ein"),
+    rows = [("en", "the thing that is with the other and the " * 9999),
+            ("de", "der die das und einheit werden ein " * 9999),
             (None, "ignored"), ("xx", "123"), ("fr", None)]
     return li.learn(spark.createDataFrame(rows, "lang string, text string"))
 
