@@ -67,7 +67,7 @@ def durable(df: DataFrame, name: str = "table") -> DataFrame:
 
 def stored_bytes(stored: DataFrame) -> int:
     """Size in files of a table that :func:`durable` returned."""
-    return int(stored._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(stored._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def broadcast_if_small(stored: DataFrame, max_rows: int = BROADCAST_ROWS,
