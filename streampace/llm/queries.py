@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from streampace.llm import exact_dedup, language_id, simhash, token_counts
+from streampace.llm import decontaminate, exact_dedup, language_id, simhash, token_counts
 from streampace.llm.common import fold_of, table
 
 
@@ -36,6 +36,12 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(docs, width=3, distance=2).drop("kept")
 
 
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.matches(docs, table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {q.__name__: q for q in (
     op2_exact_dedup, op7_language_id, op8_token_counts, op9_simhash,
+    op10_decontaminate,
 )}
