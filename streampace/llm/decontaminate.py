@@ -16,17 +16,18 @@ for each part, so a benchmark of any size can be searched.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from streampace.llm.common import slices
-from streampace.plans.durable import broadcast_if_small, durable
+from streampace.plans.durable import durable
 
 Q = 10
 BUDGET = 0.06
@@ -210,17 +211,19 @@ def matches(docs: DataFrame, benchmark: DataFrame, q: int = Q, share: float = BU
     return out
 
 
+def _clean(shared: Broadcast, q: int, share: float) -> Callable[..., Column]:
+    @F.arrow_udf("boolean")
+    def clean(values: pa.Array) -> pa.Array:
+        p = _prepared(shared.value, q, share)
+        return pa.array([not (t and occurrences(plain(t), p, q)) for t in values.to_pylist()], pa.bool_())
+
+    return clean
+
+
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, q: int = Q, share: float = BUDGET,
                       text: str = "text") -> DataFrame:
     """The rows of ``docs`` in which no passage occurs, with their columns."""
-    out = docs
     for items in parts(benchmark, "item_id", "text"):
         shared = docs.sparkSession.sparkContext.broadcast(tuple(items))
-
-        @F.arrow_udf("boolean")
-        def clean(values: pa.Array, shared=shared) -> pa.Array:
-            p = _prepared(shared.value, q, share)
-            return pa.array([not (t and occurrences(plain(t), p, q)) for t in values.to_pylist()])
-
-        out = out.filter(clean(F.col(text)))
-    return out
+        docs = docs.filter(_clean(shared, q, share)(F.col(text)))
+    return docs
