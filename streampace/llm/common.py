@@ -56,25 +56,23 @@ def lookup(left: DataFrame, right: DataFrame, key: str | list[str], weight: str)
     return left.join(hot, key).unionByName(rest)
 
 
-def running_start(rows: DataFrame, by: Sequence[str], order: Sequence[str], n: str, out: str,
-                  per_bucket: int = 20_000) -> DataFrame:
-    """Column ``out``: the sum of ``n`` over the earlier rows of the same ``by``.
+def running_start(rows: DataFrame, by: Sequence[str], order: Sequence[str], sums: dict[str, str],
+                  tie: Sequence[str] = (), per_bucket: int = 20_000) -> DataFrame:
+    """For each ``out: n`` of ``sums`` a column ``out``: the sum of ``n`` over earlier rows of ``by``.
 
-    The order is by a hash of ``order`` and then by ``order`` itself. A bucket is a range of hashes
-    with about ``per_bucket`` rows, so no window holds a whole group; the sums of the buckets are a
-    small table that is joined on the key of the window. ``rows`` is read three times.
+    The order is by a hash of ``order``, then by ``order`` and ``tie``. A bucket is a range of hashes with
+    about ``per_bucket`` rows, so no window holds a whole group; the sums of the buckets are a small
+    table that is joined on the key of the window. ``rows`` is read three times and should be stored.
     """
-    bits = max(0, (rows.count() // per_bucket).bit_length())
+    bits = max(1, (rows.count() // per_bucket).bit_length())
     hashed = rows.withColumn("_h", F.xxhash64(*order)).withColumn(
-        "_bucket", F.shiftrightunsigned("_h", 64 - bits) if bits else F.lit(0).cast("long"))
-    earlier = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+        "_bucket", F.shiftrightunsigned("_h", 64 - bits))
     keys = [*by, "_bucket"]
-    base = hashed.groupBy(*keys).agg(F.sum(n).alias("_n")).select(
-        *keys, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_base"))
-    ordered = hashed.withColumn("_u", F.shiftrightunsigned("_h", 1))
-    inside = Window.partitionBy(*keys).orderBy("_u", "_h", *order).rowsBetween(
+    earlier = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    base = hashed.groupBy(*keys).agg(*[F.sum(n).alias(f"_sum_{out}") for out, n in sums.items()]).select(
+        *keys, *[F.coalesce(F.sum(f"_sum_{out}").over(earlier), F.lit(0)).alias(f"_base_{out}") for out in sums])
+    inside = Window.partitionBy(*keys).orderBy("_h", *order, *tie).rowsBetween(
         Window.unboundedPreceding, -1)
-    joined = ordered.join(base, keys) if by or bits else ordered.crossJoin(F.broadcast(base))
-    return joined.withColumn(
-        out, F.col("_base") + F.coalesce(F.sum(n).over(inside), F.lit(0))
-    ).drop("_h", "_bucket", "_u", "_base")
+    return hashed.join(base, keys).withColumns(
+        {out: F.col(f"_base_{out}") + F.coalesce(F.sum(n).over(inside), F.lit(0)) for out, n in sums.items()}
+    ).drop("_h", "_bucket", *[f"_base_{out}" for out in sums])

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from streampace.llm import decontaminate, exact_dedup, language_id, simhash, token_counts
+from streampace.llm import decontaminate, exact_dedup, language_id, sharding, simhash, token_counts
 from streampace.llm.common import fold_of, table
 
 
@@ -14,6 +14,10 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign_shards(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def language_model(docs: DataFrame) -> language_id.Model:
     """Learned from three of four documents, so that the others show the accuracy."""
     return language_id.learn(docs.filter(fold_of("doc_id", 4) != 2))
@@ -42,6 +46,6 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {q.__name__: q for q in (
-    op2_exact_dedup, op7_language_id, op8_token_counts, op9_simhash,
+    op2_exact_dedup, op6_sharding, op7_language_id, op8_token_counts, op9_simhash,
     op10_decontaminate,
 )}
