@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from streampace.llm import decontaminate, exact_dedup, language_id, sharding, simhash, token_counts
+from streampace.llm import decontaminate, exact_dedup, language_id, mixing, sharding, simhash, token_counts
 from streampace.llm.common import fold_of, table
 
 
@@ -14,6 +14,11 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return mixing.taken(mixing.mix(docs))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -46,6 +51,6 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {q.__name__: q for q in (
-    op2_exact_dedup, op6_sharding, op7_language_id, op8_token_counts, op9_simhash,
+    op2_exact_dedup, op4_mixing, op6_sharding, op7_language_id, op8_token_counts, op9_simhash,
     op10_decontaminate,
 )}
