@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from streampace.llm import decontaminate, exact_dedup, language_id, mixing, sharding, simhash, token_counts
+from streampace.llm import decontaminate, exact_dedup, language_id, mixing, sharding, simhash, token_counts, toxicity
 from streampace.llm.common import fold_of, table
 
 
@@ -19,6 +19,15 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(mixing.mix(docs))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    model = toxicity.learn(docs, labels.filter(fold_of("doc_id", 5) != 0))
+    return docs.select(
+        "doc_id", (fold_of("doc_id", 5) == 0).alias("held_out"), toxicity.toxicity(docs, model).alias("score")
+    ).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -51,6 +60,6 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {q.__name__: q for q in (
-    op2_exact_dedup, op4_mixing, op6_sharding, op7_language_id, op8_token_counts, op9_simhash,
+    op2_exact_dedup, op4_mixing, op5_toxicity, op6_sharding, op7_language_id, op8_token_counts, op9_simhash,
     op10_decontaminate,
 )}
