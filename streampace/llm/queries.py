@@ -6,10 +6,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from streampace.llm import decontaminate, exact_dedup, language_id, mixing, sharding, simhash, token_counts, toxicity
+from streampace.llm import decontaminate, exact_dedup, language_id, mixing, sharding, simhash, token_counts, toxicity, url_filter
 from streampace.llm.common import fold_of, table
 
 
+RULES = [url_filter.rule(*r.split()) for r in (
+    "allow com/", "block example.com/en/", "allow www.example.com/en/", "block net/es/", "block net/fr/")]
+
+
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url", "html"), RULES)
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -60,6 +68,6 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {q.__name__: q for q in (
-    op2_exact_dedup, op4_mixing, op5_toxicity, op6_sharding, op7_language_id, op8_token_counts, op9_simhash,
+    op1_url_filter, op2_exact_dedup, op4_mixing, op5_toxicity, op6_sharding, op7_language_id, op8_token_counts, op9_simhash,
     op10_decontaminate,
 )}
