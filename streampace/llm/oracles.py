@@ -7,4 +7,12 @@ ORACLES: dict[str, str] = {
         FROM (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
                                        'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)
         WINDOW same AS (PARTITION BY t)""",
+    "op3_warc": """
+        SELECT page_id, strlen(p) AS payload_bytes, sha256(p) AS payload_digest,
+               CASE WHEN strlen(p) >= 100 AND row_number() OVER same > 1 THEN 'revisit' ELSE 'response' END
+                   AS record_type,
+               CASE WHEN strlen(p) >= 100 AND row_number() OVER same > 1 THEN first_value(page_id) OVER same END
+                   AS refers_to
+        FROM (SELECT page_id, coalesce(html, '') AS p FROM pages)
+        WINDOW same AS (PARTITION BY p ORDER BY page_id NULLS LAST)""",
 }

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from streampace.llm import decontaminate, exact_dedup, language_id, mixing, sharding, simhash, token_counts, toxicity, url_filter
+from streampace.llm import decontaminate, exact_dedup, language_id, mixing, sharding, simhash, token_counts, toxicity, url_filter, warc
 from streampace.llm.common import fold_of, table
 
 
@@ -22,6 +22,11 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    captured = warc.capture(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return warc.resolved_pages(spark, warc.deduplicate(spark, captured)).drop("url")
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mixing.taken(mixing.mix(docs))
@@ -68,6 +73,6 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {q.__name__: q for q in (
-    op1_url_filter, op2_exact_dedup, op4_mixing, op5_toxicity, op6_sharding, op7_language_id, op8_token_counts, op9_simhash,
-    op10_decontaminate,
+    op1_url_filter, op2_exact_dedup, op3_warc, op4_mixing, op5_toxicity, op6_sharding,
+    op7_language_id, op8_token_counts, op9_simhash, op10_decontaminate,
 )}
