@@ -5,9 +5,10 @@ thresholds plus one add up to the distance plus one, fingerprints within the dis
 threshold in some partition; a partition with threshold -1 is never probed. How many partitions there
 are, and their thresholds, is chosen by dynamic programming on the candidates and probes expected from
 the bits' statistics over all fingerprints, so larger tables get wider partitions. Candidates of a
-bucket are verified on all bits. Buckets with more than ``BUCKET`` fingerprints make no pairs: there all
-fingerprints are written under every value within half the distance, and those that meet under one value
-are linked to the smallest, which links exactly the same fingerprints in linear work.
+bucket are verified on all bits. In a bucket with more fingerprints than there are values within half the
+distance of one, no pairs are made: there all fingerprints are written under each of these values, and
+those that meet under one are linked to the smallest, which links exactly the same fingerprints in
+linear work.
 
 The search runs on distinct fingerprints, so copies cost nothing. Null and empty texts have fingerprint
 zero and are linked like others. Null ids count as the largest; a component of null ids has a null
@@ -33,7 +34,6 @@ from streampace.plans.durable import broadcast_if_small, durable
 
 BITS = 64
 SEED = 42
-BUCKET = 64
 _LANES = np.uint64(0x0101010101010101)
 
 
@@ -178,7 +178,7 @@ def _flips(bits: list[int], radius: int) -> Column:
     return F.array(*[F.lit(_signed(c)).cast("long") for d in range(radius + 1) for c in combinations(bits, d)])
 
 
-def links(prints: DataFrame, distance: int, bucket: int = BUCKET) -> DataFrame:
+def links(prints: DataFrame, distance: int, bucket: int | None = None) -> DataFrame:
     """Links ``(a, b)`` between distinct stored fingerprints that connect all within ``distance``.
 
     ``distance`` is even. Every link is within the distance; of a crowded bucket only enough links are
@@ -186,6 +186,8 @@ def links(prints: DataFrame, distance: int, bucket: int = BUCKET) -> DataFrame:
     """
     if distance % 2:
         raise ValueError("distance must be even")
+    if bucket is None:
+        bucket = sum(comb(BITS, d) for d in range(distance // 2 + 1))
     total, both = bit_counts(prints)
     plan = allocate(total, both, distance)
     index, probes = [], []
