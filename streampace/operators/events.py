@@ -31,7 +31,7 @@ def event_table(raw: DataFrame, watermark: str = "5 seconds") -> DataFrame:
 
 def with_latency(parsed: DataFrame, process: Column | None = None,
                  truncate_seconds: bool = False) -> DataFrame:
-    """Add ``process_ts``, ``e2e_latency_ms`` and ``broker_latency_ms``.
+    """Add ``process_ts``, ``e2e_latency_ms`` and ``kafka_latency_ms``.
 
     ``process`` defaults to the batch's current time. ``truncate_seconds`` uses whole seconds, which
     biases values by up to a second and can make them negative.
@@ -40,7 +40,7 @@ def with_latency(parsed: DataFrame, process: Column | None = None,
     return parsed.withColumn("process_ts", done).withColumns({
         "e2e_latency_ms": fm.latency_ms(
             F.col("process_ts"), F.col("producer_ts"), truncate_seconds),
-        "broker_latency_ms": fm.latency_ms(
+        "kafka_latency_ms": fm.latency_ms(
             F.col("process_ts"), fm.epoch_seconds(F.col("ingest_ts"), truncate_seconds),
             truncate_seconds),
     })
@@ -49,7 +49,7 @@ def with_latency(parsed: DataFrame, process: Column | None = None,
 def latency_rows(latencies: DataFrame) -> DataFrame:
     """The columns that are written out per event."""
     return latencies.select(
-        "producer_ts", "rate_target", "second", "e2e_latency_ms", "broker_latency_ms")
+        "producer_ts", "rate_target", "second", "e2e_latency_ms", "kafka_latency_ms")
 
 
 def latency_stats(latencies: DataFrame, by: Sequence[str] = ("rate_target",),

@@ -20,6 +20,7 @@ from streampace.operators.features import K, over_frame, with_window
 from streampace.operators.forecast import Forecaster, predict_all
 from streampace.plans import chunks, folds
 from streampace.plans.chunks import CHUNK_SIZE
+from streampace.plans.durable import durable
 
 TICK_MS = 100
 FIRST_TRIGGER_MS = 1000
@@ -280,8 +281,13 @@ def compare_policies(trace: DataFrame, models: Sequence[str | Forecaster] = ("em
                      tick_ms: int = TICK_MS, k: int = K, size: int = CHUNK_SIZE) -> DataFrame:
     """Metrics and savings of fixed, reactive and adaptive policies on every trace.
 
-    All policies with a trigger chain are followed in the same pass.
+    All policies with a trigger chain are followed in the same pass. A policy that never triggers on a
+    trace keeps its row.
     """
+    names = [f"fixed_{ms}ms" for ms in intervals] + [
+        f"adaptive_{m if isinstance(m, str) else m.name}" for m in models] + ["reactive"] * reactive
+    expected = trace.select("series_id").distinct().withColumn(
+        "policy", F.explode(F.array(*[F.lit(n) for n in names])))
     parts = [fixed_batches(trace, intervals, tick_ms)] if intervals else []
     chained, widths = [], [1, 1]
     if models:
@@ -293,4 +299,4 @@ def compare_policies(trace: DataFrame, models: Sequence[str | Forecaster] = ("em
         widths = [max(widths[0], spans[0] + 1), spans[1]]
     if chained:
         parts.append(_chain_batches(union_all(chained), widths, tick_ms, size))
-    return savings_vs(policy_metrics(union_all(parts), tick_ms, size=size))
+    return savings_vs(policy_metrics(durable(union_all(parts), "batches"), tick_ms, expected, size))

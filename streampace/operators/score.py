@@ -32,11 +32,15 @@ def with_actual(predictions: DataFrame, series: DataFrame) -> DataFrame:
 
 
 def error_report(scored: DataFrame, by: Sequence[str] = ("model",)) -> DataFrame:
-    """MAE, RMSE, MAPE, direction accuracy and count per group."""
+    """MAE, RMSE, MAPE, direction accuracy and count per group.
+
+    An idle step (``actual`` 0) makes MAPE huge; ``mape_active`` is the mean over the other steps.
+    """
     return scored.groupBy(*by).agg(
         F.avg("abs_err").alias("mae"),
         F.sqrt(F.avg(F.col("abs_err") * F.col("abs_err"))).alias("rmse"),
         F.avg("mape").alias("mape"),
+        F.avg(F.when(F.col("actual") > 0, F.col("mape"))).alias("mape_active"),
         (F.avg("dir_ok") * 100).alias("dir_acc"),
         F.count(F.lit(1)).alias("n"),
     )

@@ -14,6 +14,8 @@ from streampace.plans.durable import broadcast_if_small, durable
 from streampace.plans.quantiles import exact_quantiles
 from streampace.plans.ranks import dense_index
 
+ROWS_PER_TASK = 4_000_000
+
 
 def _partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -40,23 +42,33 @@ def bucket_counts(events: DataFrame, keys: Sequence[str], bucket_seconds: int =
         F.count(F.lit(1)).alias("n"))
 
 
-def filled(counts: DataFrame, size: int = CHUNK_SIZE) -> DataFrame:
-    """``(series_id, step, n)`` for every bucket between the first and the last one of the table.
+def filled(counts: DataFrame, size: int = CHUNK_SIZE, span: str = "series") -> DataFrame:
+    """``(series_id, step, n)`` for every bucket between the first and the last one of a series.
 
-    One shuffle moves the counts and one opening mark per chunk of a series; the zeros up to the next
-    mark are made after it. The partition count is fixed, because adaptive execution would merge these
-    few rows without knowing how many they become.
+    ``span="table"`` takes the first and last bucket of the whole table for every series, which makes
+    series x span rows. ``counts`` is stored. One shuffle moves the counts and one opening mark per chunk
+    of a series; the zeros up to the next mark are made after it. The partition count follows from the
+    buckets to be made, because adaptive execution would merge these few rows without knowing how many
+    they become.
     """
-    span = counts.agg(F.min("bucket").alias("lo"), F.max("bucket").alias("hi"))
-    lo, hi = span.select("lo").scalar(), span.select("hi").scalar()
-    spans = counts.select("series_id").distinct().select(
-        "series_id", F.lit(0).cast("long").alias("first"), (hi - lo).alias("last"))
+    spans = counts.groupBy("series_id").agg(F.min("bucket").alias("lo"), F.max("bucket").alias("hi"))
+    if span == "table":
+        whole = counts.agg(F.min("bucket").alias("lo"), F.max("bucket").alias("hi"))
+        spans = spans.select("series_id", whole.select("lo").scalar().alias("lo"),
+                             whole.select("hi").scalar().alias("hi"))
+    elif span != "series":
+        raise ValueError(f"unknown span {span!r}")
+    spans = durable(spans.select("series_id", "lo", F.lit(0).cast("long").alias("first"),
+                                 (F.col("hi") - F.col("lo")).alias("last")), "spans")
+    rows = spans.agg(F.coalesce(F.sum(F.col("last") + 1), F.lit(0))).first()[0]
     zero = F.lit(0).cast("long").alias("n")
-    marks = counts.select("series_id", (F.col("bucket") - lo).alias("step"), "n").unionByName(
-        _pieces(spans, size).select("series_id", "step", zero))
-    placed = chunks.with_chunk(marks, size).repartition(_partitions(counts), "series_id", CHUNK)
-    once = placed.groupBy("series_id", CHUNK, "step").agg(F.sum("n").alias("n"))
-    end = F.least((F.col(CHUNK) + 1) * size, hi - lo + 1)
+    known = counts.join(broadcast_if_small(spans), "series_id")
+    marks = known.select("series_id", (F.col("bucket") - F.col("lo")).alias("step"), "n", "last").unionByName(
+        _pieces(spans, size).select("series_id", "step", zero, "last"))
+    parts = max(_partitions(counts), -(-rows // ROWS_PER_TASK))
+    placed = chunks.with_chunk(marks, size).repartition(parts, "series_id", CHUNK)
+    once = placed.groupBy("series_id", CHUNK, "step").agg(F.sum("n").alias("n"), F.max("last").alias("last"))
+    end = F.least((F.col(CHUNK) + 1) * size, F.col("last") + 1)
     following = F.coalesce(F.lead("step").over(chunks.in_chunk()), end)
     steps = once.withColumn("_next", following - 1).withColumn(
         "_at", F.explode(F.sequence("step", "_next")))
@@ -66,18 +78,17 @@ def filled(counts: DataFrame, size: int = CHUNK_SIZE) -> DataFrame:
 
 def rate_series(events: DataFrame, keys: Sequence[str], bucket_seconds: int = 3600,
                 ts: str = "ts", unit_seconds: float | None = None,
-                size: int = CHUNK_SIZE, store: bool = True) -> DataFrame:
+                size: int = CHUNK_SIZE, span: str = "series") -> DataFrame:
     """Events per time bucket and key; buckets without events get rate 0.
 
-    Every series covers the buckets between the first and the last event of the table, so ``step`` is
-    dense. ``unit_seconds`` turns counts into rates per that many seconds.
+    A series covers the buckets between its own first and last event, so ``step`` is dense and one stray
+    event makes one series long, not all; ``span="table"`` gives all series the span of the table.
+    ``unit_seconds`` turns counts into rates per that many seconds.
 
-    The counts, far fewer than the events, are stored in the checkpoint folder: the time span, the
-    list of series and all operators on the result then read them, and the events are scanned once.
-    ``store=False`` leaves everything lazy and scans the events for each use.
+    The counts, far fewer than the events, are stored in the shared folder: the time spans, the list of
+    series and all operators on the result then read them, and the events are scanned once.
     """
-    counts = bucket_counts(events, keys, bucket_seconds, ts)
-    steps = filled(durable(counts) if store else counts, size)
+    steps = filled(durable(bucket_counts(events, keys, bucket_seconds, ts), "counts"), size, span)
     rate = F.col("n").cast("double")
     if unit_seconds is not None:
         rate = rate * (unit_seconds / bucket_seconds)

@@ -35,7 +35,8 @@ def look_up(state: int, starts: np.ndarray, ends: np.ndarray) -> int:
 
 def entering_states(rows: DataFrame, chunk_map: ChunkMap, columns: Sequence[str],
                     keys: Sequence[str] = KEYS, size: int = CHUNK_SIZE) -> DataFrame:
-    """``(*keys, _chunk, _enter)`` for every chunk that follows another one.
+    """``(*keys, _chunk, _enter)`` for every chunk that follows another one; chunks without rows are
+    passed over, so gaps in ``step`` do no harm.
 
     ``rows`` carries the chunk column and the string ``keys``; column ``_initial`` is the state in
     which a series begins. ``chunk_map`` gets the rows of one chunk in step order and returns starts
@@ -43,16 +44,16 @@ def entering_states(rows: DataFrame, chunk_map: ChunkMap, columns: Sequence[str]
     identity.
     """
     keys = list(keys)
-    ids = ", ".join(f"{k} string" for k in keys) + f", {CHUNK} long"
-    whole = Window.partitionBy(*keys, CHUNK)
-    followed = rows.select(*keys, CHUNK, "step", "_initial", *columns).withColumn(
-        "_end", F.max("step").over(whole)
-    ).filter(F.col("_end") == (F.col(CHUNK) + 1) * size - 1).drop("_end")
+    ids = ", ".join(f"{k} string" for k in keys) + f", {CHUNK} long, _next long"
+    later = F.lead(CHUNK).over(Window.partitionBy(*keys).orderBy(CHUNK))
+    followed = chunks.attach_carry(
+        rows.select(*keys, CHUNK, "step", "_initial", *columns), {"_n": F.count(F.lit(1))},
+        lambda *_: {"_next": later}, keys).filter(F.col("_next").isNotNull())
 
     def summarise(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("step")
         starts, ends = chunk_map(part)
-        head = part[[*keys, CHUNK, "_initial"]].head(1)
+        head = part[[*keys, CHUNK, "_next", "_initial"]].head(1)
         return head.assign(starts=[list(starts)], ends=[list(ends)])
 
     def chain(maps: pd.DataFrame) -> pd.DataFrame:
@@ -61,11 +62,11 @@ def entering_states(rows: DataFrame, chunk_map: ChunkMap, columns: Sequence[str]
         for starts, ends in zip(maps["starts"], maps["ends"]):
             state = look_up(state, np.asarray(starts), np.asarray(ends))
             out.append(state)
-        return maps[keys].assign(**{CHUNK: maps[CHUNK] + 1, "_enter": out})
+        return maps[keys].assign(**{CHUNK: maps["_next"], "_enter": out})
 
     maps = followed.groupBy(*keys, CHUNK).applyInPandas(
         summarise, f"{ids}, _initial long, starts array<long>, ends array<long>")
-    return maps.groupBy(*keys).applyInPandas(chain, f"{ids}, _enter long")
+    return maps.groupBy(*keys).applyInPandas(chain, f"{ids.removesuffix(', _next long')}, _enter long")
 
 
 FoldBody = Callable[[pd.DataFrame, int], tuple[dict[str, Sequence], int]]

@@ -11,7 +11,7 @@ LATENCY_SCHEMA = T.StructType([
     T.StructField("rate_target", T.IntegerType()),
     T.StructField("second", T.IntegerType()),
     T.StructField("e2e_latency_ms", T.DoubleType()),
-    T.StructField("broker_latency_ms", T.DoubleType()),
+    T.StructField("kafka_latency_ms", T.DoubleType()),
 ])
 
 

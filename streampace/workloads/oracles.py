@@ -15,12 +15,11 @@ def series_sql(key: str, table: str = "events", ts: str = "ts", seconds: int = 3
     return f"""
 b AS (SELECT {key}::VARCHAR AS series_id, epoch_us({ts}) // {seconds * 1_000_000} AS bucket
       FROM {table}),
-span AS (SELECT min(bucket) AS lo, max(bucket) AS hi FROM b),
-grid AS (SELECT s.series_id, g.step FROM (SELECT DISTINCT series_id FROM b) s,
-         (SELECT unnest(range(0, hi - lo + 1)) AS step, lo FROM span) g),
+span AS (SELECT series_id, min(bucket) AS lo, max(bucket) AS hi FROM b GROUP BY 1),
+grid AS (SELECT series_id, lo, unnest(range(0, hi - lo + 1)) AS step FROM span),
 r AS (SELECT g.series_id, g.step::BIGINT AS step, {rate} AS rate
-      FROM grid g CROSS JOIN span LEFT JOIN b
-        ON b.series_id = g.series_id AND b.bucket = span.lo + g.step GROUP BY 1, 2)"""
+      FROM grid g LEFT JOIN b
+        ON b.series_id = g.series_id AND b.bucket = g.lo + g.step GROUP BY 1, 2)"""
 
 
 TYPES = series_sql("event_type")
@@ -66,11 +65,16 @@ def scored_sql(names=NAMES, source: str = "fc", extra: str = "") -> str:
 
 
 ERRORS = """avg(abs_err) AS mae, sqrt(avg(abs_err * abs_err)) AS rmse, avg(mape) AS mape,
- avg(dir_ok) * 100 AS dir_acc, count(*) AS n"""
+ avg(mape) FILTER (actual > 0) AS mape_active, avg(dir_ok) * 100 AS dir_acc, count(*) AS n"""
+
+
+def rounded_mape(value: str) -> str:
+    return f"CASE WHEN {value} >= 1e5 THEN round({value} / 1e5) * 1e5 ELSE round({value}, 6) END"
 
 
 def rounds(columns: str) -> str:
-    return ", ".join(f"round({c.strip()}, 6) AS {c.strip()}" for c in columns.split(","))
+    return ", ".join(f"{rounded_mape(c) if c.startswith('mape') else f'round({c}, 6)'} AS {c}"
+                     for c in map(str.strip, columns.split(",")))
 
 
 SPLIT = """
@@ -87,7 +91,7 @@ MEASURED = """m AS (SELECT epoch_us(ts) / 1e6::DOUBLE AS producer_ts,
   value AS v, epoch_us(ts) AS us, epoch_us(ts) + round(value * 500)::BIGINT AS ingest_us,
   epoch_us(ts) + round(value * 1000)::BIGINT AS done_us FROM events)"""
 LATENCY = """l AS (SELECT *, (done_us / 1e6::DOUBLE - producer_ts) * 1000 AS e2e_latency_ms,
-  (done_us / 1e6::DOUBLE - ingest_us / 1e6::DOUBLE) * 1000 AS broker_latency_ms FROM m)"""
+  (done_us / 1e6::DOUBLE - ingest_us / 1e6::DOUBLE) * 1000 AS kafka_latency_ms FROM m)"""
 
 ORACLES["parse_messages"] = with_sql(MEASURED, """
 SELECT CASE WHEN ok THEN round(producer_ts, 6) END AS producer_ts,
@@ -98,11 +102,11 @@ SELECT CASE WHEN ok THEN round(producer_ts, 6) END AS producer_ts,
 FROM (SELECT *, event_type <> 'error' AS ok FROM m)""")
 ORACLES["latency_rows"] = with_sql(MEASURED, LATENCY, """
 SELECT round(producer_ts, 6) AS producer_ts, rate_target, second,
-  round(e2e_latency_ms, 6) AS e2e_latency_ms, round(broker_latency_ms, 6) AS broker_latency_ms FROM l""")
+  round(e2e_latency_ms, 6) AS e2e_latency_ms, round(kafka_latency_ms, 6) AS kafka_latency_ms FROM l""")
 ORACLES["latency_rows_truncated"] = with_sql(MEASURED, """
 SELECT round(producer_ts, 6) AS producer_ts, rate_target, second,
   round(((done_us // 1000000)::DOUBLE - producer_ts) * 1000, 6) AS e2e_latency_ms,
-  round(((done_us // 1000000)::DOUBLE - (ingest_us // 1000000)::DOUBLE) * 1000, 6) AS broker_latency_ms
+  round(((done_us // 1000000)::DOUBLE - (ingest_us // 1000000)::DOUBLE) * 1000, 6) AS kafka_latency_ms
 FROM m""")
 ORACLES["latency_stats_exact"] = with_sql(MEASURED, LATENCY, """
 SELECT rate_target, count(*) AS events, round(avg(e2e_latency_ms), 6) AS avg_latency_ms,
@@ -288,8 +292,7 @@ ORACLES["ensemble_recipes"] = with_sql(
     USERS, SPLIT, VALIDATION, W_VAL, FORECASTS, scored_sql(), VAL_REPORT, WEIGHTS, W_ALL,
     FORECASTS.replace("fc AS", "fcu AS").replace("FROM w ", "FROM u "), ENSEMBLES,
     scored_sql(ALL_NAMES, "ens").replace("sc AS", "se AS"), """
-SELECT model, round(avg(abs_err), 6) AS mae, round(sqrt(avg(abs_err * abs_err)), 6) AS rmse,
-  round(avg(dir_ok) * 100, 6) AS dir_acc, count(*) AS n FROM se GROUP BY 1""")
+SELECT model, """ + rounds("mae, rmse, mape, mape_active, dir_acc") + f", n FROM (SELECT model, {ERRORS} FROM se GROUP BY 1)")
 ORACLES["confidence"] = with_sql(TYPES, WINDOWS, FORECASTS, "c AS (SELECT series_id, step, [" + ", ".join(
     f"(pred_{n} - mu) / scale" for n in NAMES) + "] AS z FROM fc)", """
 SELECT series_id, step, round(least(greatest(1 / (1 + sd * 10), 0), 1), 6) AS confidence
@@ -298,16 +301,16 @@ FROM (SELECT series_id, step, sqrt(list_sum(list_transform(z, lambda v: (v - m)
 
 # Error reports -------------------------------------------------------------------------------------
 
-REPORT_COLUMNS = "mae, rmse, mape, dir_acc"
+REPORT_COLUMNS = "mae, rmse, mape, mape_active, dir_acc"
 ORACLES["ema_error_report"] = with_sql(
     USERS, WINDOWS, FORECASTS, scored_sql(),
-    f"rep AS (SELECT model, {ERRORS} FROM sc WHERE actual > 0 GROUP BY 1)",
+    f"rep AS (SELECT model, {ERRORS} FROM sc GROUP BY 1)",
     f"""SELECT model, {rounds(REPORT_COLUMNS)}, n,
   row_number() OVER (ORDER BY rep.mae, model)::INTEGER AS place,
   row_number() OVER (ORDER BY rep.mae, model) = 1 AS is_best FROM rep""")
 ORACLES["error_report_all"] = with_sql(
     USERS, WINDOWS, FORECASTS, scored_sql(), f"rep AS (SELECT model, {ERRORS} FROM sc GROUP BY 1)",
-    f"SELECT model, {rounds('mae, rmse, dir_acc')}, n FROM rep")
+    f"SELECT model, {rounds(REPORT_COLUMNS)}, n FROM rep")
 ORACLES["error_quantiles_by_regime"] = with_sql(
     TICKS, REGIMES, WINDOWS.replace("FROM r WINDOW", "FROM tagged WINDOW"), FORECASTS,
     scored_sql(extra="regimes,"), """
@@ -334,19 +337,19 @@ GROUP BY 1""")
 ORACLES["top_neural"] = with_sql(
     TYPES, WINDOWS, FORECASTS, scored_sql(),
     f"rep AS (SELECT model, {ERRORS} FROM sc WHERE model NOT IN ('sma', 'ema') GROUP BY 1)",
-    f"""SELECT model, {rounds('mae, rmse, dir_acc')}, n,
+    f"""SELECT model, {rounds(REPORT_COLUMNS)}, n,
   row_number() OVER (ORDER BY rep.mae, model)::INTEGER AS place,
   row_number() OVER (ORDER BY rep.mae, model) = 1 AS is_best
 FROM rep QUALIFY row_number() OVER (ORDER BY rep.mae, model) <= 2""")
 ORACLES["predictions_wide"] = with_sql(
     TYPES, WINDOWS, FORECASTS, scored_sql(), "SELECT series_id, step, actual, " + ", ".join(
-        f"round(max({src}) FILTER (model = '{n}'), 6) AS {out}_{n}" for n in NAMES
+        (rounded_mape if out == "mape" else "round({}, 6)".format)(f"max({src}) FILTER (model = '{n}')")
+        + f" AS {out}_{n}" for n in NAMES
         for src, out in (("pred", "pred"), ("abs_err", "abserr"), ("mape", "mape")))
-    + " FROM sc WHERE actual > 0 GROUP BY 1, 2, 3")
-ORACLES["stored_predictions"] = with_sql(USERS, WINDOWS, FORECASTS, scored_sql(("ema",)), """
-SELECT model, round(avg(abs_err), 6) AS mae, round(sqrt(avg(abs_err * abs_err)), 6) AS rmse,
-  round(avg(CASE WHEN sign(pred - cur) = sign(actual - cur) THEN 1 ELSE 0 END) * 100, 6) AS dir_acc,
-  count(*) AS n FROM sc GROUP BY 1""")
+    + " FROM sc GROUP BY 1, 2, 3")
+ORACLES["stored_predictions"] = with_sql(USERS, WINDOWS, FORECASTS, scored_sql(("ema",)), f"""
+SELECT model, {rounds(REPORT_COLUMNS)}, n FROM (SELECT model, {ERRORS} FROM (SELECT * REPLACE (
+  CASE WHEN sign(pred - cur) = sign(actual - cur) THEN 1 ELSE 0 END AS dir_ok) FROM sc) GROUP BY 1)""")
 
 # Intervals -----------------------------------------------------------------------------------------
 
@@ -484,7 +487,9 @@ ORACLES["policy_fixed_many"] = with_sql(
     USERS, f"bt AS ({fixed_sql((1000, 100_000))})", METRICS, """
 SELECT u.series_id, u.policy, coalesce(triggers, 0) AS triggers, coalesce(empty_pct, 0) AS empty_pct,
   coalesce(mean_batch, 0) AS mean_batch, coalesce(throughput, 0) AS throughput,
-  coalesce(peak_backlog, 0) AS peak_backlog
+  coalesce(peak_backlog, 0) AS peak_backlog,
+  coalesce(clearance_triggers, 'Infinity'::DOUBLE) AS clearance_triggers,
+  coalesce(clearance_s, 'Infinity'::DOUBLE) AS clearance_s
 FROM (SELECT DISTINCT series_id, unnest(['fixed_1000ms', 'fixed_100000ms']) AS policy FROM r) u
 LEFT JOIN mt USING (series_id, policy)""")
 EMA_JUMPS = jumps_sql("ema", f"greatest({ema_sql(0.3)}, 0)")

@@ -37,11 +37,11 @@ def test_latency_exact_and_truncated(raw):
     parsed = events.parse_messages(raw)
     exact = events.latency_rows(events.with_latency(parsed, done)).collect()
     assert exact[1]["e2e_latency_ms"] == pytest.approx(1750.0)
-    assert exact[1]["broker_latency_ms"] == pytest.approx(250.0, abs=1e-3)
+    assert exact[1]["kafka_latency_ms"] == pytest.approx(250.0, abs=1e-3)
     assert exact[5]["e2e_latency_ms"] == pytest.approx(-250.0)
     cut = events.latency_rows(events.with_latency(parsed, done, truncate_seconds=True)).collect()
     assert cut[1]["e2e_latency_ms"] == pytest.approx(1000.0)
-    assert cut[1]["broker_latency_ms"] == 0.0
+    assert cut[1]["kafka_latency_ms"] == 0.0
     assert exact[2]["e2e_latency_ms"] is None
     assert events.with_latency(parsed).filter(F.col("e2e_latency_ms") > 0).count() == 3
 

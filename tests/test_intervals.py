@@ -134,3 +134,13 @@ def test_changes_convergence_and_fallback_rate(spark):
 def test_invalid_smoothing_is_refused():
     with pytest.raises(ValueError):
         Smoothing(alpha=0)
+
+
+@pytest.mark.parametrize("size", [2, 4, 8, 32])
+def test_gaps_do_not_change_what_later_chunks_start_from(spark, size):
+    rng = random.Random(4)
+    rows = [("a", i, rng.choice([None, 200, 9000, 26_000])) for i in range(40) if i not in (7, 15, 16, 17, 18, 19, 31)]
+    df = spark.createDataFrame(rows, "series_id string, step long, raw_ms long")
+    cut = control.smooth_intervals(df, size=size).select("step", "smoothed_ms")
+    whole = control.smooth_intervals(df).select("step", "smoothed_ms")
+    assert sorted(cut.collect()) == sorted(whole.collect())

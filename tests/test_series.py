@@ -18,9 +18,24 @@ def events(spark, offsets):
 
 
 @pytest.mark.parametrize("size", [4, 1 << 16])
-def test_rate_series_has_zeros_and_common_span(spark, by_series, size):
+def test_rate_series_covers_its_own_span(spark, by_series, size):
     df = events(spark, {"a": [0, 1, 1.5, 9.9], "b": [3, 19.2], "c": [12]})
     got = by_series(series.rate_series(df, ["key"], 1, size=size), "rate")
+    assert got == {"a": [1, 2] + [0] * 7 + [1], "b": [1] + [0] * 15 + [1], "c": [1]}
+    with pytest.raises(ValueError):
+        series.rate_series(df, ["key"], 1, span="day")
+
+
+def test_one_stray_event_makes_one_series_long(spark):
+    df = events(spark, {str(i): [i] for i in range(10)} | {"old": [-400_000, 5]})
+    counts = series.rate_series(df, ["key"], 1).groupBy("series_id").count().collect()
+    assert {r["count"] for r in counts} == {1, 400_006}
+
+
+@pytest.mark.parametrize("size", [4, 1 << 16])
+def test_rate_series_has_zeros_and_common_span_on_request(spark, by_series, size):
+    df = events(spark, {"a": [0, 1, 1.5, 9.9], "b": [3, 19.2], "c": [12]})
+    got = by_series(series.rate_series(df, ["key"], 1, size=size, span="table"), "rate")
     assert {k: len(v) for k, v in got.items()} == {"a": 20, "b": 20, "c": 20}
     assert got["a"] == [1, 2] + [0] * 7 + [1] + [0] * 10
     assert [i for i, r in enumerate(got["b"]) if r] == [3, 19]
