@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from streampace.functions import messages as fm
-from streampace.plans.quantiles import exact_quantiles
+from streampace.plans.quantiles import SMALL_GROUP, exact_quantiles
 
 PERCENTILES = {"p50_ms": 0.50, "p95_ms": 0.95, "p99_ms": 0.99}
 
@@ -53,14 +53,14 @@ def latency_rows(latencies: DataFrame) -> DataFrame:
 
 
 def latency_stats(latencies: DataFrame, by: Sequence[str] = ("rate_target",),
-                  exact: bool = True) -> DataFrame:
+                  exact: bool = True, small_group: int = SMALL_GROUP) -> DataFrame:
     """Count, mean and p50/p95/p99 latency per group.
 
     ``exact=False`` uses sketches and so also runs on streams, in complete or update mode.
     """
     counts = {"events": F.count(F.lit(1)), "avg_latency_ms": F.avg("e2e_latency_ms")}
     if exact:
-        return exact_quantiles(latencies, list(by), "e2e_latency_ms", PERCENTILES, counts)
+        return exact_quantiles(latencies, list(by), "e2e_latency_ms", PERCENTILES, counts, small_group)
     return latencies.groupBy(*by).agg(
         *[agg.alias(name) for name, agg in counts.items()],
         *[F.percentile_approx("e2e_latency_ms", p).alias(name) for name, p in PERCENTILES.items()])

@@ -55,9 +55,18 @@ class WindowFeatures(Transformer, DefaultParamsReadable, DefaultParamsWritable):
         return rows.withColumn("features", array_to_vector(array))
 
 
-def samples(series: DataFrame, k: int = K, lag: bool = False) -> DataFrame:
-    """Supervised rows with ``norm`` (and ``lag_norm``) arrays and ``label``; other columns are kept."""
-    rows = feat.supervised(series, k, use_lag=lag)
+# Least scale of a label, in units of the rate. A window of zeros has scale 1e-8; the rate that ends such
+# a quiet time would otherwise be a label of 1e8 and outweigh all other rows of the fit.
+LABEL_SCALE = 0.05
+
+
+def samples(series: DataFrame, k: int = K, lag: bool = False, least_scale: float = LABEL_SCALE) -> DataFrame:
+    """Supervised rows with ``norm`` (and ``lag_norm``) arrays and ``label``; other columns are kept.
+
+    Labels are bounded by ``least_scale``; every row is kept, and forecasts are scaled as ever.
+    """
+    rows = feat.supervised(series, k, use_lag=lag).withColumn("label", (F.col("rate") - F.col("mu")) / F.greatest(
+        F.col("scale"), F.lit(float(least_scale))))
     if lag:
         return rows.withColumns({
             "norm": F.col("features.rate"), "lag_norm": F.col("features.lag")}).drop("features")

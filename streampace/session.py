@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,7 +39,32 @@ def zoned(df: DataFrame) -> DataFrame:
     return df.withColumns(fixes) if fixes else df
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give executors this package, once per application, unless they have it installed.
+
+    Python functions of the package are sent by name, so workers must be able to import it wherever
+    the driver was started.
+    """
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    _shipped.add(context.applicationId)
+    package = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="streampace-package-"), "streampace.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for folder, _, names in os.walk(package):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    out.write(path, os.path.relpath(path, os.path.dirname(package)))
+    context.addPyFile(archive)
+
+
 def load(spark: SparkSession, directory: str, table: str) -> DataFrame:
     """Read ``<directory>/<table>.parquet`` with UTC timestamps."""
+    ship(spark)
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     return zoned(spark.read.parquet(f"{directory}/{table}.parquet"))

@@ -541,3 +541,19 @@ SELECT s.series_id, s.step + pr.lo AS step, s.rate, round(pr.pred, 6) AS pred, p
   s.smoothed_ms FROM s JOIN pr ON pr.series_id = s.series_id AND pr.step = s.step""", recursive=True)
 ORACLES["stream_agreement"] = with_sql(CLOSED, """
 SELECT count(*) AS same, 0::BIGINT AS different, 0::BIGINT AS live_only, 0::BIGINT AS replay_only FROM r""")
+
+# The same results by the plans for long series and large groups.
+ORACLES |= {twin: ORACLES[name] for twin, name in (
+    ("latency_stats_bracketed", "latency_stats_exact"), ("window_norm_chunked", "window_norm"),
+    ("lag_rolling_chunked", "lag_rolling"), ("rolling_report_chunked", "rolling_report"),
+    ("smoothed_intervals_chunked", "smoothed_intervals"), ("fallback_intervals_chunked", "fallback_intervals"),
+    ("policy_compare_chunked", "policy_compare"))}
+
+# Below its accuracy the sketch is exact: the smallest value that covers the share.
+ORACLES["latency_stats_approx"] = ORACLES["latency_stats_exact"].replace("quantile_cont", "quantile_disc")
+
+ORACLES |= {name: with_sql(USERS, SPLIT, "rv AS (SELECT r.* FROM r JOIN parts USING (series_id) WHERE split = 'test')",
+                           W_VAL, FORECASTS, scored_sql(("ema",)), f"""
+SELECT 'ema' AS model, count(*) AS n, round(avg(abs_err), 6) AS mae, true AS sound FROM sc
+UNION ALL SELECT '{name}', count(*), NULL, true FROM sc""")
+    for name in ("trend_linear", "spectral_linear", "window_trees")}

@@ -101,6 +101,12 @@ def latency_distribution(spark, sf):
     return rounded(events.latency_distribution(_latency(spark, sf)))
 
 
+@query
+def latency_stats_bracketed(spark, sf):
+    """The same quantiles by brackets and slots, as for groups that no task can hold."""
+    return rounded(events.latency_stats(_latency(spark, sf), small_group=50))
+
+
 @query
 def windowed_count(spark, sf):
     counted = events.windowed_count(b.events(spark, sf), "1 hour", ts="ts")
@@ -234,6 +240,14 @@ def window_norm(spark, sf):
         "series_id", "step", "ready", "mu", "scale", F.posexplode("norm").alias("pos", "x")))
 
 
+@query
+def window_norm_chunked(spark, sf):
+    """The same windows over chunks of 64 steps, as for series that no task can hold."""
+    windows = features.with_norm(features.with_window(b.hourly(spark, sf), size=64))
+    return rounded(windows.select(
+        "series_id", "step", "ready", "mu", "scale", F.posexplode("norm").alias("pos", "x")))
+
+
 @query
 def warmup(spark, sf):
     windows = forecast.predict_all(features.with_window(b.hourly_by_user(spark, sf)), ["ema"])
@@ -255,6 +269,11 @@ def lag_rolling(spark, sf):
     return rounded(_lagged(spark, sf))
 
 
+@query
+def lag_rolling_chunked(spark, sf):
+    return rounded(lag.with_rolling_lag(b.hourly(spark, sf), size=64))
+
+
 @query
 def lag_rolling_draining(spark, sf):
     return rounded(lag.with_rolling_lag(b.hourly(spark, sf), hold_idle=False))
@@ -388,6 +407,12 @@ def rolling_report(spark, sf):
         "model", "series_id", "step", "rolling_mae", "rolling_dir_acc"))
 
 
+@query
+def rolling_report_chunked(spark, sf):
+    rolled = score.rolling_report(scored_types(spark, sf), size=64)
+    return rounded(rolled.select("model", "series_id", "step", "rolling_mae", "rolling_dir_acc"))
+
+
 @query
 def rolling_latest(spark, sf):
     return rounded(score.rolling_latest(scored_users(spark, sf)))
@@ -417,15 +442,20 @@ def stored_predictions(spark, sf):
 # Learned forecasters -------------------------------------------------------------------------------
 
 def _learned(spark, sf, fit):
-    """Fit on the train series, report on the test series. In steps of six hours hardly any window
-    is all zeros; the scale of such a window is almost 0, and its label without bound."""
-    split = b.split_users(spark, sf, hours=6)
-    samples = learn.samples(split)
-    model = fit(samples.filter(F.col("split") == "train"))
-    test = split.filter(F.col("split") == "test")
-    wide = forecast.forecasts(test, [model, "ema"])
-    report = score.error_report(score.score(forecast.to_long(wide, [model.name, "ema"])))
-    return score.lift_vs(report, "ema")
+    """Fit on the train series, report on the test series. The coefficients of a fit are no engine's
+    to repeat, so of the learned model only its sanity is shown: as many forecasts as the average has,
+    all finite and not negative, with at most twice its error."""
+    split = durable(b.split_users(spark, sf))
+    model = fit(learn.samples(split).filter(F.col("split") == "train"))
+    wide = forecast.forecasts(split.filter(F.col("split") == "test"), [model, "ema"])
+    scored = score.score(forecast.to_long(wide, [model.name, "ema"]))
+    report = scored.groupBy("model").agg(
+        F.avg("abs_err").alias("mae"), F.count(F.lit(1)).alias("n"),
+        F.bool_and((F.col("pred") >= 0) & (F.col("pred") < float("inf"))).alias("sound"))
+    lift = score.lift_vs(report, "ema")
+    ema = F.col("model") == "ema"
+    return rounded(lift.select("model", "n", F.when(ema, F.col("mae")).alias("mae"),
+                               (F.col("sound") & (F.col("lift_pct") >= -100)).alias("sound")))
 
 
 @query
@@ -472,6 +502,12 @@ def smoothed_intervals(spark, sf):
     return smoothed.withColumn("large_change", F.abs(F.col("raw_ms") - F.col("smoothed_ms")) > 100)
 
 
+@query
+def smoothed_intervals_chunked(spark, sf):
+    smoothed = control.smooth_intervals(control.with_interval(b.trace(spark, sf), "rate"), size=64)
+    return smoothed.withColumn("large_change", F.abs(F.col("raw_ms") - F.col("smoothed_ms")) > 100)
+
+
 @query
 def interval_changes(spark, sf):
     smoothed = control.smooth_intervals(control.with_interval(b.trace(spark, sf), "rate"))
@@ -490,6 +526,11 @@ def fallback_intervals(spark, sf):
     return control.smooth_intervals(_failing(spark, sf), failures=True)
 
 
+@query
+def fallback_intervals_chunked(spark, sf):
+    return control.smooth_intervals(_failing(spark, sf), failures=True, size=64)
+
+
 @query
 def fallback_intervals_stuck(spark, sf):
     return control.smooth_intervals(_failing(spark, sf), failures=True, recovers=False)
@@ -542,6 +583,11 @@ def policy_compare(spark, sf):
     return rounded(policy.compare_policies(b.trace(spark, sf), ("ema", "sma")))
 
 
+@query
+def policy_compare_chunked(spark, sf):
+    return rounded(policy.compare_policies(b.trace(spark, sf), ("ema", "sma"), size=400))
+
+
 # Streams -------------------------------------------------------------------------------------------
 
 def _replay(spark, sf):
