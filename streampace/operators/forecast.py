@@ -14,7 +14,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from streampace.functions import windows as fw
-from streampace.functions.rates import denormalise
 from streampace.operators.features import K, with_window
 from streampace.plans.chunks import CHUNK_SIZE
 
@@ -24,11 +23,14 @@ ALPHAS = (0.1, 0.2, 0.3, 0.5, 0.7)   # fixed grid of smoothing factors
 @dataclass(frozen=True)
 class Forecaster:
     """A named model. ``column`` maps ``(window, k)`` to a rate; or ``model`` is a fitted pipeline
-    that reads a window row and adds a normalised ``prediction``."""
+    that reads a window row and adds a normalised ``prediction``; or ``members`` are averaged with
+    ``weights`` (1 where none is given)."""
 
     name: str
     column: Callable[[Column, int], Column] | None = None
     model: PipelineModel | None = None
+    members: tuple[str | Forecaster, ...] = ()
+    weights: Mapping[str, float] | None = None
 
 
 _REGISTRY: dict[str, Forecaster] = {}
@@ -56,12 +58,31 @@ def ema_forecaster(name: str, alpha: float) -> Forecaster:
     return Forecaster(name, lambda win, k: fw.ema_of(win, alpha, k))
 
 
+def ensemble_forecaster(name: str, members: Sequence[str | Forecaster],
+                        weights: Mapping[str, float] | None = None) -> Forecaster:
+    """The weighted mean of other forecasters, usable wherever a forecaster is."""
+    return Forecaster(name, members=tuple(members), weights=weights)
+
+
+def tuned_ema(validation: DataFrame, name: str = "ema", k: int = K) -> Forecaster:
+    """The average whose smoothing factor has the least error on the validation series."""
+    best = tune_ema(validation, k=k).filter("is_best").select("alpha").first()
+    return ema_forecaster(name, best.alpha)
+
+
+def _named(model: str | Forecaster) -> Forecaster:
+    return _REGISTRY[model] if isinstance(model, str) else model
+
+
 def predict_all(windows: DataFrame, models: Sequence[str | Forecaster], k: int = K) -> DataFrame:
     """Add ``pred_<name>`` for each model; null until the window is full.
 
-    ``windows`` comes from :func:`~streampace.operators.features.with_window`.
+    ``windows`` comes from :func:`~streampace.operators.features.with_window`. A linear model can fall
+    below zero: its forecast is 0 then, and ``raw_<name>`` keeps what ensembles average.
     """
-    chosen = [_REGISTRY[m] if isinstance(m, str) else m for m in models]
+    chosen = [_named(m) for m in models]
+    for m in list(chosen):
+        chosen += [c for c in map(_named, m.members) if c.name not in {x.name for x in chosen}]
     columns = {
         f"pred_{m.name}": F.when(F.col("ready"), F.greatest(m.column(F.col("win"), k), F.lit(0.0)))
         for m in chosen if m.column is not None
@@ -72,16 +93,22 @@ def predict_all(windows: DataFrame, models: Sequence[str | Forecaster], k: int =
             continue
         before = result.columns
         scored = m.model.transform(result)
-        result = scored.select(*before, F.when(
-            F.col("ready"), denormalise(F.col("prediction"), F.col("mu"), F.col("scale"))
-        ).alias(f"pred_{m.name}"))
+        raw = F.when(F.col("ready"), F.col("prediction") * F.col("scale") + F.col("mu"))
+        result = scored.select(*before, raw.alias(f"raw_{m.name}")).withColumn(
+            f"pred_{m.name}", F.greatest(F.col(f"raw_{m.name}"), F.lit(0.0)))
+    for m in chosen:
+        if m.members:
+            result = ensemble(result, m.name, [_named(c).name for c in m.members], m.weights)
     return result
 
 
 def forecasts(series: DataFrame, models: Sequence[str | Forecaster], k: int = K,
               size: int = CHUNK_SIZE) -> DataFrame:
-    """Window, predict and pair with the next rate; only steps with a full window and a next rate."""
-    windows = with_window(series, k, following=True, size=size)
+    """Window, predict and pair with the next rate; only steps with a full window and a next rate.
+
+    If the series has a column ``lag``, models fitted with lag windows find theirs.
+    """
+    windows = with_window(series, k, "lag" in series.columns, following=True, size=size)
     ready = windows.filter(F.col("ready") & F.col("actual").isNotNull())
     return predict_all(ready, models, k).withColumn("current", F.col("rate"))
 
@@ -128,13 +155,16 @@ def tune_ema(series: DataFrame, alphas: Sequence[float] = ALPHAS, k: int = K,
     ).select("r.alpha", "r.mae", (F.col("r.i") == F.col("b")).alias("is_best"))
 
 
-def weighted_mean(members: Mapping[str, float | Column]) -> Column:
-    """Weighted average of ``pred_<member>`` columns."""
+def weighted_mean(members: Mapping[str, float | Column], known: Sequence[str] = ()) -> Column:
+    """Weighted average of the members' forecasts, unbounded ones (``raw_<member>``) where ``known``
+    columns have them; only the average is bounded below by 0."""
     def lit(w: float | Column) -> Column:
         return w if isinstance(w, Column) else F.lit(float(w))
-    terms = [F.col(f"pred_{m}") * lit(w) for m, w in members.items()]
+    def forecast_of(m: str) -> Column:
+        return F.col(f"raw_{m}" if f"raw_{m}" in known else f"pred_{m}")
+    terms = [forecast_of(m) * lit(w) for m, w in members.items()]
     weights = [lit(w) for w in members.values()]
-    return sum(terms[1:], terms[0]) / sum(weights[1:], weights[0])
+    return F.greatest(sum(terms[1:], terms[0]) / sum(weights[1:], weights[0]), F.lit(0.0))
 
 
 def ensemble(wide: DataFrame, name: str, members: Sequence[str],
@@ -150,7 +180,7 @@ def ensemble(wide: DataFrame, name: str, members: Sequence[str],
         by_member = {m: F.coalesce(F.try_element_at(known, F.lit(m)), F.lit(1.0)) for m in members}
     else:
         by_member = {m: float((weights or {}).get(m, 1.0)) for m in members}
-    return wide.withColumn(f"pred_{name}", weighted_mean(by_member))
+    return wide.withColumn(f"pred_{name}", weighted_mean(by_member, wide.columns))
 
 
 # Published ensemble recipes: the recurrent pair, the recommended three, one of each family.

@@ -151,7 +151,7 @@ def _ticks(rows: DataFrame, plans: Sequence[Column]) -> DataFrame:
 
 def _adaptive_ticks(trace: DataFrame, models: Sequence[str | Forecaster], tick_ms: int, k: int,
                     rule: IntervalRule, modes: int, size: int) -> DataFrame:
-    windows = predict_all(with_window(trace, k, size=size), models, k)
+    windows = predict_all(with_window(trace, k, "lag" in trace.columns, size=size), models, k)
     first = _half_even_ticks(FIRST_TRIGGER_MS, tick_ms)
     plans = []
     for model in models:

@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from streampace.plans import chunks
 from streampace.plans.quantiles import exact_quantiles
 
+DAY_MS = 24 * 3600 * 1000
+
 PROGRESS_SCHEMA = T.StructType([
     T.StructField("app_name", T.StringType()),
     T.StructField("run_id", T.StringType()),
@@ -19,15 +22,18 @@ PROGRESS_SCHEMA = T.StructType([
     T.StructField("input_rows_per_second", T.DoubleType()),
     T.StructField("batch_duration_ms", T.LongType()),
     T.StructField("rows_dropped_by_watermark", T.LongType()),
+    T.StructField("is_idle", T.BooleanType()),
 ])
 
 
 def dedup_progress(progress: DataFrame, keys: Sequence[str] = ("run_id", "batch_id")) -> DataFrame:
-    """The first report of each batch. Repeats are reduced before the shuffle."""
+    """The first report of each batch; idle reports, which carry the id of the batch before them, are
+    one observation each by their time. Repeats are reduced before the shuffle."""
     rest = [c for c in progress.columns if c not in keys]
     first = F.min(F.struct("ts", *[c for c in rest if c != "ts"])).alias("_r")
     known = progress.dropna(subset=list(keys))
-    return known.groupBy(*keys).agg(first).select(
+    idle = F.when(F.col("is_idle"), F.col("ts")) if "is_idle" in rest else F.lit(None).cast("timestamp")
+    return known.groupBy(*keys, idle.alias("_idle_at")).agg(first).select(
         *[F.col(c) if c in keys else F.col(f"_r.{c}") for c in progress.columns])
 
 
@@ -50,10 +56,14 @@ def burst_flags(progress: DataFrame, threshold: int = 200) -> DataFrame:
 
 
 def progress_series(progress: DataFrame) -> DataFrame:
-    """Rates per run in batch order; an idle batch is an observation of 0."""
-    return progress.select(
-        F.col("run_id").alias("series_id"), F.col("batch_id").alias("step"),
+    """Rates per run in order of time, numbered from 0; an idle report is an observation of 0.
+
+    Chunks of the numbering are ranges of time of about a day.
+    """
+    seen = progress.select(
+        F.col("run_id").alias("series_id"), F.unix_millis("ts").alias("_at"),
         F.coalesce("input_rows_per_second", F.lit(0.0)).alias("rate"))
+    return chunks.numbered(seen, "step", step="_at", size=DAY_MS).select("series_id", "step", "rate")
 
 
 def duration_summary(progress: DataFrame, mode: str = "mode") -> DataFrame:

@@ -23,7 +23,7 @@ def progress_row(app_name: str, report: dict) -> tuple:
     stamp = datetime.fromisoformat(report["timestamp"].replace("Z", "+00:00"))
     return (app_name, report["runId"], int(report["batchId"]), stamp.astimezone(timezone.utc),
             int(report.get("numInputRows", 0)), float(report.get("inputRowsPerSecond") or 0.0),
-            int(report.get("batchDuration", 0)), dropped)
+            int(report.get("batchDuration", 0)), dropped, False)
 
 
 def progress_frame(query: StreamingQuery) -> DataFrame:
@@ -58,7 +58,7 @@ class ProgressLog(StreamingQueryListener):
     def onQueryIdle(self, event) -> None:
         run = str(event.runId)
         stamp = datetime.fromisoformat(event.timestamp.replace("Z", "+00:00"))
-        self._add([(self._app, run, self._last_batch.get(run, -1), stamp, 0, 0.0, 0, 0)])
+        self._add([(self._app, run, self._last_batch.get(run, -1), stamp, 0, 0.0, 0, 0, True)])
 
     def onQueryTerminated(self, event) -> None:
         self._last_batch.pop(str(event.runId), None)

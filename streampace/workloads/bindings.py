@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from streampace.functions.messages import epoch_seconds
@@ -98,6 +98,28 @@ def progress(spark: SparkSession, sf: str) -> DataFrame:
     return once.unionByName(again)
 
 
+def progress_with_idle(spark: SparkSession, sf: str) -> DataFrame:
+    """Reports of a batch per user and hour, each twice, and an idle one half an hour after a batch
+    that a quiet hour follows. Idle reports carry the id of the batch before them."""
+    batches = events(spark, sf).groupBy(
+        F.col("user_id").cast("string").alias("run_id"),
+        F.floor(F.unix_micros("ts") / 3_600_000_000).alias("batch_id"),
+    ).agg(F.count(F.lit(1)).alias("num_input_rows"))
+    # A run's batches are numbered by hour, so the window holds one user's hours.
+    following = F.lead("batch_id").over(Window.partitionBy("run_id").orderBy("batch_id"))
+    once = batches.withColumn("quiet", following > F.col("batch_id") + 1).select(
+        F.lit("app").alias("app_name"), "run_id", "batch_id",
+        F.timestamp_seconds((F.col("batch_id") + 1) * HOUR).alias("ts"), "num_input_rows",
+        (F.col("num_input_rows") / HOUR).alias("input_rows_per_second"),
+        F.lit(0).cast("long").alias("batch_duration_ms"), F.lit(0).cast("long").alias("rows_dropped_by_watermark"),
+        F.lit(False).alias("is_idle"), "quiet")
+    again = once.withColumn("ts", F.col("ts") + F.expr("INTERVAL 1 SECOND"))
+    idle = once.filter("quiet").withColumns({
+        "ts": F.col("ts") + F.expr("INTERVAL 30 MINUTES"), "num_input_rows": F.lit(0).cast("long"),
+        "input_rows_per_second": F.lit(0.0), "is_idle": F.lit(True)})
+    return once.unionByName(again).unionByName(idle).drop("quiet")
+
+
 def labels(series: DataFrame) -> DataFrame:
     """Segments of 48 steps that cycle over the shapes; the last third of each is left unlabelled,
     and every wall overlaps the segment after it."""

@@ -147,7 +147,7 @@ WHERE app_name = (SELECT app_name FROM p ORDER BY batch_id, app_name LIMIT 1) GR
 ORACLES["burst_flags"] = with_sql(PROGRESS, """
 SELECT run_id, batch_id, num_input_rows, num_input_rows > 4 AS is_burst FROM p""")
 ORACLES["recent_batches"] = with_sql(PROGRESS, """
-SELECT run_id AS series_id, batch_id AS step, round(num_input_rows / 3600::DOUBLE, 6) AS rate
+SELECT run_id AS series_id, row_number() OVER (PARTITION BY run_id ORDER BY batch_id) - 1 AS step, round(num_input_rows / 3600::DOUBLE, 6) AS rate
 FROM p QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY batch_id DESC) <= 30""")
 ORACLES["duration_compare"] = with_sql(PROGRESS, """
 s AS (SELECT run_id AS mode, count(*) AS batches, avg(batch_duration_ms) AS mean_ms,
@@ -418,7 +418,11 @@ ORACLES["fallback_rate"] = with_sql(TICKS, FAILING, fallback_sql(True), """
 SELECT series_id, round(avg(CASE WHEN failed_run >= 3 THEN 1 ELSE 0 END) * 100, 6) AS fallback_pct,
   count(*) AS steps FROM s GROUP BY 1""", recursive=True)
 ORACLES["convergence"] = with_sql(TICKS, WINDOWS, FORECASTS, f"""
-i AS (SELECT series_id, step - 29 AS step, rate, {live_sql('pred_ema')} AS raw_ms FROM fc)""", smooth_sql(), """
+cz AS (SELECT *, [""" + ", ".join(f"(pred_{n} - mu) / scale" for n in NAMES) + f"""] AS z FROM fc),
+cm AS (SELECT *, list_sum(z) / 5 AS m FROM cz),
+cf AS (SELECT *, round(least(greatest(1 / (1 + sqrt(list_sum(list_transform(z, lambda v: (v - m) * (v - m))) / 5)
+  * 10), 0), 1), 6) AS conf FROM cm),
+i AS (SELECT series_id, step - 29 AS step, rate, {live_sql('pred_ema', 'conf')} AS raw_ms FROM cf)""", smooth_sql(), """
 SELECT series_id, min(step) FILTER (abs(smoothed_ms - 8000) <= 8000 * 0.1::DOUBLE) AS converged_step,
   min(step) FILTER (abs(smoothed_ms - 8000) <= 8000 * 0.1::DOUBLE) - min(step) AS cycles
 FROM s GROUP BY 1""", recursive=True)
@@ -557,3 +561,33 @@ ORACLES |= {name: with_sql(USERS, SPLIT, "rv AS (SELECT r.* FROM r JOIN parts US
 SELECT 'ema' AS model, count(*) AS n, round(avg(abs_err), 6) AS mae, true AS sound FROM sc
 UNION ALL SELECT '{name}', count(*), NULL, true FROM sc""")
     for name in ("trend_linear", "spectral_linear", "window_trees")}
+
+# The factor with the least validation error, used on the test series.
+TUNED = "CASE best.i " + " ".join(
+    f"WHEN {i} THEN {ema_sql(a)}" for i, a in enumerate((0.1, 0.2, 0.3, 0.5, 0.7))) + " END"
+ORACLES["tuned_ema_report"] = with_sql(
+    USERS, SPLIT, VALIDATION, W_VAL, "g AS (" + " UNION ALL ".join(
+        f"SELECT {i} AS i, avg(abs({ema_sql(a)} - actual)) AS mae FROM w WHERE ready AND actual IS NOT NULL"
+        for i, a in enumerate((0.1, 0.2, 0.3, 0.5, 0.7))) + ")",
+    "best AS (SELECT arg_min(i, mae) AS i FROM g)", W_ALL,
+    f"""fc AS (SELECT u.*, rate AS cur, {ema_sql(0.3)} AS pred_ema, {TUNED} AS pred_ema_tuned
+  FROM u JOIN parts USING (series_id), best WHERE split = 'test' AND ready AND actual IS NOT NULL)""",
+    scored_sql(("ema", "ema_tuned")), f"SELECT model, {rounds(REPORT_COLUMNS)}, n FROM (SELECT model, {ERRORS} FROM sc GROUP BY 1)")
+
+TOP3_JUMPS = jumps_sql("ens_top3", "greatest((list_sum(win) / 30 + " + ema_sql(0.3) + " + " + ema_sql(0.1) + ") / 3.0::DOUBLE, 0)")
+ORACLES["policy_compare_ensemble"] = with_sql(
+    TICKS, CUMULATED, WINDOWS, EMA_JUMPS, TOP3_JUMPS, chain_sql("ema"), chain_sql("ens_top3"), REACTIVE,
+    f"""bt AS ({fixed_sql(FIXED)} UNION ALL {adaptive_sql('ema')} UNION ALL {adaptive_sql('ens_top3')}
+  UNION ALL {REACTIVE_ROWS})""", METRICS, """
+SELECT mt.*, round((1 - mt.triggers / coalesce(b.triggers, 1)::DOUBLE) * 100, 6) AS savings_pct FROM mt
+LEFT JOIN (SELECT series_id, triggers FROM mt WHERE policy = 'fixed_1000ms') b USING (series_id)""",
+    recursive=True)
+
+ORACLES["idle_series"] = """
+WITH n AS (SELECT user_id::VARCHAR AS series_id, epoch_us(ts) // 3600000000 AS bucket, count(*) AS n
+           FROM events GROUP BY 1, 2),
+     w AS (SELECT *, lead(bucket) OVER (PARTITION BY series_id ORDER BY bucket) AS following FROM n),
+     seen AS (SELECT series_id, (bucket + 1)::DOUBLE AS moment, n / 3600::DOUBLE AS rate FROM w
+              UNION ALL SELECT series_id, bucket + 1.5, 0 FROM w WHERE following > bucket + 1)
+SELECT series_id, row_number() OVER (PARTITION BY series_id ORDER BY moment) - 1 AS step, round(rate, 6) AS rate
+FROM seen"""

@@ -159,6 +159,14 @@ def burst_flags(spark, sf):
     return flagged.select("run_id", "batch_id", "num_input_rows", "is_burst")
 
 
+@query
+def idle_series(spark, sf):
+    """Batches of every user with an idle report after each that is followed by a quiet hour."""
+    log = b.progress_with_idle(spark, sf)
+    rates = progress.progress_series(progress.dedup_progress(log))
+    return rounded(rates)
+
+
 @query
 def recent_batches(spark, sf):
     kept = progress.dedup_progress(b.progress(spark, sf))
@@ -353,6 +361,15 @@ def ensemble_recipes(spark, sf):
     return rounded(report)
 
 
+@query
+def tuned_ema_report(spark, sf):
+    """The average tuned on the validation series, on the test series beside the fixed one."""
+    split = durable(b.split_users(spark, sf))
+    tuned = forecast.tuned_ema(split.filter(F.col("split") == "val"), "ema_tuned")
+    wide = forecast.forecasts(split.filter(F.col("split") == "test"), ["ema", tuned])
+    return rounded(score.error_report(score.score(forecast.to_long(wide, ["ema", "ema_tuned"]))))
+
+
 @query
 def ensemble_weights(spark, sf):
     return rounded(score.inverse_error_weights(_validation(b.split_users(spark, sf))))
@@ -480,7 +497,7 @@ def _recommended(spark, sf):
     wide = forecast.confidence(forecast.forecasts(b.trace(spark, sf), MODELS), NAMES)
     return control.with_interval(wide.select(
         "series_id", (F.col("step") - (features.K - 1)).alias("step"), "rate",
-        F.col("pred_ema").alias("pred")), "pred")
+        F.col("pred_ema").alias("pred"), F.round("confidence", 6).alias("confidence")), "pred", "confidence")
 
 
 @query
@@ -544,7 +561,7 @@ def fallback_rate(spark, sf):
 
 @query
 def convergence(spark, sf):
-    """Cycles until the smoothed interval is near the series' mean recommendation."""
+    """Cycles until the smoothed interval is near eight seconds."""
     smoothed = control.smooth_intervals(_recommended(spark, sf))
     return control.convergence(smoothed.withColumn("goal", F.lit(8000)), "goal")
 
@@ -583,6 +600,15 @@ def policy_compare(spark, sf):
     return rounded(policy.compare_policies(b.trace(spark, sf), ("ema", "sma")))
 
 
+ENS_TOP3 = forecast.ensemble_forecaster("ens_top3", ("sma", "ema", MODELS[3]))
+
+
+@query
+def policy_compare_ensemble(spark, sf):
+    """An ensemble sets the intervals as any model does."""
+    return rounded(policy.compare_policies(b.trace(spark, sf), ("ema", ENS_TOP3)))
+
+
 @query
 def policy_compare_chunked(spark, sf):
     return rounded(policy.compare_policies(b.trace(spark, sf), ("ema", "sma"), size=400))

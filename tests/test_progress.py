@@ -5,7 +5,6 @@ from datetime import datetime, timezone
 from types import SimpleNamespace
 
 import pytest
-from pyspark.sql import functions as F
 
 from streampace.operators import progress
 from streampace.sources.progress import ProgressLog, progress_row, read_progress
@@ -14,7 +13,7 @@ UTC = timezone.utc
 
 
 def row(app, run, batch, second, rows, rate=1.0, duration=100, dropped=0):
-    return (app, run, batch, datetime(2024, 1, 1, 0, 0, second, tzinfo=UTC), rows, rate, duration, dropped)
+    return (app, run, batch, datetime(2024, 1, 1, 0, 0, second, tzinfo=UTC), rows, rate, duration, dropped, False)
 
 
 @pytest.fixture
@@ -73,9 +72,9 @@ REPORT = {"runId": "r", "batchId": 4, "timestamp": "2024-01-01T00:00:01.000Z", "
 
 def test_report_rows():
     got = progress_row("app", REPORT)
-    assert got[:3] == ("app", "r", 4) and got[4:] == (12, 6.5, 90, 2)
+    assert got[:3] == ("app", "r", 4) and got[4:] == (12, 6.5, 90, 2, False)
     idle = progress_row("app", {k: REPORT[k] for k in ("runId", "batchId", "timestamp")})
-    assert idle[4:] == (0, 0.0, 0, 0)
+    assert idle[4:] == (0, 0.0, 0, 0, False)
 
 
 def test_listener_writes_reports_and_idle_rows(spark, tmp_path):
@@ -91,4 +90,6 @@ def test_listener_writes_reports_and_idle_rows(spark, tmp_path):
     assert [(r["batch_id"], r["num_input_rows"], r["input_rows_per_second"]) for r in got] == [
         (4, 12, 6.5), (4, 0, 0.0), (4, 0, 0.0)]
     assert got[0]["rows_dropped_by_watermark"] == 2
-    assert read_progress(spark, path).filter(F.col("run_id") == "r").count() == 3
+    kept = progress.dedup_progress(read_progress(spark, path).unionByName(read_progress(spark, path)))
+    rates = progress.progress_series(kept).orderBy("step").collect()
+    assert [(r["step"], r["rate"]) for r in rates] == [(0, 6.5), (1, 0.0), (2, 0.0)]
