@@ -102,6 +102,7 @@ def count_by(events: DataFrame, *columns: str) -> DataFrame:
 
 
 def events_per_mode(results: DataFrame, path: str = "path") -> DataFrame:
-    """Rows per result directory; the mode is the directory that holds the file."""
-    mode = F.regexp_extract(F.col(path), r"([^/]+)/[^/]+$", 1)
+    """Rows per result directory; the mode is the directory that holds the file, with or without a
+    leading ``mode=``."""
+    mode = F.regexp_extract(F.col(path), r"([^/=]+)/[^/]+$", 1)
     return results.groupBy(mode.alias("mode")).agg(F.count(F.lit(1)).alias("events"))

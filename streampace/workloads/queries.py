@@ -133,9 +133,8 @@ def events_per_mode(spark, sf):
     rows = events.latency_rows(_latency(spark, sf)).withColumn(
         "mode", F.when(F.col("second") < 8, "fixed_500ms").when(F.col("second") < 16, "fixed_2s")
         .otherwise("fixed_5s"))
-    # Directories are named by mode, as separate benchmark runs would leave them.
-    for mode in ("fixed_500ms", "fixed_2s", "fixed_5s"):
-        rows.filter(F.col("mode") == mode).drop("mode").write.json(f"{folder}/{mode}")
+    # A directory for each mode, as separate benchmark runs would leave them, in one write.
+    rows.write.partitionBy("mode").json(folder)
     return events.events_per_mode(read_results(spark, folder))
 
 
