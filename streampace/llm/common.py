@@ -8,6 +8,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from streampace.plans.durable import durable
+from streampace.session import ship
+
 HOT_KEYS = 1000
 BATCH_BYTES = 4 << 20
 _BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -16,11 +19,23 @@ _ROWS_OF_TEXT = 512
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the folder, with small Arrow batches as its rows hold whole texts."""
+    ship(spark)
     if int(spark.conf.get(_BATCH_ROWS)) > _ROWS_OF_TEXT:
         spark.conf.set(_BATCH_ROWS, str(_ROWS_OF_TEXT))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def with_row(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``_row``, which names each row and is the same in every evaluation.
+
+    Rows of files are named by file and position; other tables are stored first, as what computes them
+    may order its rows differently the next time.
+    """
+    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation":
+        return docs.select("*", F.struct("_metadata.file_path", "_metadata.row_index").alias("_row"))
+    return durable(docs.withColumn("_row", F.monotonically_increasing_id()), "docs")
+
+
 def fold_of(key: str, folds: int) -> Column:
     """crc32 of a key as text, modulo ``folds``; a null key counts as the empty text."""
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % folds

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from streampace.llm.common import lookup
+from streampace.llm.common import lookup, with_row
 from streampace.llm.components import components
 from streampace.llm.exact_dedup import normalised
 from streampace.plans.durable import broadcast_if_small, durable
@@ -262,7 +262,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, distance: int = 2, doc_id:
 def drop_near_duplicates(docs: DataFrame, width: int = 5, distance: int = 2, doc_id: str = "doc_id",
                          text: str = "text") -> DataFrame:
     """One row of each component, with the columns of ``docs``."""
-    stored = durable(docs.withColumn("_row", F.monotonically_increasing_id()), "docs")
+    stored = with_row(docs)
     marks = near_duplicates(stored.select(doc_id, text, "_row"), width, distance, doc_id, text)
     gone = durable(marks.filter(~F.col("kept")).select("_row"), "gone")
     return stored.join(broadcast_if_small(gone), "_row", "left_anti").drop("_row")
