@@ -1,10 +1,10 @@
 """WARC archives in which equal payloads are stored once.
 
-Records are written with Spark's text writer, one row per record, and the record terminator of the format
-as line separator; so files are committed like any other output and survive lost executors. Archives are
-read as whole files and parsed by the lengths in their headers, so payloads may hold anything; the digest
-of every payload is verified. Files are kept near ``FILE_BYTES`` by writing rows in as many partitions as
-their bytes ask for; one record larger than that has a file of its own.
+Records are written with Spark's text writer, one row per record, with the record terminator of the format
+as line separator and compressed; so files are committed like any other output and survive lost
+executors. A file holds at most ``FILE_RECORDS`` records of a task. Archives are read as a stream from each
+file and parsed by the lengths in their headers, so payloads may hold anything and one record is in
+memory at a time; the digest of every payload is verified.
 
 Revisit resolution reads only headers: they are shuffled by payload digest, the first page of each
 payload is its response, and the others become revisit records that name it. Fresh archives then hold
@@ -17,21 +17,25 @@ found through its digest. An empty table gives archives without records and an e
 
 from __future__ import annotations
 
+import gzip
 import hashlib
+import io
 import uuid
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from streampace.llm.common import lookup
-from streampace.plans.durable import durable, new_path
+from streampace.plans.durable import broadcast_if_small, durable, new_path
 
 LEAST = 100
-FILE_BYTES = 16 << 20
 END = "\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+FILE_RECORDS = 20_000
+GZIP = b"\x1f\x8b"
 RESPONSE, REVISIT = "response", "revisit"
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 # Names of the extension fields that carry ids, and of the standard fields that are read back.
@@ -63,34 +67,33 @@ def record(row: dict[str, Column]) -> Column:
         _field("Content-Length", F.octet_length(body)), F.lit("\r\n"), body)
 
 
-def write_archives(records: DataFrame, size: Column, name: str) -> str:
-    """Write the column ``record`` to a fresh folder of the shared one; ``size`` is its bytes."""
-    spark = records.sparkSession
-    total = records.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
-    path = new_path(spark, name)
-    parts = max(1, -(-total // FILE_BYTES))
-    # Dealt by a hash of the record's id, so files are even however the input is.
-    records.repartition(int(parts), "record_id").select("record").write.option("lineSep", END).text(path)
+def write_archives(records: DataFrame, spark: SparkSession) -> str:
+    """Write the column ``record`` where its rows are, without a shuffle; returns the fresh folder."""
+    path = new_path(spark, "warc")
+    records.select("record").write.option("lineSep", END).option("compression", "gzip").option(
+        "maxRecordsPerFile", FILE_RECORDS).text(path)
     return path
 
 
 # ---- reading ------------------------------------------------------------------------------------
 
-def parse(content: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
+def parse(file: BinaryIO) -> Iterator[tuple[int, dict[str, str], bytes]]:
     """``(offset, header fields, body)`` of each record of a file."""
     at = 0
-    while at < len(content):
-        head = content.index(b"\r\n\r\n", at)
-        lines = content[at:head].decode().split("\r\n")
-        if not lines[0].startswith("WARC/"):
+    while line := file.readline():
+        if not line.startswith(b"WARC/"):
             raise ValueError(f"no record at byte {at}")
-        fields = dict(line.split(": ", 1) for line in lines[1:])
-        body = head + 4
-        end = body + int(fields["Content-Length"])
-        if content[end:end + 4] != b"\r\n\r\n":
+        fields, size = {}, len(line)
+        while (line := file.readline()) not in (b"\r\n", b""):
+            name, _, value = line.decode().rstrip("\r\n").partition(": ")
+            fields[name] = value
+            size += len(line)
+        length = int(fields["Content-Length"])
+        body = file.read(length)
+        if len(body) < length or file.read(4) != b"\r\n\r\n":
             raise ValueError(f"the record at byte {at} is cut short")
-        yield at, fields, content[body:end]
-        at = end + 4
+        yield at, fields, body
+        at += size + 2 + length + 4
 
 
 def _urn(value: str | None) -> str | None:
@@ -109,7 +112,9 @@ def read_archives(spark: SparkSession, path: str, payload: bool = True) -> DataF
         for batch in batches:
             for file, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
                 rows, size = [], 0
-                for at, f, body in parse(content.as_py()):
+                stream = pa.BufferReader(content.as_buffer())
+                zipped = content.as_buffer()[:2].to_pybytes() == GZIP
+                for at, f, body in parse(gzip.open(stream) if zipped else io.BufferedReader(stream)):
                     kind, digest = f["WARC-Type"], f["WARC-Payload-Digest"].removeprefix("sha256:")
                     if kind == RESPONSE and hashlib.sha256(body).hexdigest() != digest:
                         raise ValueError(f"the payload at byte {at} of {file} has another digest")
@@ -154,40 +159,42 @@ def capture(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
            "refers_to_record": F.lit(None), "refers_to": F.lit(None), "date": F.lit(date)}
     named = rows.withColumn("record_id", record_id(F.col("page_id").cast("string"), F.col("place").cast("string")))
     row["record_id"] = F.col("record_id")
-    return write_archives(named.select("record_id", "payload", record(row).alias("record")),
-                          F.octet_length("payload") + 500, "warc")
+    return write_archives(named.select(record(row).alias("record")), pages.sparkSession)
 
 
 def resolve(headers: DataFrame, least: int = LEAST) -> DataFrame:
-    """Stored headers with their new ``record_type``, ``refers_to`` and ``refers_to_record``.
+    """Stored ``(record_id, to_page, to_record)`` of the records that are to be revisits.
 
     ``headers`` is stored. The response of the smallest page of each digest stays one; other responses
     become revisits of it, and revisits found in the input name it too. An input revisit whose response
-    is not there keeps the reference it has.
+    is not there is not listed and keeps the reference it has.
     """
     page = F.expr("try_cast(page_id AS bigint)")
     revisit = F.col("record_type") == REVISIT
     order = F.struct(revisit.alias("revisit"), page.isNull().alias("none"), page.alias("page"), "page_id", "record_id")
     firsts = durable(headers.filter(revisit | (F.col("length") >= least)).groupBy("payload_digest").agg(
         F.min(order).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1 and not first.revisit"), "firsts")
-    again = lookup(headers.select("record_id", "payload_digest"), firsts, "payload_digest", "n").filter(
+    return durable(lookup(headers.select("record_id", "payload_digest"), firsts, "payload_digest", "n").filter(
         F.col("record_id") != F.col("first.record_id")).select(
-        "record_id", F.col("first.page_id").alias("to_page"), F.col("first.record_id").alias("to_record"))
-    return durable(headers.join(again, "record_id", "left").withColumns({
-        "record_type": F.when(F.col("to_record").isNotNull(), REVISIT).otherwise(F.col("record_type")),
-        "refers_to": F.when(F.col("to_record").isNotNull(), F.col("to_page")).otherwise(F.col("refers_to")),
-        "refers_to_record": F.coalesce("to_record", "refers_to_record")}).drop("to_page", "to_record"), "headers")
+        "record_id", F.col("first.page_id").alias("to_page"), F.col("first.record_id").alias("to_record")), "revisits")
 
 
 def deduplicate(spark: SparkSession, path: str, least: int = LEAST, date: str = "1970-01-01T00:00:00Z") -> str:
-    """Fresh archives with every payload of ``path`` once; returns their folder."""
+    """Fresh archives with every payload of ``path`` once; returns their folder.
+
+    Payloads stay in the task that reads them if the list of revisits is small enough to be sent to all;
+    otherwise they are shuffled once by record.
+    """
     headers = durable(read_archives(spark, path, False), "headers")
-    plan = resolve(headers, least)
-    bodies = read_archives(spark, path).select("record_id", "payload")
+    revisits = broadcast_if_small(resolve(headers, least))
+    again = F.col("to_record").isNotNull()
+    joined = read_archives(spark, path).join(revisits, "record_id", "left").withColumns({
+        "record_type": F.when(again, REVISIT).otherwise(F.col("record_type")),
+        "refers_to": F.when(again, F.col("to_page")).otherwise(F.col("refers_to")),
+        "refers_to_record": F.coalesce("to_record", "refers_to_record")})
     row = {c: F.col(c) for c in ("record_type", "page_id", "url", "payload", "payload_digest", "refers_to_record",
                                  "refers_to", "record_id")} | {"date": F.lit(date)}
-    fresh = durable(plan.join(bodies, "record_id").select("record_id", record(row).alias("record")), "fresh")
-    return write_archives(fresh, F.octet_length("record"), "warc")
+    return write_archives(joined.select(record(row).alias("record")), spark)
 
 
 def resolved_pages(spark: SparkSession, path: str) -> DataFrame:

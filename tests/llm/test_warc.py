@@ -1,4 +1,5 @@
 import hashlib
+import io
 from collections import Counter
 
 import pytest
@@ -58,9 +59,9 @@ def test_one_payload_in_most_pages(spark):
 
 def test_damage_is_found(spark, tmp_path):
     with pytest.raises(ValueError):
-        list(warc.parse(b"WARC/1.1\r\nContent-Length: 9\r\n\r\nabc\r\n\r\n"))
+        list(warc.parse(io.BytesIO(b"WARC/1.1\r\nContent-Length: 9\r\n\r\nabc\r\n\r\n")))
     with pytest.raises(ValueError):
-        list(warc.parse(b"nothing\r\n\r\n"))
+        list(warc.parse(io.BytesIO(b"nothing\r\n\r\n")))
     (tmp_path / "part-0").write_bytes(
         b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:uuid:1>\r\n"
         b"WARC-Payload-Digest: sha256:00\r\nContent-Length: 1\r\n\r\na\r\n\r\n")
