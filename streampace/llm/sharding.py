@@ -2,11 +2,13 @@
 
 Documents with equal texts are linked. All members of a group have the same text, so the state is how
 many of a group lie in each shard: at most as many rows a group as there are shards, whatever its size.
-The linked documents are first dealt round robin. In each round the members of a group propose to move
-to the shard that holds most of their neighbours. Moves between two shards are matched in both directions
-and beyond that fill the target's free capacity, which is its quota of rows less its linked rows, so no
-quota is ever exceeded; a group larger than a quota fills several shards. Unlinked documents then fill
-every shard up to its quota. Row counts differ by one at most.
+Groups of more than a sixteenth of a quota are placed first, the largest first: a group takes whole empty
+shards while it is larger than a quota, and what is left goes where it fits most tightly, so it lies in as
+few shards as there is room for. The other linked documents are dealt round robin over the room left. In
+each round the members of a group propose to move to the shard that holds most of their neighbours. Moves
+between two shards are matched in both directions and beyond that fill the target's free capacity, which
+is its quota of rows less its linked rows, so no quota is ever exceeded. Unlinked documents then fill every
+shard up to its quota. Row counts differ by one at most.
 
 Null texts are linked with one another and have size 8 and no checksum. Null ids are allowed and repeated
 rows are placed one by one. An empty table gives an empty result. Only DataFrame operations are used.
@@ -24,15 +26,63 @@ from streampace.plans.durable import durable
 
 LAW = "rows"
 ROUNDS = 8
+PARTS = 16      # groups of more than this part of a quota are placed as wholes
+_BEYOND = 1 << 62
 
 
-def dealt(groups: DataFrame, shards: int) -> DataFrame:
-    """Round robin over all members of ``groups(group, n)``: ``(group, n, shard, k)``."""
+def placed_whole(groups: DataFrame, shards: int, total: int) -> tuple[DataFrame | None, int, list[int]]:
+    """Large groups as ``(group, n, shard, k)``, the size up to which groups are not large, and the room left.
+
+    There are fewer than ``PARTS * shards`` large groups, which come to the driver; of tiny tables all do.
+    """
+    least = max(total // (shards * PARTS), 1)
+    large = groups.filter(F.col("n") > least).select(F.hex("group").alias("name"), "n").collect()
+    room = [total // shards + (s < total % shards) for s in range(shards)]
+    parts = []
+    for name, n in sorted(large, key=lambda g: (-g.n, g.name)):
+        left = n
+        while left:
+            fits = [s for s in range(shards) if room[s] >= left]
+            to = min(fits, key=lambda s: (room[s], s)) if fits else max(range(shards), key=lambda s: (room[s], -s))
+            k = min(left, room[to])
+            parts.append(F.struct(F.lit(name).alias("name"), F.lit(n).cast("long").alias("n"), F.lit(to).alias("shard"),
+                                  F.lit(k).cast("long").alias("k")))
+            room[to] -= k
+            left -= k
+    if not parts:
+        return None, least, room
+    whole = groups.sparkSession.range(1).select(F.inline(F.array(*parts)))
+    return whole.select(F.unhex("name").alias("group"), "n", "shard", "k"), least, room
+
+
+def dealt(groups: DataFrame, shards: int, room: Sequence[int] | None = None) -> DataFrame:
+    """Round robin over all members of ``groups(group, n)``: ``(group, n, shard, k)``.
+
+    With ``room`` a shard leaves the round when it is full.
+    """
+    turns, first, level = [], 0, 0
+    for full in [_BEYOND // shards] if room is None else sorted(set(room) - {0}):
+        active = [s for s in range(shards) if room is None or room[s] >= full]
+        last = first + len(active) * (full - level)
+        turns.append(F.struct(F.lit(first).cast("long").alias("first"), F.lit(last).cast("long").alias("last"),
+                              F.array(*map(F.lit, active)).alias("active")))
+        first, level = last, full
+    if not turns:
+        return groups.limit(0).select("group", "n", F.lit(0).alias("shard"), F.col("n").alias("k"))
     placed = running_start(groups, [], ["group"], {"start": "n"})
-    turn = placed.withColumn("i", F.explode(F.sequence(
-        F.lit(0), F.least(F.col("n"), F.lit(shards)).cast("int") - 1)))
-    return turn.select("group", "n", F.pmod(F.col("start") + F.col("i"), F.lit(shards)).cast("int").alias("shard"),
-                       (F.floor((F.col("n") - 1 - F.col("i")) / shards) + 1).alias("k"))
+    turn = placed.withColumn("turn", F.explode(F.filter(F.array(*turns), lambda t: (
+        t["first"] < F.col("start") + F.col("n")) & (t["last"] > F.col("start"))))).select(
+        "group", "n", F.col("turn.first").alias("first"), F.col("turn.active").alias("active"),
+        F.size("turn.active").alias("wide"), F.greatest("start", "turn.first").alias("lo"),
+        F.least(F.col("start") + F.col("n"), F.col("turn.last")).alias("hi"))
+    each = turn.withColumn("i", F.explode(F.sequence(
+        F.lit(0), F.least(F.col("hi") - F.col("lo"), F.col("wide")).cast("int") - 1)))
+    out = each.select(
+        "group", "n", F.element_at("active", (F.pmod(F.col("lo") - F.col("first") + F.col("i"), F.col("wide")) + 1).cast("int")
+                                   ).alias("shard"),
+        (F.floor((F.col("hi") - F.col("lo") - 1 - F.col("i")) / F.col("wide")) + 1).alias("k"))
+    # A group may be dealt in two turns.
+    return out if len(turns) == 1 else out.groupBy("group", "n", "shard").agg(F.sum("k").alias("k"))
 
 
 def quotas(state: DataFrame, shards: int, total: int) -> DataFrame:
@@ -84,7 +134,9 @@ def round_of_moves(state: DataFrame, shards: int, total: int, turn: int = 0) ->
 
 def propagated(groups: DataFrame, shards: int, total: int, rounds: int = ROUNDS) -> DataFrame:
     """How many members of each linked group lie in each shard: ``(group, n, shard, k)``, stored."""
-    state = durable(dealt(groups, shards), "state")
+    whole, least, room = placed_whole(groups, shards, total)
+    state = dealt(groups.filter(F.col("n") <= least), shards, room)
+    state = durable(state if whole is None else state.unionByName(whole), "state")
     for turn in range(rounds):
         state, moved = round_of_moves(state, shards, total, turn)
         if not moved:

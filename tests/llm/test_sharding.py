@@ -56,6 +56,20 @@ def test_rounds_only_lower_the_cut_and_keep_quotas(spark):
     assert cuts == sorted(cuts, reverse=True) and cuts[-1] < cuts[0] / 3
 
 
+@pytest.mark.parametrize("others", [0, 2, 3])
+def test_a_group_larger_than_a_quota_takes_as_few_shards_as_it_can(spark, others):
+    big, total, shards = 8000, 24_000, 24
+    sizes = [big, 600] + [others] * ((total - big - 600) // others if others else 0)
+    groups = durable(spark.createDataFrame([(b"%d" % g, n) for g, n in enumerate(sizes)], "`group` binary, n long"))
+    state = sharding.propagated(groups, shards, total)
+    assert all(r.load <= r.quota for r in sharding.quotas(state, shards, total).collect())
+    where = defaultdict(dict)
+    for r in state.collect():
+        where[bytes(r.group)][r.shard] = r.k
+    assert all(sum(where[b"%d" % g].values()) == n for g, n in enumerate(sizes))
+    assert len(where[b"0"]) == big * shards // total and len(where[b"1"]) == 1
+
+
 def test_edges_and_kept_columns(spark):
     rows = [(1, None), (2, None), (3, ""), (3, ""), (None, "x"), (4, "y" * 100_000)]
     docs = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, slot int")
