@@ -1,5 +1,27 @@
 """SQL counterparts of the text operators' queries, where SQL can express them."""
 
+# CRC-32 of the reversed polynomial 0xEDB88320, byte by byte with a table of 256 remainders. SQL names: ``crcs`` has
+# the table as a list; CRC turns a list of bytes into the unsigned sum.
+CRC_TABLE = """
+        bits(b, k, c) AS (
+            SELECT i, 0, i FROM range(256) r(i)
+            UNION ALL
+            SELECT b, k + 1, CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM bits WHERE k < 8),
+        crcs AS (SELECT list(c ORDER BY b) AS remainders FROM bits WHERE k = 8)"""
+CRC = """xor(4294967295, list_reduce({bytes}, lambda acc, b:
+            xor(acc >> 8, remainders[(xor(acc, b) & 255) + 1]), 4294967295))"""
+
+
+def _field(column: str) -> str:
+    return f"coalesce(strlen({column}::VARCHAR) || ':' || {column}, '-')"
+
+
+def _leaf(n_chars: str) -> str:
+    return "sha256(" + " || ".join(map(_field, ("doc_id", "source", "lang", n_chars, "text"))) + ")"
+
+
+_DIGITS = "list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ord(x)::BIGINT)"
+
 ORACLES: dict[str, str] = {
     "op2_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
@@ -15,4 +37,50 @@ ORACLES: dict[str, str] = {
                    AS refers_to
         FROM (SELECT page_id, coalesce(html, '') AS p FROM pages)
         WINDOW same AS (PARTITION BY p ORDER BY page_id NULLS LAST)""",
+    # Levels of all languages at once, then of their roots; siblings by position.
+    "op11_merkle": f"""
+        WITH RECURSIVE {CRC_TABLE},
+        leaves AS (
+            SELECT doc_id, lang, {_leaf("n_chars")} AS leaf,
+                   CASE WHEN {CRC.format(bytes=_DIGITS)} % 7 = 0 THEN {_leaf("(n_chars + 1)")} END AS tampered,
+                   row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS place
+            FROM documents, crcs),
+        levels(lang, level, place, node) AS (
+            SELECT lang, 0, place, leaf FROM leaves
+            UNION ALL
+            SELECT lang, level + 1, place // 2, sha256(string_agg(node, '' ORDER BY place))
+            FROM (SELECT *, count(*) OVER (PARTITION BY lang) AS n FROM levels)
+            WHERE n > 1 GROUP BY lang, level, place // 2),
+        tops AS (SELECT lang, max(level) AS height FROM levels GROUP BY lang),
+        ordered AS (
+            SELECT t.lang, node AS subroot, height, row_number() OVER (ORDER BY t.lang NULLS FIRST) - 1 AS part
+            FROM levels l JOIN tops t ON l.lang IS NOT DISTINCT FROM t.lang AND level = height),
+        upper_levels(level, place, node) AS (
+            SELECT 0, part, subroot FROM ordered
+            UNION ALL
+            SELECT level + 1, place // 2, sha256(string_agg(node, '' ORDER BY place))
+            FROM (SELECT *, count(*) OVER () AS n FROM upper_levels) WHERE n > 1 GROUP BY level, place // 2),
+        top AS (SELECT node AS root, level AS height FROM upper_levels ORDER BY level DESC LIMIT 1),
+        steps AS (
+            SELECT doc_id, s.level, s.place % 2 AS odd, coalesce(node, '') AS sibling
+            FROM (SELECT doc_id, l.lang, k.level, l.place // (1 << k.level) AS place FROM leaves l
+                  JOIN ordered o ON l.lang IS NOT DISTINCT FROM o.lang, range(o.height) k(level)) s
+            LEFT JOIN levels n ON n.lang IS NOT DISTINCT FROM s.lang AND n.level = s.level AND n.place = xor(s.place, 1)
+            UNION ALL
+            SELECT doc_id, s.level + 1000, s.place % 2, coalesce(node, '')
+            FROM (SELECT doc_id, k.level, o.part // (1 << k.level) AS place FROM leaves l
+                  JOIN ordered o ON l.lang IS NOT DISTINCT FROM o.lang, top, range(top.height) k(level)) s
+            LEFT JOIN upper_levels n ON n.level = s.level AND n.place = xor(s.place, 1)),
+        proofs AS (
+            SELECT doc_id, string_agg(sibling, '' ORDER BY level) AS siblings,
+                   list([odd::VARCHAR, sibling] ORDER BY level) AS path
+            FROM steps GROUP BY doc_id),
+        folded AS (
+            SELECT l.doc_id, leaf, subroot, root, sha256(coalesce(siblings, '')) AS proof_sha256,
+                   list_reduce(coalesce(path, []), lambda acc, s: [CASE WHEN s[1] = '1'
+                       THEN sha256(s[2] || acc[1]) ELSE sha256(acc[1] || s[2]) END],
+                       [coalesce(tampered, leaf)])[1] AS folded_root
+            FROM leaves l JOIN ordered o ON l.lang IS NOT DISTINCT FROM o.lang, top
+            LEFT JOIN proofs p ON p.doc_id = l.doc_id)
+        SELECT *, folded_root = root AS verified FROM folded""",
 }

@@ -6,7 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from streampace.llm import decontaminate, exact_dedup, language_id, mixing, sharding, simhash, token_counts, toxicity, url_filter, warc
+from streampace.llm import (
+    decontaminate, exact_dedup, language_id, merkle, mixing, sharding, simhash, token_counts, toxicity, url_filter, warc,
+)
 from streampace.llm.common import fold_of, table
 
 
@@ -72,7 +74,19 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(docs, table(spark, sf_dir, "benchmark"))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
+    fields = ("doc_id", "source", "lang", "n_chars", "text")
+    changed = merkle.leaf([F.col(f) + 1 if f == "n_chars" else F.col(f) for f in fields])
+    tampered = F.when(fold_of("doc_id", 7) == 0, changed)
+    found = merkle.proofs(docs, fields, "lang", "doc_id", {"tampered": tampered})
+    return found.select(
+        F.col("id").alias("doc_id"), "leaf", "subroot", "root", merkle.proof_digest(F.col("steps")).alias("proof_sha256"),
+        merkle.folded(F.coalesce("tampered", "leaf"), F.col("steps")).alias("folded_root"),
+    ).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 QUERIES = {q.__name__: q for q in (
     op1_url_filter, op2_exact_dedup, op3_warc, op4_mixing, op5_toxicity, op6_sharding,
-    op7_language_id, op8_token_counts, op9_simhash, op10_decontaminate,
+    op7_language_id, op8_token_counts, op9_simhash, op10_decontaminate, op11_merkle,
 )}
