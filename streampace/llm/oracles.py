@@ -22,6 +22,23 @@ def _leaf(n_chars: str) -> str:
 
 _DIGITS = "list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ord(x)::BIGINT)"
 
+# UTF-8 of letters up to U+00FF.
+_UTF8 = """flatten(list_transform(string_split({text}, ''), lambda x: CASE WHEN ord(x) < 128 THEN [ord(x)::BIGINT]
+            ELSE [192 + (ord(x) >> 6)::BIGINT, 128 + (ord(x) & 63)::BIGINT] END))"""
+# kind, order, pattern, group that counts, its least length.
+_PATTERNS = (
+    ("assign", "([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|"
+     "[Aa][Pp][Ii]_?[Kk][Ee][Yy])[\"'']?\\x20*[:=]\\x20*[\"'']?([A-Za-z0-9+/_.=-]+)", 2, 6),
+    ("access", "AKIA[A-Z0-9]{16,}", 0, 20), ("hex", "[0-9a-f]{24,}", 0, 24),
+    ("private_key", "-----BEGIN ([A-Z]+ )*PRIVATE KEY-----", 0, 1), ("github", "gh[pousr]_[A-Za-z0-9]+", 0, 40),
+    ("slack", "xox[abprs]-[A-Za-z0-9-]+", 0, 25), ("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 1),
+)
+# DuckDB takes a pattern as a constant only: one query for each rule.
+_PER_RULE = " UNION ALL ".join(f"""
+            SELECT doc_id, '{kind}' AS kind, {order} AS ord, {least} AS least, regexp_extract_all(t, '{pattern}') AS hits,
+                   regexp_extract_all(t, '{pattern}', {part}) AS parts, string_split_regex(t, '{pattern}') AS gaps
+            FROM docs WHERE regexp_matches(t, '{pattern}')""" for order, (kind, pattern, part, least) in enumerate(_PATTERNS, 1))
+
 ORACLES: dict[str, str] = {
     "op2_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
@@ -83,4 +100,61 @@ ORACLES: dict[str, str] = {
             FROM leaves l JOIN ordered o ON l.lang IS NOT DISTINCT FROM o.lang, top
             LEFT JOIN proofs p ON p.doc_id = l.doc_id)
         SELECT *, folded_root = root AS verified FROM folded""",
+    # Words one edit apart share what is left when one letter of the longer, or the same letter of both, is taken out.
+    "op12_spelling": f"""
+        WITH RECURSIVE {CRC_TABLE},
+        runs AS (
+            SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\u00C0-\u00FF]+')),
+                                     'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+        counted AS (
+            SELECT doc_id, run, count(*) AS k, coalesce(doc_id::VARCHAR, '') || ':' || run AS named FROM runs GROUP BY ALL),
+        summed AS (SELECT run, k, {CRC.format(bytes=_UTF8.format(text="named"))} AS h FROM counted, crcs),
+        damaged AS (
+            SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, (h % length(run))::BIGINT) || substr(run, (h % length(run))::BIGINT + 2)
+                        ELSE run END AS word, k FROM summed),
+        words AS (
+            SELECT word, sum(k)::BIGINT AS n FROM damaged GROUP BY word HAVING length(word) >= 6 AND sum(k) >= 5),
+        cuts AS (
+            SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS rest
+            FROM (SELECT word, n, unnest(range(length(word))) AS i FROM words)),
+        pairs AS (
+            SELECT a.word, b.word AS near, b.n AS near_n FROM cuts a JOIN cuts b USING (i, rest) WHERE a.word <> b.word
+            UNION
+            SELECT a.word, b.word, b.n FROM cuts a JOIN words b ON b.word = a.rest
+            UNION
+            SELECT b.word, a.word, a.n FROM cuts a JOIN words b ON b.word = a.rest),
+        best AS (
+            SELECT word, count(*) AS n_near, arg_min(near, (-near_n, near)) AS form, max(near_n) AS form_n
+            FROM pairs GROUP BY word),
+        forms AS (
+            SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 5 * w.n THEN form END AS form,
+                   CASE WHEN form_n >= 5 * w.n THEN form_n END AS form_n
+            FROM words w LEFT JOIN best USING (word)),
+        chains(word, last) AS (
+            SELECT word, word FROM forms
+            UNION ALL
+            SELECT c.word, f.form FROM chains c JOIN forms f ON f.word = c.last WHERE f.form IS NOT NULL)
+        SELECT f.word, f.form, c.last AS root, f.n, f.n_near, f.form_n FROM forms f JOIN chains c ON c.word = f.word
+        JOIN forms e ON e.word = c.last WHERE e.form IS NULL""",
+    # The text is split at the matches; lengths up to a match give its place.
+    "op13_secrets": f"""
+        WITH docs AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+        cut AS ({_PER_RULE}),
+        matches AS (
+            SELECT doc_id, kind, ord, least, unnest(range(1, len(hits) + 1)) AS i, hits, parts, gaps FROM cut),
+        placed AS (
+            SELECT doc_id, kind, ord, least, length(parts[i]) AS counted, length(hits[i]) AS size,
+                   sum(length(gaps[i]) + length(hits[i])) OVER (PARTITION BY doc_id, kind ORDER BY i) AS stop
+            FROM matches),
+        spans AS (
+            SELECT doc_id, kind, ord, (stop - size)::BIGINT AS start, kind || ':' || (stop - size)::BIGINT || ':' || stop::BIGINT AS span
+            FROM placed WHERE counted >= least),
+        joined AS (
+            SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
+                   count(*) FILTER (kind = 'hex') AS n_hex, string_agg(span, ',' ORDER BY start, ord) AS spans,
+                   string_agg(span, ',' ORDER BY start, ord) FILTER (ord <= 3) AS base
+            FROM spans GROUP BY doc_id)
+        SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+               sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+        FROM docs LEFT JOIN joined USING (doc_id)""",
 }

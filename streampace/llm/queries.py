@@ -7,9 +7,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from streampace.llm import (
-    decontaminate, exact_dedup, language_id, merkle, mixing, sharding, simhash, token_counts, toxicity, url_filter, warc,
+    decontaminate, exact_dedup, language_id, merkle, mixing, secrets_ledger, sharding, simhash, spelling, token_counts, toxicity,
+    url_filter, warc,
 )
 from streampace.llm.common import fold_of, table
+from streampace.plans.durable import new_path
 
 
 RULES = [url_filter.rule(*r.split()) for r in (
@@ -86,7 +88,23 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spelling.variants(spelling.vocabulary(docs, damage=spelling.drop_letter))
+
+
+def op13_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, ledger = table(spark, sf_dir, "documents"), new_path(spark, "ledger")
+    secrets_ledger.scan(docs, ledger, content="text")
+    found = secrets_ledger.findings(docs, ledger, keys=["doc_id"], content="text")
+    base = F.filter("spans", lambda s: s["order"] <= len(secrets_ledger.BASE))
+    counts = [F.size(secrets_ledger.of_kind("spans", r.kind)).cast("long").alias(f"n_{r.kind}") for r in secrets_ledger.BASE]
+    return found.select("doc_id", *counts, F.sha2(secrets_ledger.listed(base), 256).alias("base_sha256"),
+                        secrets_ledger.listed(F.col("spans")).alias("spans"))
+
+
 QUERIES = {q.__name__: q for q in (
     op1_url_filter, op2_exact_dedup, op3_warc, op4_mixing, op5_toxicity, op6_sharding,
-    op7_language_id, op8_token_counts, op9_simhash, op10_decontaminate, op11_merkle,
+    op7_language_id, op8_token_counts, op9_simhash, op10_decontaminate, op11_merkle, op12_spelling,
+    op13_secrets,
 )}
