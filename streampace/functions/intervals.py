@@ -40,6 +40,15 @@ def interval_ms(rate: Column, confidence: Column | None = None,
     return F.when(usable, bounded).otherwise(F.lit(rule.fallback_ms)).cast("long")
 
 
+def interval_of(rate: float, confidence: float, rule: IntervalRule) -> int:
+    """:func:`interval_ms` of one live forecast."""
+    if confidence < rule.least_confidence or rate <= 0:
+        return rule.fallback_ms
+    wanted = int(rule.target_events / max(rate, rule.least_rate) * 1000)
+    mixed = int(confidence * wanted + (1.0 - confidence) * rule.fallback_ms)
+    return max(rule.min_ms, min(mixed, rule.max_ms))
+
+
 def effective_interval(override: Column, configured: Column) -> Column:
     """The override where it is positive, else the configured interval."""
     return F.when(override > 0, override).otherwise(configured)

@@ -60,16 +60,27 @@ def _on_full_windows(k: int, out: int | None, compute: Callable[[np.ndarray], np
     return apply
 
 
+def ema_rows(rows: np.ndarray, alpha: float) -> np.ndarray:
+    """Exponential average of each row of a matrix, seeded with the oldest value."""
+    columns = np.ascontiguousarray(rows.T)
+    acc = columns[0].copy()
+    for values in columns[1:]:
+        acc = alpha * values + (1 - alpha) * acc
+    return acc
+
+
+def mean_rows(rows: np.ndarray) -> np.ndarray:
+    """Mean of each row of a matrix, summed from the oldest value on."""
+    columns = np.ascontiguousarray(rows.T)
+    total = columns[0].copy()
+    for values in columns[1:]:
+        total = total + values
+    return total / len(columns)
+
+
 def ema_of(window: Column, alpha: float, k: int) -> Column:
     """Exponential average of a full window, seeded with the oldest value; else null."""
-    def fold_columns(rows: np.ndarray) -> np.ndarray:
-        columns = np.ascontiguousarray(rows.T)
-        acc = columns[0].copy()
-        for values in columns[1:]:
-            acc = alpha * values + (1 - alpha) * acc
-        return acc
-
-    return _on_full_windows(k, None, fold_columns)(window)
+    return _on_full_windows(k, None, lambda rows: ema_rows(rows, alpha))(window)
 
 
 def warmup_of(window: Column) -> Column:

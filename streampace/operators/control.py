@@ -52,6 +52,10 @@ class Smoothing:
                              (current * self.max_expand).astype(np.int64))
         return np.where(current <= 0, target, np.clip(limited, self.min_ms, self.max_ms))
 
+    def falls_back(self, failed: int, recovers: bool) -> bool:
+        """Whether the ``failed``-th failure in a row resets the interval."""
+        return failed > 0 and failed % self.failures == 0 if recovers else failed >= self.failures
+
     @property
     def top(self) -> int:
         """A state from which, as from all above it, one step ends at ``max_ms``."""
@@ -136,7 +140,7 @@ def smooth_intervals(df: DataFrame, raw: str = "raw_ms", rule: Smoothing = Smoot
     else:
         placed = placed.withColumn("_reset", F.lit(False))
 
-    entering = folds.entering_states(placed, _chunk_map(rule), ["_target", "_reset"], size=size)
+    entering = folds.entering_states(placed, _chunk_map(rule), ["_target", "_reset"])
     folded = folds.fold_rows(
         placed, entering, _fold(rule), [T.StructField("smoothed_ms", T.LongType())])
     result = folded.drop("_target", "_reset")

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from streampace.functions import messages as fm
 from streampace.plans.quantiles import SMALL_GROUP, exact_quantiles
 
+SKETCH_K = 2048      # a sketch of up to about so many values is exact; beyond, ranks are off by some 1.7 / k
+
 PERCENTILES = {"p50_ms": 0.50, "p95_ms": 0.95, "p99_ms": 0.99}
 
 
@@ -58,14 +60,49 @@ def latency_stats(latencies: DataFrame, by: Sequence[str] = ("rate_target",),
 
     ``exact=False`` uses sketches and so also runs on streams, in complete or update mode.
     """
-    counts = {"events": F.count(F.lit(1)), "avg_latency_ms": F.avg("e2e_latency_ms")}
     if exact:
-        return exact_quantiles(latencies, list(by), "e2e_latency_ms", PERCENTILES, counts, small_group)
+        return exact_quantiles(latencies, list(by), "e2e_latency_ms", PERCENTILES,
+                               {"events": "rows", "avg_latency_ms": "mean"}, small_group)
     return latencies.groupBy(*by).agg(
-        *[agg.alias(name) for name, agg in counts.items()],
+        F.count(F.lit(1)).alias("events"), F.avg("e2e_latency_ms").alias("avg_latency_ms"),
         *[F.percentile_approx("e2e_latency_ms", p).alias(name) for name, p in PERCENTILES.items()])
 
 
+def latency_sketches(latencies: DataFrame, window: str, by: Sequence[str] = ("rate_target",), ts: str = "event_time",
+                     watermark: str | None = None, k: int = SKETCH_K) -> DataFrame:
+    """``window_start, window_end, *by, events, total_ms, sketch`` per tumbling window; runs on streams, in any mode.
+
+    Sketches are bounded in size and can be merged over any range of windows and groups, so running statistics
+    are kept by storing one row per window instead of the latencies.
+    """
+    timed = latencies.withWatermark(ts, watermark) if watermark else latencies
+    value = F.col("e2e_latency_ms")
+    found = timed.groupBy(F.window(ts, window).alias("w"), *by).agg(
+        F.count(F.lit(1)).alias("events"), F.count(value).alias("measured"), F.sum(value).alias("total_ms"),
+        F.kll_sketch_agg_double(value, k).alias("sketch"))
+    return found.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), *by, "events",
+                        "measured", "total_ms", "sketch")
+
+
+def merged_latency(sketches: DataFrame, by: Sequence[str] = ("rate_target",), start: str | None = None,
+                   end: str | None = None, k: int = SKETCH_K) -> DataFrame:
+    """Count, mean and p50/p95/p99 per group from :func:`latency_sketches`, over the windows from ``start`` to ``end``.
+
+    A percentile is the smallest value that covers the share; null where nothing was measured.
+    """
+    chosen = sketches
+    if start is not None:
+        chosen = chosen.filter(F.col("window_start") >= F.lit(start).cast("timestamp"))
+    if end is not None:
+        chosen = chosen.filter(F.col("window_end") <= F.lit(end).cast("timestamp"))
+    merged = chosen.groupBy(*by).agg(
+        F.sum("events").alias("events"), F.sum("measured").alias("_measured"), F.sum("total_ms").alias("_total"),
+        F.kll_merge_agg_double(F.when(F.col("measured") > 0, F.col("sketch")), k).alias("_sketch"))
+    some = F.col("_measured") > 0
+    return merged.select(*by, "events", F.when(some, F.col("_total") / F.col("_measured")).alias("avg_latency_ms"), *[
+        F.when(some, F.kll_sketch_get_quantile_double("_sketch", F.lit(p))).alias(name) for name, p in PERCENTILES.items()])
+
+
 def latency_distribution(latencies: DataFrame, by: Sequence[str] = ("rate_target",),
                          width_ms: float = 1.0) -> DataFrame:
     """Cumulative share of events per latency bin: equal latencies are counted before any ordering."""

@@ -10,16 +10,14 @@ from collections.abc import Sequence
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from streampace.functions.intervals import BACKTEST, IntervalRule, interval_ms, ticks_of
 from streampace.operators.features import K, over_frame, with_window
 from streampace.operators.forecast import Forecaster, predict_all
 from streampace.plans import chunks, folds
-from streampace.plans.chunks import CHUNK_SIZE
+from streampace.plans.chunks import CHUNK, CHUNK_SIZE
 from streampace.plans.durable import durable
 
 TICK_MS = 100
@@ -56,85 +54,130 @@ def fixed_batches(trace: DataFrame, intervals: Sequence[int], tick_ms: int = TIC
     )
 
 
-def _chain_map(widths: Sequence[int], size: int):
-    """Map of a chunk for trigger chains: where a chain entering at an offset leaves.
+def _chunk_chains(ticks: DataFrame, widths: Sequence[int], size: int) -> DataFrame:
+    """Stored pointers of every chunk of every trace and policy: ``series_id, policy, _chunk, _initial, rates, next``.
 
-    A state is ``sum(widths[:mode]) + offset``: the next trigger's tick counted from the beginning of
-    the chunk, and the mode it will be reached in.
+    Tick ``i`` of a chunk of ``n``, reached in mode ``m``, is node ``m * n + i``. ``next`` names the node of the trigger
+    after it. Beyond the chunk it is ``modes * n`` plus the state in which the next chunk is entered:
+    ``sum(widths[:mode])`` plus the tick counted from that chunk's beginning.
     """
-    bases = np.concatenate(([0], np.cumsum(widths)))
-
-    def build(part: pd.DataFrame) -> tuple[Sequence[int], Sequence[int]]:
-        n, modes = len(part), range(len(widths))
-        start = int(part["step"].iloc[0]) % size
-        jumps = [part[f"_jump{m}"].tolist() for m in modes]
-        nexts = [part[f"_mode{m}"].tolist() for m in modes]
-        leave = [[0] * n for _ in modes]
-        for i in range(n - 1, -1, -1):
-            for m in modes:
-                after, then = nexts[m][i], i + jumps[m][i]
-                leave[m][i] = (leave[after][then] if then < n
-                               else int(bases[after]) + then - n)
-        ends = []
-        for m in modes:
-            for offset in range(widths[m]):
-                i = offset - start
-                if i < 0:
-                    ends.append(int(bases[m]))
-                else:
-                    ends.append(leave[m][i] if i < n else int(bases[m]) + i - n)
-        return list(range(len(ends))), ends
-    return build
-
-
-def _chain_fold(widths: Sequence[int], size: int):
+    bases = F.array(*[F.lit(int(b)) for b in np.concatenate(([0], np.cumsum(widths)[:-1]))])
+    whole = chunks.with_chunk(ticks, size).groupBy("series_id", "_source", CHUNK).agg(
+        F.array_sort(F.collect_list(F.struct("step", "rate", "plans"))).alias("ticks")
+    ).withColumn("n", F.size("ticks"))
+    each = whole.select("series_id", CHUNK, "n", F.col("ticks.rate").alias("rates"), "ticks",
+                        F.posexplode(F.col("ticks")[0]["plans"]).alias("p", "plan")).select(
+        "series_id", F.col("plan.policy").alias("policy"), CHUNK, F.col("plan._initial").alias("_initial"), "n", "rates",
+        F.transform("ticks", lambda t: t["plans"][F.col("p")]).alias("plans"))
+
+    def pointers(m: int) -> Column:
+        def after(t: Column, i: Column) -> Column:
+            then, mode = i + t[f"_jump{m}"], t[f"_mode{m}"]
+            return F.when(then < F.col("n"), mode * F.col("n") + then).otherwise(
+                F.col("n") * (len(widths) - 1) + F.element_at(bases, mode + 1) + then)
+        return F.transform("plans", after)
+
+    return durable(each.select("series_id", "policy", CHUNK, "_initial", "rates", F.concat(
+        *[pointers(m) for m in range(len(widths))]).alias("next")), "chains")
+
+
+def _doubled(pointers: Column, inside: Column) -> Column:
+    """Pointers of twice the length; those that have left the chunk stay."""
+    return F.transform(pointers, lambda x: F.when(x < inside, F.element_at(pointers, x + 1)).otherwise(x))
+
+
+def _leaving(next_: Column, rounds: Column) -> Column:
+    """Where the chain from each node leaves the chunk."""
+    return F.aggregate(F.sequence(F.lit(1), rounds), next_, lambda p, _: _doubled(p, F.size(p)))
+
+
+def _entering(chains: DataFrame, widths: Sequence[int], size: int) -> DataFrame | None:
+    """State in which each chunk that follows another one is entered; None if no trace has two."""
+    keys = ["series_id", "policy"]
+    later = F.lead(CHUNK).over(Window.partitionBy(*keys).orderBy(CHUNK))
+    held = chains.select(*keys, CHUNK).withColumn("_next", later).filter("_next IS NOT NULL")
+    if held.isEmpty():
+        return None
+    inside, n = F.size("next"), F.size("rates")
     bases = [int(b) for b in np.concatenate(([0], np.cumsum(widths)))]
+    left = _leaving(F.col("next"), _rounds(n)).alias("leave")
 
-    def body(run: pd.DataFrame, state: int) -> tuple[dict[str, Sequence], int]:
-        modes = range(len(widths))
-        steps = run["step"].tolist()
-        jumps = [run[f"_jump{m}"].tolist() for m in modes]
-        nexts = [run[f"_mode{m}"].tolist() for m in modes]
-        floor = steps[0] - steps[0] % size
-        if state >= 0:          # entering a chunk: offset from its beginning
-            mode = max(m for m in modes if bases[m] <= state)
-            target = floor + state - bases[mode]
-        else:                   # continuing inside it: offset from this row
-            code = -state - 1
-            mode = max(m for m in modes if bases[m] <= code)
-            target = steps[0] + code - bases[mode]
-        ends = []
-        for i, step in enumerate(steps):
-            ends.append(target)
-            if step == target:
-                target, mode = step + jumps[mode][i], nexts[mode][i]
-        return {"_end": ends}, -(bases[mode] + target - steps[-1] - 1) - 1
-    return body
+    def state(m: int) -> Column:
+        def ends(offset: Column) -> Column:
+            return F.when(offset < n, F.element_at("leave", offset + 1 + n * m) - inside).otherwise(offset - n + bases[m])
+        return F.transform(F.sequence(F.lit(0), F.lit(widths[m] - 1)), ends)
+
+    maps = chains.join(held, [*keys, CHUNK]).select("*", left).select(
+        *keys, CHUNK, "_next", "_initial", F.sequence(F.lit(0), F.lit(bases[-1] - 1)).cast("array<bigint>").alias("starts"),
+        F.concat(*[state(m) for m in range(len(widths))]).cast("array<bigint>").alias("ends"))
+    return folds.chained(durable(maps, "maps"), keys, folds.dense_pairs)
+
+
+def _rounds(n: Column) -> Column:
+    """Doublings after which a pointer over ``n`` ticks has left them."""
+    return F.ceil(F.log2(n.cast("double"))).cast("int") + 1
+
+
+def _batch_parts(chains: DataFrame, entering: DataFrame | None, widths: Sequence[int], size: int) -> DataFrame:
+    """``series_id, policy, tick, rate, closed``: the rates of each batch in each chunk, and whether its trigger is there.
+
+    From the entering state on, the triggers of a chunk double with each doubling of the pointers; only they are marked.
+    """
+    keys = ["series_id", "policy"]
+    n, inside = F.size("rates"), F.size("next")
+    bases = [int(b) for b in np.cumsum([0, *widths])]
+    if entering is None:
+        known = chains.withColumn("_state", F.col("_initial"))
+    else:
+        known = chains.join(entering, [*keys, CHUNK], "left").withColumn("_state", F.coalesce("_enter", "_initial"))
+    mode, offset = F.lit(0), F.col("_state").cast("int")
+    for m in range(1, len(widths)):
+        later = F.col("_state") >= bases[m]
+        mode, offset = F.when(later, m).otherwise(mode), F.when(later, (F.col("_state") - bases[m]).cast("int")).otherwise(offset)
+    at = known.withColumns({"_mode": mode, "_offset": offset}).withColumn(
+        "_found", F.when(F.col("_offset") < n, F.array(F.col("_mode") * n + F.col("_offset"))).otherwise(F.array().cast("array<int>")))
+
+    def further(a: Column, _: Column) -> Column:
+        ahead = F.filter(F.transform(a["found"], lambda x: F.element_at(a["next"], x + 1)), lambda x: x < inside)
+        return F.struct(_doubled(a["next"], inside).alias("next"), F.concat(a["found"], ahead).alias("found"))
+
+    begin = F.struct(F.col("next"), F.col("_found").alias("found"))
+    walked = at.withColumn("_walk", F.aggregate(F.sequence(F.lit(1), _rounds(n)), begin, further)).select(
+        *keys, CHUNK, "rates", "_offset", F.array_sort(F.transform("_walk.found", lambda x: x % n)).alias("at"),
+        F.when(F.size("_found") > 0, F.element_at("_walk.next", F.element_at("_found", 1) + 1) - inside).alias("out"))
+    # The trigger after the last one: where the state in which the next chunk is entered says.
+    beyond = F.col("out")
+    for m in range(1, len(widths)):
+        beyond = F.when(F.col("out") >= bases[m], F.col("out") - bases[m]).otherwise(beyond)
+    opened = F.coalesce(n + beyond, F.col("_offset"))
+    ends = F.concat("at", F.array(opened.cast("int")))
+
+    def part(end: Column, i: Column) -> Column:
+        start = F.when(i > 0, F.element_at(F.col("at"), F.greatest(i, F.lit(1))) + 1).otherwise(0)
+        length = F.least(end + 1, n) - start
+        rate = F.aggregate(F.slice("rates", start + 1, F.greatest(length, F.lit(0))), F.lit(0.0), lambda a, r: a + r)
+        return F.struct((F.col(CHUNK) * size + end).alias("tick"), rate.alias("rate"), (i < F.size("at")).alias("closed"))
+
+    return walked.select(*keys, F.inline(F.transform(ends, part)))
 
 
 def _chain_batches(ticks: DataFrame, widths: Sequence[int], tick_ms: int,
                    size: int) -> DataFrame:
     """Follow the trigger chain of each trace and policy and sum the ticks of each batch.
 
-    ``ticks`` has, for every mode ``m`` in which a trigger can be reached, the ticks to the next one
-    (``_jump{m}``, at most ``widths[m]``) and the mode that one is reached in (``_mode{m}``). Chains
-    start in mode 0 at tick ``_initial``, which is less than ``widths[0]``.
+    ``ticks`` has, per policy of ``plans`` and for every mode ``m`` in which a trigger can be reached, the ticks to the
+    next one (``_jump{m}``, at most ``widths[m]``) and the mode that one is reached in (``_mode{m}``). Chains
+    start in mode 0 at tick ``_initial``, which is less than ``widths[0]``. Traces begin at step 0.
     """
     if max(widths) > size:
         raise ValueError(f"a jump of {max(widths)} ticks exceeds the chunk size {size}")
-    keys = ("series_id", "policy")
-    placed = chunks.with_chunk(ticks, size)
-    inputs = [f"_{kind}{m}" for m in range(len(widths)) for kind in ("jump", "mode")]
-    entering = folds.entering_states(placed, _chain_map(widths, size), inputs, keys, size)
-    folded = folds.fold_rows(placed, entering, _chain_fold(widths, size),
-                             [T.StructField("_end", T.LongType())], keys)
-    batches = folded.groupBy(*keys, "_end").agg(
-        F.sum("rate").alias("_rate"), F.max("step").alias("_last")
-    ).filter(F.col("_last") == F.col("_end"))
+    chains = _chunk_chains(ticks, widths, size)
+    parts = _batch_parts(chains, _entering(chains, widths, size), widths, size)
+    batches = parts.groupBy("series_id", "policy", "tick").agg(
+        F.sum("rate").alias("rate"), F.max("closed").alias("closed")).filter("closed")
     return chunks.numbered(
-        batches.select(*keys, F.col("_end").alias("tick"),
-                       (F.col("_rate") * (tick_ms / 1000)).alias("rows")),
-        "trigger_no", keys, "tick", size).select(*BATCH_COLUMNS)
+        batches.select("series_id", "policy", "tick", (F.col("rate") * (tick_ms / 1000)).alias("rows")),
+        "trigger_no", ("series_id", "policy"), "tick", size).select(*BATCH_COLUMNS)
 
 
 def _plan(name: str, first: int, jumps: Sequence[tuple[Column, Column]]) -> Column:
@@ -144,9 +187,9 @@ def _plan(name: str, first: int, jumps: Sequence[tuple[Column, Column]]) -> Colu
     return F.struct(*fields)
 
 
-def _ticks(rows: DataFrame, plans: Sequence[Column]) -> DataFrame:
-    """One row per tick and policy."""
-    return rows.select("series_id", "step", "rate", F.inline(F.array(*plans)))
+def _ticks(rows: DataFrame, plans: Sequence[Column], source: str) -> DataFrame:
+    """One row per tick with what each policy would do there."""
+    return rows.select("series_id", "step", "rate", F.array(*plans).alias("plans"), F.lit(source).alias("_source"))
 
 
 def _adaptive_ticks(trace: DataFrame, models: Sequence[str | Forecaster], tick_ms: int, k: int,
@@ -159,7 +202,7 @@ def _adaptive_ticks(trace: DataFrame, models: Sequence[str | Forecaster], tick_m
         forecast = F.when(F.col("ready"), F.col(f"pred_{name}")).otherwise(F.col("rate"))
         jump = ticks_of(interval_ms(forecast, rule=rule), tick_ms)
         plans.append(_plan(f"adaptive_{name}", first, [(jump, F.lit(0))] * modes))
-    return _ticks(windows, plans)
+    return _ticks(windows, plans, "adaptive")
 
 
 def _adaptive_width(tick_ms: int, rule: IntervalRule) -> int:
@@ -196,7 +239,7 @@ def _reactive_ticks(trace: DataFrame, threshold: float, spans: Sequence[int], ti
     for m in (0, 1):
         burst = F.col(f"_sum{m}") * (tick_ms / 1000) > threshold
         jumps.append((F.when(burst, spans[1]).otherwise(spans[0]), F.when(burst, 1).otherwise(0)))
-    return _ticks(summed, [_plan("reactive", spans[0], jumps)])
+    return _ticks(summed, [_plan("reactive", spans[0], jumps)], "reactive")
 
 
 def _reactive_spans(normal_ms: int, burst_ms: int, tick_ms: int) -> list[int]:

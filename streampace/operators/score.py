@@ -50,7 +50,7 @@ def error_quantiles(scored: DataFrame, by: Sequence[str] = ("model", "regime"))
     """MAE, median and 95th percentile of the absolute error per group."""
     return exact_quantiles(
         scored, list(by), "abs_err", {"median": 0.5, "p95": 0.95},
-        {"mae": F.avg("abs_err"), "n": F.count("abs_err")})
+        {"mae": "mean", "n": "count"})
 
 
 def by_regime(scored: DataFrame) -> DataFrame:

@@ -1,9 +1,9 @@
-"""Exact quantiles of groups of any size.
+"""Exact quantiles of groups of any size, from one scan of the input.
 
-``percentile`` keeps every distinct value of a group in one task, so it serves only when a first pass
-has shown that all groups are small. Otherwise the same pass has bracketed each wanted rank by a
-bounded sketch: rows below a bracket collapse to one count, rows above are dropped, and only the few
-values inside are ordered, split further by equal-width slots.
+The rows are counted by group and value, partly before they are shuffled, and the counts are stored; all else reads the
+counts. Where no group has many distinct values, a running sum in order of the values finds each rank. Otherwise
+the counts are dealt by ranges of (group, value), so that a large group lies in many tasks; the totals of the
+ranges say which of them hold a wanted rank, and only these are summed up in order.
 """
 
 from __future__ import annotations
@@ -13,122 +13,77 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from streampace.plans.durable import broadcast_if_small, durable
+from streampace.plans.durable import durable
 
-ACCURACY = 2_000      # sketch rank error is n / ACCURACY
-MARGIN = 5            # bracket half-width, in sketch errors
-SLOTS = 1_024         # equal-width slots inside a bracket
-WHOLE_GROUP = 20_000  # groups up to this many rows are not bracketed
-SMALL_GROUP = 1_000_000  # rows up to which one task may hold a group
+SMALL_GROUP = 1_000_000  # distinct values up to which one task may order a group
 
-
-def _literals(values: Sequence[float]) -> Column:
-    return F.array(*[F.lit(float(v)) for v in values])
+# What can be said of a group besides its quantiles: rows, values that are not null, and of these the rest.
+SUMMARIES = ("rows", "count", "mean", "min", "max")
 
 
 def exact_quantiles(df: DataFrame, by: Sequence[str], value: str,
                     quantiles: Mapping[str, float],
-                    extra: Mapping[str, Column] | None = None,
+                    extra: Mapping[str, str] | None = None,
                     small_group: int = SMALL_GROUP) -> DataFrame:
     """Linear-interpolation quantiles per group, one column per name in ``quantiles``.
 
-    ``extra`` holds further aggregates of the same groups, computed in the first pass. Null values
-    are ignored by the quantiles.
+    ``extra`` names further columns and which of ``SUMMARIES`` they hold. Null values are ignored by all but ``rows``.
     """
     if not by:
         return exact_quantiles(df.withColumn("_all", F.lit(0)), ["_all"], value, quantiles, extra,
                                small_group).drop("_all")
     extra = dict(extra or {})
-    names = list(quantiles)
-    probs = [float(quantiles[n]) for n in names]
-    slack = MARGIN / ACCURACY
-    low = [max(p - slack, 0.0) for p in probs]
-    high = [min(p + slack, 1.0) for p in probs]
-
-    first = df.groupBy(*by).agg(
-        *[agg.alias(name) for name, agg in extra.items()],
-        F.count(value).alias("_n"),
-        F.min(value).cast("double").alias("_min"),
-        F.max(value).cast("double").alias("_max"),
-        F.percentile_approx(F.col(value).cast("double"), _literals(low + high), ACCURACY)
-        .alias("_ends"),
-    )
-    # The sketch depends on the order of merging: fix it once, so that all later passes agree.
-    stored = durable(first)
-    back = [F.col(c).eqNullSafe(F.col(f"_g{j}")) for j, c in enumerate(by)]
-    groups = [F.col(c).alias(f"_g{j}") for j, c in enumerate(by)]
-
-    if stored.filter(F.col("_n") > small_group).isEmpty():
-        small = df.groupBy(*groups).agg(
-            F.percentile(F.col(value).cast("double"), _literals(probs)).alias("_p"))
-        answers = small.select(
-            *[f"_g{j}" for j in range(len(by))],
-            *[F.col("_p")[i].alias(n) for i, n in enumerate(names)])
-        return stored.join(answers, back, "left").select(*by, *extra, *names)
-
-    # Where a sketch error is not many rows, the neighbouring ranks may lie outside: take the whole.
-    whole = F.col("_n") <= WHOLE_GROUP
-    brackets = []
-    for i, (p, lo, hi) in enumerate(zip(probs, low, high)):
-        brackets.append(F.struct(
-            F.lit(i).alias("i"),
-            (F.lit(p) * (F.col("_n") - 1)).alias("rank"),
-            F.when(whole | F.lit(lo == 0.0), F.col("_min")).otherwise(F.col("_ends")[i]).alias("lo"),
-            F.when(whole | F.lit(hi == 1.0), F.col("_max"))
-            .otherwise(F.col("_ends")[len(probs) + i]).alias("hi"),
-        ))
-    wanted = broadcast_if_small(stored.select(*groups, F.array(*brackets).alias("_brackets")))
-    keys = [f"_g{j}" for j in range(len(by))]
-
-    rows = df.select(*by, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
-    inside = (
-        rows.join(wanted, back)
-        .select(*keys, "_v", F.explode(F.filter(
-            "_brackets", lambda b: F.col("_v") <= b["hi"])).alias("_b"))
-        .select(
-            *keys, F.col("_b.i").alias("_i"), F.col("_b.rank").alias("_rank"),
-            F.when(F.col("_v") < F.col("_b.lo"), F.lit(-1))
-             .when(F.col("_b.hi") == F.col("_b.lo"), F.lit(0))
-             .otherwise(F.floor((F.col("_v") - F.col("_b.lo"))
-                                / (F.col("_b.hi") - F.col("_b.lo")) * SLOTS)).alias("_slot"),
-            F.when(F.col("_v") >= F.col("_b.lo"), F.col("_v")).alias("_v"),
-        )
-        .groupBy(*keys, "_i", "_rank", "_slot", "_v").agg(F.count(F.lit(1)).alias("_c"))
-    )
-    slot_totals = inside.groupBy(*keys, "_i", "_slot").agg(F.sum("_c").alias("_t"))
-    earlier = Window.partitionBy(*keys, "_i").orderBy("_slot").rowsBetween(
-        Window.unboundedPreceding, -1)
-    # Only the slots that hold the ranks on both sides of the target are ordered.
-    slots = slot_totals.withColumn(
-        "_before", F.coalesce(F.sum("_t").over(earlier), F.lit(0))
-    ).select(*[F.col(k).alias(f"_s{k}") for k in keys], F.col("_i").alias("_si"),
-             F.col("_slot").alias("_ss"), "_before", "_t")
-    on = [F.col(k).eqNullSafe(F.col(f"_s{k}")) for k in keys]
-    on += [F.col("_i") == F.col("_si"), F.col("_slot") == F.col("_ss")]
-    running = Window.partitionBy(*keys, "_i", "_slot").orderBy("_v").rowsBetween(
-        Window.unboundedPreceding, 0)
-    placed = (
-        inside.join(slots, on)
-        .filter((F.col("_before") <= F.ceil("_rank"))
-                & (F.col("_before") + F.col("_t") > F.floor("_rank")))
-        .withColumn("_end", F.col("_before") + F.sum("_c").over(running))
-        .withColumn("_start", F.col("_end") - F.col("_c"))
-    )
-
-    def at(rank: Column) -> Column:
-        hit = (F.col("_start") <= rank) & (rank < F.col("_end"))
-        return F.max(F.when(hit, F.col("_v")))
-
-    picked = placed.groupBy(*keys, "_i").agg(
-        at(F.floor("_rank")).alias("_a"), at(F.ceil("_rank")).alias("_z"),
-        F.max(F.col("_rank") - F.floor("_rank")).alias("_w"),
-    )
-    # A missing end would mean that the sketch broke its error bound: fail, never return a guess.
-    checked = F.when(
-        F.col("_a").isNull() | F.col("_z").isNull(),
-        F.raise_error(F.lit("quantile bracket missed its rank")).cast("double"),
-    ).otherwise(F.col("_a") + (F.col("_z") - F.col("_a")) * F.col("_w"))
-    answers = picked.groupBy(*keys).agg(
-        *[F.max(F.when(F.col("_i") == i, checked)).alias(n) for i, n in enumerate(names)])
-
-    return stored.join(answers, back, "left").select(*by, *extra, *names)
+    if not set(extra.values()) <= set(SUMMARIES):
+        raise ValueError(f"summaries are {SUMMARIES}")
+    groups = [f"_g{j}" for j in range(len(by))]
+    # 0.0 + v turns the negative zero into zero, so that both are one value.
+    counts = durable(df.groupBy(*[F.col(c).alias(g) for c, g in zip(by, groups, strict=True)],
+                                (F.col(value).cast("double") + 0.0).alias("_v")).agg(F.count(F.lit(1)).alias("_c")), "counts")
+    known = counts.filter("_v IS NOT NULL")
+    valued = F.when(F.col("_v").isNotNull(), F.col("_c"))
+    summary = counts.groupBy(*groups).agg(
+        F.sum("_c").alias("_rows"), F.coalesce(F.sum(valued), F.lit(0)).alias("_n"), F.min("_v").alias("_min"),
+        F.max("_v").alias("_max"), (F.sum(F.col("_v") * F.col("_c")) / F.sum(valued)).alias("_mean"))
+    rank = {name: F.lit(float(p)) * (F.col("_n") - 1) for name, p in quantiles.items()}
+
+    most = counts.groupBy(*groups).count().agg(F.max("count")).first()[0] or 0
+    if most <= small_group:
+        whole = Window.partitionBy(*groups)
+        end = F.sum("_c").over(whole.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+        placed = known.withColumns({"_n": F.sum("_c").over(whole), "_end": end})
+    else:
+        placed = _in_ranges(known, groups, list(rank.values()))
+
+    def at(position: Column) -> Column:
+        here = (F.col("_end") - F.col("_c") <= position) & (position < F.col("_end"))
+        return F.max(F.when(here, F.col("_v")))
+
+    ends = placed.groupBy(*groups).agg(*[
+        F.struct(at(F.floor(r)).alias("a"), at(F.ceil(r)).alias("z"), F.max(r - F.floor(r)).alias("w")).alias(f"_q_{name}")
+        for name, r in rank.items()])
+    found = summary.alias("s").join(
+        ends.alias("e"), [F.col(f"s.{g}").eqNullSafe(F.col(f"e.{g}")) for g in groups], "left")
+    names = {"rows": "_rows", "count": "_n", "mean": "_mean", "min": "_min", "max": "_max"}
+    return found.select(
+        *[F.col(f"s.{g}").alias(c) for g, c in zip(groups, by, strict=True)],
+        *[F.col(f"s.{names[kind]}").alias(name) for name, kind in extra.items()],
+        *[(q["a"] + F.when(q["w"] > 0, (q["z"] - q["a"]) * q["w"]).otherwise(0.0)).alias(name)
+          for name, q in ((name, F.col(f"_q_{name}")) for name in rank)])
+
+
+def _in_ranges(known: DataFrame, groups: list[str], ranks: list[Column]) -> DataFrame:
+    """The rows of ``known`` in the ranges that hold a wanted rank, with ``_n`` and the running sum ``_end``."""
+    parts = int(known.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Stored, because sampled bounds of ranges may differ between two evaluations.
+    ranged = durable(known.repartitionByRange(parts, *groups, "_v").withColumn("_range", F.spark_partition_id()), "ranged")
+    totals = ranged.groupBy(*groups, "_range").agg(F.sum("_c").alias("_t"))
+    whole = Window.partitionBy(*groups)
+    before = F.sum("_t").over(whole.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    hit = F.lit(False)
+    for r in ranks:
+        hit = hit | ((F.col("_before") <= F.ceil(r)) & (F.col("_before") + F.col("_t") > F.floor(r)))
+    wanted = totals.withColumns({"_n": F.sum("_t").over(whole), "_before": F.coalesce(before, F.lit(0))}).filter(hit)
+    running = Window.partitionBy(*groups, "_range").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    same = [F.col(f"r.{g}").eqNullSafe(F.col(f"w.{g}")) for g in groups] + [F.col("r._range") == F.col("w._range")]
+    return ranged.alias("r").join(wanted.alias("w"), same).select("r.*", "w._n", "w._before").withColumn(
+        "_end", F.col("_before") + F.sum("_c").over(running))

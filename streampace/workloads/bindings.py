@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from streampace.functions.messages import epoch_seconds
@@ -11,6 +11,7 @@ from streampace.plans.durable import new_path
 from streampace.session import load
 
 HOUR = 3600
+DAY = 24 * HOUR
 TRACE_SCALE = 60.0        # an hourly count of 1 stands for 60 events per second in traces
 RULE_SHAPES = ("noise", "ramp", "wall", "plateau", "cliff", "double_peak", "sawtooth")
 SEGMENT_STEPS = 48
@@ -70,6 +71,11 @@ def messages_of(table: DataFrame) -> DataFrame:
         .alias("process_ts"))
 
 
+def done_at(ts: Column, value: Column) -> Column:
+    """A recorded processing time: ``value`` milliseconds after the event."""
+    return F.timestamp_micros(F.unix_micros(ts) + F.round(value * 1000).cast("long"))
+
+
 def measured(spark: SparkSession, sf: str) -> DataFrame:
     """Parsed events with a recorded processing time ``value`` milliseconds after the event."""
     return events(spark, sf).select(
@@ -78,8 +84,7 @@ def measured(spark: SparkSession, sf: str) -> DataFrame:
         F.hour("ts").alias("second"),
         F.timestamp_micros(F.unix_micros("ts") + F.round(F.col("value") * 500).cast("long"))
         .alias("ingest_ts"),
-        F.timestamp_micros(F.unix_micros("ts") + F.round(F.col("value") * 1000).cast("long"))
-        .alias("done_ts"))
+        done_at(F.col("ts"), F.col("value")).alias("done_ts"))
 
 
 def progress(spark: SparkSession, sf: str) -> DataFrame:

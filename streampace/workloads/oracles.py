@@ -516,8 +516,7 @@ LEFT JOIN (SELECT series_id, triggers FROM mt WHERE policy = 'fixed_1000ms') b U
 ORACLES["stream_windowed_stats"] = with_sql(MEASURED, """
 SELECT q * 3600000000 AS window_start, (q + 1) * 3600000000 AS window_end, count(*) AS event_count,
   round(avg(rate_target::DOUBLE), 6) AS avg_rate_target
-FROM (SELECT us // 3600000000 AS q, rate_target FROM m) GROUP BY q
-HAVING (q + 1) * 3600000000 <= (SELECT max(us) FROM m) - 5000000""")
+FROM (SELECT us // 3600000000 AS q, rate_target FROM m) GROUP BY q""")
 ORACLES["stream_latency_json"] = with_sql(MEASURED, """
 SELECT CASE WHEN event_type <> 'error' THEN rate_target END AS rate_target,
   CASE WHEN event_type <> 'error' THEN second END AS second, count(*) AS events
@@ -525,26 +524,31 @@ FROM m WHERE event_type <> 'error' GROUP BY 1, 2""")
 ORACLES["stream_progress_dedup"] = with_sql(PROGRESS, """
 SELECT run_id, count(*) AS batches, sum(num_input_rows)::BIGINT AS input_rows FROM p GROUP BY 1""")
 ORACLES["stream_progress_capture"] = "SELECT count(*) AS input_rows FROM events"
-# Closed hours of each type, gaps filled from its first to its last one.
+# Hours of each type, gaps filled from its first to its last one; measurements of four hours a day are lost.
 CLOSED = """
-h AS (SELECT event_type AS series_id, epoch_us(ts) // 3600000000 AS bucket, count(*) AS n FROM events
-  GROUP BY 1, 2 HAVING (epoch_us(min(ts)) // 3600000000 + 1) * 3600000000
-    <= (SELECT max(epoch_us(ts)) FROM events) - 5000000),
+h AS (SELECT event_type AS series_id, epoch_us(ts) // 3600000000 AS bucket, count(*) AS n FROM events GROUP BY 1, 2),
 ends AS (SELECT series_id, min(bucket) AS lo, max(bucket) AS hi FROM h GROUP BY 1),
 g AS (SELECT series_id, lo, unnest(range(lo, hi + 1)) AS bucket FROM ends),
-r AS (SELECT g.series_id, g.lo, (g.bucket - g.lo)::BIGINT AS step,
-  coalesce(h.n, 0)::DOUBLE * 60.0::DOUBLE AS rate
-  FROM g LEFT JOIN h ON h.series_id = g.series_id AND h.bucket = g.bucket)"""
-RECOMMENDED = f"""
-pr AS (SELECT series_id, step, lo, rate, CASE WHEN ready THEN {ema_sql(0.3)}
-  ELSE list_sum(win) / len(win) END AS pred, CASE WHEN ready THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END
-  AS confidence FROM w),
-i AS (SELECT series_id, step, rate, {live_sql('pred', 'confidence')} AS raw_ms FROM pr)"""
-ORACLES["stream_recommend"] = with_sql(CLOSED, WINDOWS, RECOMMENDED, smooth_sql(), """
-SELECT s.series_id, s.step + pr.lo AS step, s.rate, round(pr.pred, 6) AS pred, pr.confidence, s.raw_ms,
-  s.smoothed_ms FROM s JOIN pr ON pr.series_id = s.series_id AND pr.step = s.step""", recursive=True)
+steps AS (SELECT g.series_id, g.lo, (g.bucket - g.lo)::BIGINT AS step, coalesce(h.n, 0)::DOUBLE * 60.0::DOUBLE AS rate,
+  h.n IS NOT NULL AND g.bucket % 24 < 4 AS lost
+  FROM g LEFT JOIN h ON h.series_id = g.series_id AND h.bucket = g.bucket),
+r AS (SELECT series_id, lo, step, rate FROM steps WHERE NOT lost)"""
+RECOMMENDED = "fc AS (SELECT *, " + ", ".join(f"greatest({sql}, 0) AS pred_{n}" for n, sql in PREDS.items()) + """ FROM w),
+cz AS (SELECT *, [""" + ", ".join(f"(pred_{n} - mu) / scale" for n in NAMES) + f"""] AS z FROM fc),
+cm AS (SELECT *, list_sum(z) / 5 AS m FROM cz),
+pr AS (SELECT series_id, step, CASE WHEN ready THEN pred_ema ELSE list_sum(win) / len(win) END AS pred,
+  CASE WHEN ready THEN round(least(greatest(1 / (1 + sqrt(list_sum(list_transform(z, lambda v: (v - m) * (v - m))) / 5)
+  * 10), 0), 1), 6) ELSE 0.0::DOUBLE END AS confidence FROM cm),
+i AS (SELECT a.series_id, a.step, CASE WHEN NOT lost THEN a.rate END AS rate,
+  CASE WHEN NOT lost THEN {live_sql('pred', 'confidence')} END AS raw_ms
+  FROM steps a LEFT JOIN pr ON pr.series_id = a.series_id AND pr.step = a.step)"""
+ORACLES["stream_recommend"] = with_sql(CLOSED, WINDOWS, RECOMMENDED, fallback_sql(True), """
+SELECT s.series_id, s.step + a.lo AS step, s.rate, round(pr.pred, 6) AS pred, coalesce(pr.confidence, 0) AS confidence,
+  s.raw_ms, s.smoothed_ms, s.failed_run::INTEGER AS failed_run, s.failed_run >= 3 AS fallback, 0::BIGINT AS late_buckets
+FROM s JOIN steps a ON a.series_id = s.series_id AND a.step = s.step
+LEFT JOIN pr ON pr.series_id = s.series_id AND pr.step = s.step""", recursive=True)
 ORACLES["stream_agreement"] = with_sql(CLOSED, """
-SELECT count(*) AS same, 0::BIGINT AS different, 0::BIGINT AS live_only, 0::BIGINT AS replay_only FROM r""")
+SELECT count(*) AS same, 0::BIGINT AS different, 0::BIGINT AS live_only, 0::BIGINT AS replay_only FROM steps""")
 
 # The same results by the plans for long series and large groups.
 ORACLES |= {twin: ORACLES[name] for twin, name in (
@@ -555,6 +559,7 @@ ORACLES |= {twin: ORACLES[name] for twin, name in (
 
 # Below its accuracy the sketch is exact: the smallest value that covers the share.
 ORACLES["latency_stats_approx"] = ORACLES["latency_stats_exact"].replace("quantile_cont", "quantile_disc")
+ORACLES["running_latency"] = ORACLES["latency_stats_approx"]
 
 ORACLES |= {name: with_sql(USERS, SPLIT, "rv AS (SELECT r.* FROM r JOIN parts USING (series_id) WHERE split = 'test')",
                            W_VAL, FORECASTS, scored_sql(("ema",)), f"""

@@ -12,6 +12,7 @@ from streampace.operators import (
 )
 from streampace.sources.progress import progress_frame
 from streampace.sources.readers import read_results, replay_events
+from streampace.sources.replay import drain, replay_by_time
 from streampace.streaming import recommend, sinks
 from streampace.functions import intervals as fi
 from streampace.functions import messages as fm
@@ -619,23 +620,40 @@ def _replay(spark, sf):
     return zoned(replay_events(spark, f"{sf}/events*.parquet"))
 
 
-def _finish(stream: DataFrame, spark: SparkSession, name: str, fmt: str = "parquet") -> str:
+def _finish(stream: DataFrame, spark: SparkSession, name: str, fmt: str = "parquet", trigger: str | None = "available") -> str:
     folder = b.scratch(spark, name)
     start = sinks.to_json if fmt == "json" else sinks.to_parquet
-    start(stream, f"{folder}/out", f"{folder}/checkpoint", "available").awaitTermination()
+    query = start(stream, f"{folder}/out", f"{folder}/checkpoint", trigger)
+    if trigger is None:
+        drain(query)
+    else:
+        query.awaitTermination()
     return f"{folder}/out"
 
 
 @query
 def stream_windowed_stats(spark, sf):
-    timed = _replay(spark, sf).select(
+    """Half a month of event time at a trigger; the closing mark closes the last window."""
+    recorded = replay_by_time(spark, f"{sf}/events.parquet", "ts", "5 seconds", 15 * b.DAY, 2 * b.HOUR, ["ts", "props"])
+    timed = recorded.select(
         F.col("ts").alias("event_time"),
         F.get_json_object("props", "$.k").cast("int").alias("rate_target"))
-    stats = events.windowed_stats(timed, "1 hour")
-    done = spark.read.parquet(_finish(stats, spark, "stats"))
+    stats = events.windowed_stats(timed, "1 hour", watermark=None)
+    done = spark.read.parquet(_finish(stats, spark, "stats", trigger=None))
     return rounded(micros(done, "window_start", "window_end"))
 
 
+@query
+def running_latency(spark, sf):
+    """Sketches of daily windows, stored as they close and merged over the recording."""
+    recorded = replay_by_time(spark, f"{sf}/events.parquet", "ts", "5 seconds", 15 * b.DAY, 2 * b.DAY, ["ts", "value", "props"])
+    measured = recorded.select(
+        F.col("ts").alias("event_time"), F.get_json_object("props", "$.k").cast("int").alias("rate_target"),
+        fm.latency_ms(b.done_at(F.col("ts"), F.col("value")), fm.epoch_seconds(F.col("ts"))).alias("e2e_latency_ms"))
+    stored = spark.read.parquet(_finish(events.latency_sketches(measured, "1 day"), spark, "sketches", trigger=None))
+    return rounded(events.merged_latency(stored))
+
+
 @query
 def stream_latency_json(spark, sf):
     parsed = events.parse_messages(b.messages_of(_replay(spark, sf)).drop("process_ts"))
@@ -648,20 +666,22 @@ def stream_latency_json(spark, sf):
 def stream_progress_dedup(spark, sf):
     folder = b.scratch(spark, "progress")
     b.progress(spark, sf).repartitionByRange("ts").write.parquet(f"{folder}/log")
-    # Files written side by side have no order in time: read together, none can come late.
-    log = replay_events(spark, f"{folder}/log", max_files_per_trigger=None)
+    # Files written side by side have no order in time; the replay has.
+    log = replay_by_time(spark, f"{folder}/log", "ts", None, 15 * b.DAY)
     kept = progress.dedup_progress_stream(log, within="2 hours")
-    done = spark.read.parquet(_finish(kept, spark, "dedup"))
+    done = spark.read.parquet(_finish(kept, spark, "dedup", trigger=None))
     return done.groupBy("run_id").agg(
         F.count(F.lit(1)).alias("batches"), F.sum("num_input_rows").alias("input_rows"))
 
 
 def _recommendations(spark, sf):
-    """Closed hourly buckets are written by one query and read by the stateful one."""
-    rates = recommend.rate_stream(_replay(spark, sf), ["event_type"], b.HOUR, "5 seconds",
-                                  unit_seconds=b.TRACE_SCALE * b.HOUR)
-    stored = replay_events(spark, _finish(rates, spark, "rates"), max_files_per_trigger=None)
-    return spark.read.parquet(_finish(recommend.recommend_stream(stored), spark, "recommend"))
+    """Closed hourly buckets are written by one query and read by the stateful one, some files at a time. The measurements
+    of the first four hours of each day are lost."""
+    recorded = replay_by_time(spark, f"{sf}/events.parquet", "ts", "5 seconds", 15 * b.DAY, 2 * b.HOUR, ["ts", "event_type"])
+    rates = recommend.rate_stream(recorded, ["event_type"], b.HOUR, None, unit_seconds=b.TRACE_SCALE * b.HOUR)
+    measured = rates.withColumn("rate", F.when(F.col("bucket") % 24 >= 4, F.col("rate")))
+    stored = replay_events(spark, _finish(measured, spark, "rates", trigger=None), max_files_per_trigger=8)
+    return spark.read.parquet(_finish(recommend.recommend_stream(stored, b.HOUR), spark, "recommend"))
 
 
 @query
@@ -672,14 +692,17 @@ def stream_recommend(spark, sf):
 @query
 def stream_agreement(spark, sf):
     """Live recommendations against the batch operators on the same rates."""
-    live = _recommendations(spark, sf)
+    live = durable(_recommendations(spark, sf), "live")
     base = live.agg(F.min("step").alias("s")).select("s").scalar()
-    counted = live.withColumn("step", F.col("step") - base)
-    windows = forecast.predict_all(
-        features.with_window(counted.select("series_id", "step", "rate")), ["ema"])
-    replay = control.smooth_intervals(control.with_interval(
-        forecast.warmup_forecast(windows).drop("win", "mu", "scale"), "pred", "confidence"))
-    return score.agreement(counted, replay, ["series_id", "step"], "smoothed_ms")
+    steps = live.withColumn("step", F.col("step") - base)
+    known = series.reindexed(steps.filter("rate IS NOT NULL").select(
+        "series_id", F.col("step").alias("at"), "rate"), "at")
+    wide = forecast.confidence(forecast.predict_all(features.with_window(known), MODELS), NAMES)
+    found = forecast.warmup_forecast(wide.withColumn("confidence", F.round("confidence", 6))).select(
+        "series_id", F.col("at").alias("step"), "pred", "confidence")
+    paced = control.with_interval(found, "pred", "confidence")
+    replay = control.smooth_intervals(steps.select("series_id", "step").join(paced, ["series_id", "step"], "left"), failures=True)
+    return score.agreement(steps, replay, ["series_id", "step"], "smoothed_ms")
 
 
 @query

@@ -1,7 +1,8 @@
 """Messages, latency, windows and result files."""
 
-from datetime import datetime, timezone
+from datetime import datetime, timedelta, timezone
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,6 +10,7 @@ from streampace.operators import events
 from streampace.sources import readers
 
 UTC = timezone.utc
+START = datetime(2024, 1, 1)
 
 
 @pytest.fixture
@@ -89,3 +91,25 @@ def test_sources(spark):
     timed = events.event_table(spark.readStream.format("rate").load().select(
         F.lit("{}").cast("binary").alias("value"), "timestamp"))
     assert timed.isStreaming and "event_time" in timed.columns
+
+
+def test_sketches_merge_over_any_range_and_group(spark):
+    rng = np.random.default_rng(4)
+    values = rng.lognormal(3, 2, 60_000)
+    rows = [(START + timedelta(seconds=i), "ab"[i % 3 == 0], float(v)) for i, v in enumerate(values)]
+    rows += [(START, "none", None), (START, "a", None)]
+    df = spark.createDataFrame(rows, "event_time timestamp, rate_target string, e2e_latency_ms double")
+    stored = events.latency_sketches(df, "1 hour", k=400)
+    assert stored.agg(F.max(F.length("sketch"))).first()[0] < 20_000
+    got = {r.rate_target: r for r in events.merged_latency(stored, k=400).collect()}
+    assert (got["none"].events, got["none"].p50_ms, got["none"].avg_latency_ms) == (1, None, None)
+    for g, mine in (("b", values[::3]), ("a", np.delete(values, np.s_[::3]))):
+        assert got[g].events == len(mine) + (g == "a") and got[g].avg_latency_ms == pytest.approx(mine.mean())
+        for name, p in events.PERCENTILES.items():
+            assert abs((mine <= got[g][name]).mean() - p) < 0.02, (g, name)      # the error of the rank
+    hour = events.merged_latency(stored, [], str(START + timedelta(hours=2)), str(START + timedelta(hours=3)), k=400).first()
+    assert hour.events == 3600
+    # Up to k values a sketch is exact.
+    few = events.merged_latency(events.latency_sketches(df.filter("rate_target = 'b'").limit(300), "1 hour", k=400), k=400)
+    want = np.sort([r.e2e_latency_ms for r in df.filter("rate_target = 'b'").limit(300).collect()])
+    assert few.first().p50_ms == want[149]

@@ -1,11 +1,14 @@
 """Plans that must hold at scale."""
 
+import random
 import re
 
+import numpy as np
 import pytest
 
 import __spark_entry__ as entry
 from streampace.operators import features, forecast, lag, policy, score, series
+from streampace.plans import folds
 from streampace.plans.durable import broadcast_if_small, durable
 from streampace.workloads import bindings as b
 
@@ -68,3 +71,48 @@ def test_no_query_joins_all_pairs(spark):
     for name in ("rate_series", "ema_error_report", "label_steps", "asof_schedule_table", "lag_rolling"):
         text = plan(entry.queries()[name](spark, SF))
         assert "CartesianProduct" not in text and "NestedLoop" not in text, name
+
+
+def looked_up(state, starts, ends):
+    return ends[max(int(np.searchsorted(starts, state, side="right")) - 1, 0)] if starts else state
+
+
+@pytest.mark.parametrize("pairs", [folds.sparse_pairs, folds.dense_pairs])
+def test_states_go_through_a_tree_of_maps(spark, pairs):
+    """Against one map after the other, for one to many chunks, with gaps between them and maps of any size."""
+    rng, rows, want, largest = random.Random(3), [], {}, []
+    for series_id, count in (("one", 1), ("two", 2), ("many", 23), ("gaps", 9)):
+        numbers = sorted(rng.sample(range(70), count)) if series_id == "gaps" else list(range(count))
+        state = initial = rng.randrange(6)
+        for at, number in enumerate(numbers):
+            if pairs is folds.dense_pairs:
+                starts, ends = list(range(6)), sorted(rng.randrange(6) for _ in range(6))
+            else:
+                starts = sorted(rng.sample(range(1, 9), rng.randrange(4)))
+                starts, ends = [0, *starts] if starts else [], sorted(rng.sample(range(9), len(starts) + 1)) if starts else []
+            following = numbers[at + 1] if at + 1 < count else number + 1
+            rows.append((series_id, number, following, initial, starts, ends))
+            state = looked_up(state, starts, ends)
+            want[series_id, following] = state
+    maps = durable(spark.createDataFrame(
+        rows, "series_id string, _chunk long, _next long, _initial long, starts array<long>, ends array<long>"))
+    seen = lambda nodes, keys: largest.append(nodes.groupBy(
+        "series_id", (nodes.node / 2).cast("long")).count().agg({"count": "max"}).first()[0]) or pairs(nodes, keys)
+    got = folds.chained(maps, ["series_id"], seen).collect()
+    assert {(r["series_id"], r["_chunk"]): r["_enter"] for r in got} == want
+    assert largest and max(largest) <= 2
+
+
+def test_trigger_chains_stay_in_the_jvm(spark, make_series):
+    trace = make_series({"a": [i * 37 % 90 for i in range(300)], "b": [5.0] * 40})
+    batches = policy.reactive_batches(trace, size=64)
+    assert batches.count() > 3
+    text = plan(batches)
+    assert "Python" not in text and "InPandas" not in text and "chains" in text
+
+
+def test_quantiles_scan_their_input_once(spark):
+    report = series.rate_summary(series.rate_series(b.events(spark, SF), ["event_type"]))
+    text = plan(report)
+    assert "events.parquet" not in text and "raise_error" not in text and text.count("counts-") >= 1
+    assert "spans-" not in text           # the series itself is not read again

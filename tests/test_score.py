@@ -108,12 +108,14 @@ def test_exact_quantiles(spark, small_group):
     df = spark.createDataFrame(rows, "g string, v double")
     got = {r["g"]: r for r in exact_quantiles(
         df, ["g"], "v", {"p50": 0.5, "p95": 0.95, "p99": 0.99, "lo": 0.0, "hi": 1.0},
-        {"n": F.count(F.lit(1))}, small_group).collect()}
+        {"n": "rows", "known": "count", "mean": "mean", "least": "min", "most": "max"}, small_group).collect()}
     for g, values in groups.items():
         for name, q in (("p50", 50), ("p95", 95), ("p99", 99), ("lo", 0), ("hi", 100)):
             assert got[g][name] == pytest.approx(np.percentile(values, q), rel=1e-12), (g, name)
+        assert (got[g]["known"], got[g]["least"], got[g]["most"]) == (len(values), values.min(), values.max())
+        assert got[g]["mean"] == pytest.approx(values.mean(), rel=1e-12)
     assert got[None]["p50"] == 5.0 and got["ties"]["n"] == 5001
-    assert got["empty"]["p50"] is None and got["empty"]["n"] == 1
+    assert got["empty"]["p50"] is None and got["empty"]["n"] == 1 and got["empty"]["known"] == 0
     whole = exact_quantiles(df, [], "v", {"m": 0.5}, small_group=small_group).collect()[0]
     everything = np.concatenate([*groups.values(), [4.0, 6.0]])
     assert whole["m"] == pytest.approx(np.median(everything), rel=1e-12)

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from streampace.operators import control, events, features, forecast, progress, series
-from streampace.sources import readers
+from streampace.sources import readers, replay
 from streampace.sources.progress import progress_frame
 from streampace.streaming import recommend, sinks
 
@@ -116,22 +116,25 @@ def test_recommendations_equal_batch_over_several_batches(spark, tmp_path, by_se
     # The rate table grows while the second query is stopped and started again.
     for more in ((120, 121, 121.5, 130), ()):
         _, table = run(rates, tmp_path, "rates")
-        stored = readers.replay_events(spark, table, max_files_per_trigger=None)
-        _, out = run(recommend.recommend_stream(stored, k=k), tmp_path, "recommended")
+        stored = readers.replay_events(spark, table, max_files_per_trigger=2)
+        _, out = run(recommend.recommend_stream(stored, 1, k=k), tmp_path, "recommended")
         live = spark.read.parquet(out)
         if more:
             write_file(spark, path, [(at(s), 1, "hot") for s in more])
     first = live.groupBy("series_id").agg(F.min("step").alias("first"))
     rows = live.join(first, "series_id").withColumn("step", F.col("step") - F.col("first"))
-    windows = forecast.predict_all(
-        features.with_window(rows.select("series_id", "step", "rate"), k), ["ema"], k)
-    batch = control.smooth_intervals(control.with_interval(
-        forecast.warmup_forecast(windows, k=k).drop("win"), "pred", "confidence"))
-    for column in ("rate", "pred", "raw_ms", "smoothed_ms"):
+    names = list(recommend.LIVE_MODELS)
+    models = [*names[:3], forecast.ema_forecaster("ema_slow", 0.1), forecast.ema_forecaster("ema_fast", 0.7)]
+    windows = forecast.confidence(forecast.predict_all(
+        features.with_window(rows.select("series_id", "step", "rate"), k), models, k), names)
+    batch = control.smooth_intervals(control.with_interval(forecast.warmup_forecast(
+        windows.withColumn("confidence", F.round("confidence", 6)), k=k).drop("win"), "pred", "confidence"))
+    for column in ("rate", "pred", "confidence", "raw_ms", "smoothed_ms"):
         got, want = by_series(rows, column), by_series(batch, column)
         assert set(got) == {"hot", "rare"}
         for s in got:
             assert got[s] == pytest.approx(want[s], rel=1e-12), (column, s)
+    assert 0 < sum(0 < c < 1 for c in by_series(rows, "confidence")["hot"])
     # Every bucket between the first and the last closed one is there, with its events.
     assert by_series(rows, "step")["hot"] == list(range(len(by_series(rows, "step")["hot"])))
     stored = spark.read.parquet(path)
@@ -140,6 +143,121 @@ def test_recommendations_equal_batch_over_several_batches(spark, tmp_path, by_se
     assert sum(by_series(rows, "rate")["hot"]) == expected
 
 
+RATES = "series_id string, bucket long, rate double"
+
+
+def paced(spark, tmp_path, files, **how):
+    """Rows of each stream after all files, one file at a trigger, with a restart before the last one."""
+    path = str(tmp_path / "rates")
+    for file in files[:-1]:
+        write_file(spark, path, file, RATES)
+    how = {"bucket_seconds": 1, "k": 3, **how}
+    stream = lambda: recommend.recommend_stream(readers.replay_events(spark, path), **how)
+    run(stream(), tmp_path, "paced")
+    write_file(spark, path, files[-1], RATES)
+    query, out = run(stream(), tmp_path, "paced")
+    rows = {}
+    for r in sorted(spark.read.parquet(out).collect(), key=lambda r: (r.series_id, r.step)):
+        rows.setdefault(r.series_id, []).append(r)
+    return query, rows
+
+
+@pytest.mark.parametrize("recovers", [True, False])
+def test_failures_fall_back_across_triggers(spark, tmp_path, make_series, by_series, recovers):
+    lost = [0, 1, 6, 7, 8, 9, 10, 11, 14, 15, 16, 17]
+    rates = [None if i in lost else 40.0 + 13 * i for i in range(20)]
+    files = [[("a", i, rates[i]) for i in range(a, b)] for a, b in ((0, 1), (1, 7), (7, 8), (8, 16), (16, 20))]
+    _, rows = paced(spark, tmp_path, files, recovers=recovers)
+    got = rows["a"]
+    assert [r.step for r in got] == list(range(20))
+    known = [(i, r) for i, r in enumerate(rates) if r is not None]
+    for n, (i, r) in enumerate(known):
+        window = [v for _, v in known[max(0, n - 2):n + 1]]
+        pred = window[0]
+        for v in window[1:]:
+            pred = 0.3 * v + 0.7 * pred
+        pred = pred if len(window) == 3 else sum(window) / len(window)
+        assert got[i].pred == pytest.approx(pred, rel=1e-12) and got[i].rate == r
+    assert all(got[i].pred is None and got[i].raw_ms is None and got[i].rate is None for i in lost)
+    raw = spark.createDataFrame([("a", r.step, r.raw_ms) for r in got], "series_id string, step long, raw_ms long")
+    batch = control.smooth_intervals(raw, failures=True, recovers=recovers)
+    for column in ("smoothed_ms", "failed_run", "fallback"):
+        assert [r[column] for r in got] == by_series(batch, column)["a"], column
+    assert got[0].smoothed_ms == -1 and [r.fallback for r in got][6:12] == [False, False, True, True, True, True]
+    assert got[8].smoothed_ms == 2000
+
+
+def test_silent_streams_expire_and_late_buckets_are_counted(spark, tmp_path):
+    files = [[("a", 1, 5.0), ("b", 1, 7.0)], [("a", 2, 5.0), ("a", 3, 5.0)], [("a", 2, 9.0), ("a", 5, 5.0)],
+             [("a", s, 5.0) for s in range(6, 40)], [("b", 40, 7.0), ("c", 41, 1.0), ("a", 45, 5.0)]]
+    query, rows = paced(spark, tmp_path, files, expire_buckets=10, delay_buckets=3)
+    assert [r.step for r in rows["a"]] == list(range(1, 46))
+    assert [r.rate for r in rows["a"]][3:5] == [0.0, 5.0] and rows["a"][-1].late_buckets == 1
+    # b was silent for 39 buckets: its state is gone, and it begins anew without as many zeros.
+    assert [(r.step, r.rate, r.confidence) for r in rows["b"]] == [(1, 7.0, 0.0), (40, 7.0, 0.0)]
+    states = [p["stateOperators"][0] for p in query.recentProgress if p["stateOperators"]]
+    assert states[-1]["numRowsTotal"] <= 3
+
+
+def test_an_expired_state_is_removed_by_its_timer(spark, tmp_path):
+    files = [[("gone", 1, 5.0), ("a", 1, 1.0)], [("a", s, 1.0) for s in range(2, 60)], [("a", 60, 1.0)], [("a", 61, 1.0)]]
+    query, rows = paced(spark, tmp_path, files, expire_buckets=10, delay_buckets=2)
+    states = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    assert states[-1] == 1 and len(rows["gone"]) == 1
+
+
+def test_long_gaps_are_filled_in_pieces(spark, tmp_path):
+    files = [[("a", 10, 300.0)], [("a", 9000, 300.0), ("a", 9001, 300.0)], [("a", 9003, 300.0)]]
+    _, rows = paced(spark, tmp_path, files, expire_buckets=10_000)
+    assert [r.step for r in rows["a"]] == list(range(10, 9004))
+    assert sum(r.rate for r in rows["a"]) == 1200 and rows["a"][5000].smoothed_ms == 2000
+
+
+@pytest.fixture
+def scattered(spark, tmp_path):
+    """A recording whose files hold rows of all times, in no order."""
+    rng, path = random.Random(9), str(tmp_path / "scattered")
+    rows = [(at(rng.uniform(0, 100)), rng.randint(1, 9), rng.choice("ab")) for _ in range(500)] + [(None, 1, "a")]
+    for part in range(4):
+        write_file(spark, path, rows[part::4])
+    return path
+
+
+@pytest.mark.parametrize("slice_seconds", [None, 7, 1000])
+def test_a_recording_is_replayed_in_time_order_and_closed(spark, tmp_path, scattered, slice_seconds):
+    timed = replay.replay_by_time(spark, scattered, "event_time", "1 second", slice_seconds, 10)
+    stream = events.windowed_stats(timed, "4 seconds", watermark=None)
+    query = replay.drain(sinks.to_parquet(stream, str(tmp_path / "out"), str(tmp_path / "c"), None))
+    batch = events.windowed_stats(spark.read.parquet(scattered).filter("event_time IS NOT NULL"), "4 seconds", watermark=None)
+    got = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, batch.collect())) and len(got) == 25
+    counted = [p["numInputRows"] for p in query.recentProgress if p["numInputRows"]]
+    assert sum(counted) == 501 and len(counted) == (1 if slice_seconds != 7 else 15)
+
+
+def test_a_replay_goes_on_from_its_checkpoint(spark, tmp_path, scattered):
+    def start():
+        timed = replay.replay_by_time(spark, scattered, "event_time", "1 second", 7, 10)
+        return sinks.to_parquet(events.windowed_count(timed, "4 seconds", "event_time"), str(tmp_path / "out"), str(tmp_path / "c"), None)
+
+    query = start()
+    while not query.recentProgress or query.lastProgress["batchId"] < 3:
+        query.awaitTermination(0.2)
+    query.stop()
+    before = query.lastProgress["batchId"]
+    query = replay.drain(start())
+    assert query.recentProgress[0]["batchId"] >= before
+    assert spark.read.parquet(str(tmp_path / "out")).agg(F.sum("events")).collect()[0][0] == 500
+
+
+def test_a_recording_without_rows(spark, tmp_path):
+    path = str(tmp_path / "none")
+    write_file(spark, path, [])
+    timed = replay.replay_by_time(spark, path, "event_time")
+    query = replay.drain(sinks.to_parquet(timed, str(tmp_path / "out"), str(tmp_path / "c"), None))
+    assert not [p for p in query.recentProgress if p["numInputRows"]]
+
+
 def test_sinks_and_triggers(spark, tmp_path, capfd):
     assert sinks.trigger_for("fixed_5s") == "5 seconds" and sinks.trigger_for("other") == "2 seconds"
     numbers = readers.read_rate(spark, per_batch=10)
