@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from streampace.functions import rates
 from streampace.plans import chunks
 from streampace.plans.chunks import CHUNK, CHUNK_SIZE
-from streampace.plans.durable import broadcast_if_small, durable
+from streampace.plans.durable import BROADCAST_BYTES, BROADCAST_ROWS, broadcast_if_small, durable
 from streampace.plans.quantiles import exact_quantiles
 from streampace.plans.ranks import dense_index
 
@@ -58,11 +58,15 @@ def filled(counts: DataFrame, size: int = CHUNK_SIZE, span: str = "series") -> D
                              whole.select("hi").scalar().alias("hi"))
     elif span != "series":
         raise ValueError(f"unknown span {span!r}")
-    spans = durable(spans.select("series_id", "lo", F.lit(0).cast("long").alias("first"),
-                                 (F.col("hi") - F.col("lo")).alias("last")), "spans")
-    rows = spans.agg(F.coalesce(F.sum(F.col("last") + 1), F.lit(0))).first()[0]
+    spans = spans.select("series_id", "lo", F.lit(0).cast("long").alias("first"), (F.col("hi") - F.col("lo")).alias("last"))
+    rows, held, size_of = spans.agg(
+        F.coalesce(F.sum(F.col("last") + 1), F.lit(0)), F.count(F.lit(1)),
+        F.coalesce(F.sum(F.octet_length("series_id") + 32), F.lit(0))).first()
+    # Few spans are computed again from the counts rather than stored; their size was just measured.
+    few = held <= BROADCAST_ROWS and size_of <= BROADCAST_BYTES
+    spans = spans if few else durable(spans, "spans")
     zero = F.lit(0).cast("long").alias("n")
-    known = counts.join(broadcast_if_small(spans), "series_id")
+    known = counts.join(F.broadcast(spans) if few else spans, "series_id")
     marks = known.select("series_id", (F.col("bucket") - F.col("lo")).alias("step"), "n", "last").unionByName(
         _pieces(spans, size).select("series_id", "step", zero, "last"))
     parts = max(_partitions(counts), -(-rows // ROWS_PER_TASK))
@@ -76,6 +80,15 @@ def filled(counts: DataFrame, size: int = CHUNK_SIZE, span: str = "series") -> D
                         F.when(F.col("_at") == F.col("step"), F.col("n")).otherwise(zero).alias("n"))
 
 
+def rates_of(counts: DataFrame, bucket_seconds: int, unit_seconds: float | None = None, size: int = CHUNK_SIZE,
+             span: str = "series") -> DataFrame:
+    """The series of stored :func:`bucket_counts`; see :func:`rate_series`."""
+    rate = F.col("n").cast("double")
+    if unit_seconds is not None:
+        rate = rate * (unit_seconds / bucket_seconds)
+    return filled(counts, size, span).select("series_id", "step", rate.alias("rate"))
+
+
 def rate_series(events: DataFrame, keys: Sequence[str], bucket_seconds: int = 3600,
                 ts: str = "ts", unit_seconds: float | None = None,
                 size: int = CHUNK_SIZE, span: str = "series") -> DataFrame:
@@ -88,11 +101,8 @@ def rate_series(events: DataFrame, keys: Sequence[str], bucket_seconds: int = 36
     The counts, far fewer than the events, are stored in the shared folder: the time spans, the list of
     series and all operators on the result then read them, and the events are scanned once.
     """
-    steps = filled(durable(bucket_counts(events, keys, bucket_seconds, ts), "counts"), size, span)
-    rate = F.col("n").cast("double")
-    if unit_seconds is not None:
-        rate = rate * (unit_seconds / bucket_seconds)
-    return steps.select("series_id", "step", rate.alias("rate"))
+    counts = durable(bucket_counts(events, keys, bucket_seconds, ts), "counts")
+    return rates_of(counts, bucket_seconds, unit_seconds, size, span)
 
 
 def reindexed(df: DataFrame, order: str, size: int = CHUNK_SIZE) -> DataFrame:
@@ -216,10 +226,10 @@ def with_split(series: DataFrame, train: float = 0.70, validation: float = 0.15,
     count = index.agg(F.count(F.lit(1)).alias("n")).select("n").scalar()
     n_train = F.floor(count * F.lit(train))
     n_val = F.floor(count * F.lit(validation))
-    parts = index.select(
+    parts = durable(index.select(
         "series_id",
         F.when(F.col("_index") < n_train, "train")
-        .when(F.col("_index") < n_train + n_val, "val").otherwise("test").alias("split"))
+        .when(F.col("_index") < n_train + n_val, "val").otherwise("test").alias("split")), "parts")
     return series.join(broadcast_if_small(parts), "series_id")
 
 

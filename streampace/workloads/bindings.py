@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from streampace.functions.messages import epoch_seconds
-from streampace.operators.series import rate_series, with_split
-from streampace.plans.durable import new_path
+from streampace.operators.series import bucket_counts, rate_series, rates_of, with_split
+from streampace.plans.durable import durable, new_path
 from streampace.session import load
 
 HOUR = 3600
@@ -49,7 +49,9 @@ def user_ids(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def split_users(spark: SparkSession, sf: str, hours: int = 1) -> DataFrame:
-    return with_split(hourly_by_user(spark, sf, hours), ids=user_ids(spark, sf))
+    """Users' series on their sides; the ids come from the counts that the series are made of."""
+    counts = durable(bucket_counts(events(spark, sf), ["user_id"], hours * HOUR), "counts")
+    return with_split(rates_of(counts, hours * HOUR), ids=counts)
 
 
 def messages_of(table: DataFrame) -> DataFrame:

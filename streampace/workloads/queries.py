@@ -633,8 +633,8 @@ def _finish(stream: DataFrame, spark: SparkSession, name: str, fmt: str = "parqu
 
 @query
 def stream_windowed_stats(spark, sf):
-    """Half a month of event time at a trigger; the closing mark closes the last window."""
-    recorded = replay_by_time(spark, f"{sf}/events.parquet", "ts", "5 seconds", 15 * b.DAY, 2 * b.HOUR, ["ts", "props"])
+    """A month of event time at a trigger; the closing mark closes the last window."""
+    recorded = replay_by_time(spark, f"{sf}/events.parquet", "ts", "5 seconds", 31 * b.DAY, 2 * b.HOUR, ["ts", "props"])
     timed = recorded.select(
         F.col("ts").alias("event_time"),
         F.get_json_object("props", "$.k").cast("int").alias("rate_target"))
