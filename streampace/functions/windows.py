@@ -129,6 +129,11 @@ def linear_map(window: Column, matrix: np.ndarray) -> Column:
     return _on_full_windows(k, outputs, lambda rows: rows @ matrix.T)(window)
 
 
+def dot(values: Column, weights: np.ndarray, constant: float) -> Column:
+    """``weights @ values + constant`` of an array as long as the weights; else null."""
+    return _on_full_windows(len(weights), None, lambda rows: rows @ weights + constant)(values)
+
+
 def dispersion_confidence(forecasts: list[Column]) -> Column:
     """1 / (1 + 10 s) in [0, 1], where s is the population deviation of normalised forecasts."""
     n = float(len(forecasts))

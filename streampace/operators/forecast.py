@@ -218,6 +218,28 @@ def named_recipes(models: Sequence[str], best_recurrent: str | None = None
     }
 
 
+def extended(learned: Sequence[Forecaster], validation: DataFrame, ema: str | Forecaster = "ema") -> list[str | Forecaster]:
+    """The learned models, the two baselines, and the ensembles of learned models that these allow.
+
+    ``validation(model, mae)`` has a row for each learned model: it weighs ``ens_wtd`` by 1 / MAE and names the best
+    recurrent one, which heads ``ens_diverse``. Baselines are members of no ensemble.
+    """
+    by_name = {m.name: m for m in learned}
+    maes = {r.model: r.mae for r in validation.select("model", "mae").collect() if r.model in by_name}
+    total = sum(1 / mae for mae in maes.values())
+    recurrent = [m for m in RECURRENT if m in by_name]
+    best = min(recurrent, key=lambda m: maes.get(m, float("inf")), default=None)
+    found: list[str | Forecaster] = [*learned, "sma", ema]
+    if learned:
+        found += [ensemble_forecaster("ens_mean", list(learned)),
+                  ensemble_forecaster("ens_wtd", [by_name[m] for m in maes], {m: 1 / mae / total for m, mae in maes.items()})]
+    for name, members in named_recipes(list(by_name), best).items():
+        present = [by_name[m] for m in members if m in by_name]
+        if len(present) >= 2:
+            found.append(ensemble_forecaster(name, present))
+    return found
+
+
 def confidence(wide: DataFrame, models: Sequence[str]) -> DataFrame:
     """Column ``confidence`` from how far the models' normalised forecasts lie apart."""
     spread = [(F.col(f"pred_{m}") - F.col("mu")) / F.col("scale") for m in models]

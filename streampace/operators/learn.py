@@ -9,9 +9,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel, Transformer
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
-from pyspark.ml.regression import GBTRegressor, LinearRegression
+from pyspark.ml.regression import GBTRegressor
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +19,7 @@ from pyspark.sql.utils import AnalysisException
 
 from streampace.functions import windows as fw
 from streampace.operators import features as feat
+from streampace.operators import huber
 from streampace.operators.features import K
 from streampace.operators.forecast import Forecaster
 from streampace.operators.score import error_report, score
@@ -44,7 +45,7 @@ class WindowFeatures(Transformer, DefaultParamsReadable, DefaultParamsWritable):
         rows = dataset
         if "norm" not in rows.columns:
             rows = feat.with_norm(rows)
-        matrices = {"trend": fw.trend_residual_matrix, "spectral": fw.low_frequency_matrix}
+        matrices = {"trend": fw.trend_residual_matrix, "spectral": lambda n: fw.low_frequency_matrix(n, SPECTRUM)}
         array = F.col("norm")
         if kind in matrices:
             array = fw.linear_map(array, matrices[kind](k))
@@ -55,6 +56,8 @@ class WindowFeatures(Transformer, DefaultParamsReadable, DefaultParamsWritable):
         return rows.withColumn("features", array_to_vector(array))
 
 
+SPECTRUM = 10     # frequencies that ``low_frequency_matrix`` keeps
+
 # Least scale of a label, in units of the rate. A window of zeros has scale 1e-8; the rate that ends such
 # a quiet time would otherwise be a label of 1e8 and outweigh all other rows of the fit.
 LABEL_SCALE = 0.05
@@ -79,22 +82,24 @@ def _fit(name: str, train: DataFrame, kind: str, estimator, k: int, lag: bool) -
     return Forecaster(name, model=model)
 
 
-def _huber(max_iter: int) -> LinearRegression:
-    # The estimator also fits the scale; its epsilon must exceed 1 and is not a plain Huber delta.
-    return LinearRegression(loss="huber", epsilon=1.35, maxIter=max_iter, regParam=1e-4,
-                            standardization=True)
+def _fit_huber(name: str, train: DataFrame, kind: str, k: int, lag: bool, delta: float, max_iter: int) -> Forecaster:
+    made = WindowFeatures(kind, k, lag)
+    rows = made.transform(train).select(vector_to_array("features").alias("features"), "label")
+    width = {"flat": k, "trend": 2 * k, "spectral": 2 * min(SPECTRUM, k // 2 + 1)}[kind] + (k if lag else 0)
+    beta, _ = huber.fit(rows, width, delta, max_iter=max_iter)
+    return Forecaster(name, model=PipelineModel([made, huber.LinearMap(beta[:-1].tolist(), float(beta[-1]))]))
 
 
 def fit_trend_linear(train: DataFrame, name: str = "trend_linear", k: int = K, lag: bool = False,
-                     max_iter: int = 50) -> Forecaster:
+                     max_iter: int = 50, delta: float = 1.0) -> Forecaster:
     """Linear in the moving average and the residual of the window, under a Huber loss."""
-    return _fit(name, train, "trend", _huber(max_iter), k, lag)
+    return _fit_huber(name, train, "trend", k, lag, delta, max_iter)
 
 
 def fit_spectral(train: DataFrame, name: str = "spectral_linear", k: int = K, lag: bool = False,
-                 max_iter: int = 50) -> Forecaster:
+                 max_iter: int = 50, delta: float = 1.0) -> Forecaster:
     """Linear in the low frequencies of the window, under a Huber loss."""
-    return _fit(name, train, "spectral", _huber(max_iter), k, lag)
+    return _fit_huber(name, train, "spectral", k, lag, delta, max_iter)
 
 
 def fit_window_trees(train: DataFrame, name: str = "window_trees", k: int = K, lag: bool = False,

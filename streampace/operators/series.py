@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -145,40 +147,68 @@ def cap_series(series: DataFrame, max_rate: float = 2000.0,
     return topped.withColumns({c: F.col(c) * scale for c in scaled}).drop("_peak", CHUNK)
 
 
+def _visible(pieces: DataFrame, size: int) -> DataFrame:
+    """Disjoint intervals ``series_id, _chunk, step, _end, shape`` of overlapping pieces ``first..last`` of a chunk.
+
+    A sweep over the pieces' starts and ends keeps the open ones in a heap, the one that wins on top.
+    """
+    def sweep(part: pd.DataFrame) -> pd.DataFrame:
+        rows = list(zip(part["first"].tolist(), part["last"].tolist(), part["_start"].tolist(), part["shape"].tolist(), strict=True))
+        marks = sorted({f for f, *_ in rows} | {last + 1 for _, last, *_ in rows})
+        rows.sort()
+        # Latest start first, then the greater name: a rank that a heap of smallest values understands.
+        order = {key: i for i, key in enumerate(sorted({(r[2], r[3]) for r in rows}, reverse=True))}
+        open_, out, at = [], [], 0
+        for mark, after in zip(marks, marks[1:], strict=False):
+            while at < len(rows) and rows[at][0] <= mark:
+                heapq.heappush(open_, (order[rows[at][2:]], rows[at][1], rows[at][3]))
+                at += 1
+            while open_ and open_[0][1] < mark:
+                heapq.heappop(open_)
+            if open_:
+                out.append((mark, after - 1, open_[0][2]))
+        return pd.DataFrame(out, columns=["step", "_end", "shape"]).assign(
+            series_id=part["series_id"].iloc[0], **{CHUNK: part[CHUNK].iloc[0]})
+
+    return pieces.select("series_id", CHUNK, F.col("step").alias("first"), F.least(
+        "last", (F.col(CHUNK) + 1) * size - 1).alias("last"), "_start", "shape").groupBy("series_id", CHUNK).applyInPandas(
+        sweep, f"step long, _end long, shape string, series_id string, {CHUNK} long")
+
+
 def label_steps(series: DataFrame, labels: DataFrame, default: str = "noise",
                 size: int = CHUNK_SIZE) -> DataFrame:
     """Shape of each step from half-open segments ``(series_id, start, end, shape)``.
 
     A segment that starts later wins an overlap (the greater shape name, on equal starts); steps
-    outside all segments get ``default``. Segments are spread to steps, clipped to their series, so
-    that the join is an equality on ``(series_id, step)``: no range join and no hot key.
+    outside all segments get ``default``. Segments are clipped to their series and cut at chunks, one row for each
+    chunk that they touch; a sweep makes them disjoint, and then the steps of a chunk take the interval that began last,
+    in one window over steps and intervals. A shape that is null counts as none.
     """
     extent = series.groupBy("series_id").agg(
         F.min("step").alias("_min"), F.max("step").alias("_max"))
-    spans = labels.join(extent, "series_id").select(
+    spans = labels.filter(F.col("shape").isNotNull()).join(extent, "series_id").select(
         "series_id", "shape", F.col("start").alias("_start"),
         F.greatest("start", "_min").alias("first"),
         F.least(F.col("end") - 1, F.col("_max")).alias("last"),
     ).filter("first <= last")
-    covered = _pieces(spans, size).repartition(_partitions(spans), "series_id", CHUNK).select(
-        "series_id", "shape", "_start", F.explode(F.sequence(
-            "step", F.least("last", (F.col(CHUNK) + 1) * size - 1))).alias("step"))
-    winner = covered.groupBy("series_id", "step").agg(
-        F.max(F.struct("_start", "shape")).alias("_w"))
-    shapes = winner.select("series_id", "step", F.col("_w.shape").alias("shape"))
-    return series.join(shapes, ["series_id", "step"], "left").withColumn(
-        "shape", F.coalesce("shape", F.lit(default)))
+    marks = _visible(_pieces(spans, size), size).select(
+        "series_id", CHUNK, "step", F.struct("_end", "shape").alias("_mark"), F.lit(0).alias("_kind"))
+    steps = chunks.with_chunk(series.withColumn("_kind", F.lit(1)), size)
+    here = Window.partitionBy("series_id", CHUNK).orderBy("step", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    seen = steps.unionByName(marks, allowMissingColumns=True).withColumn("_seen", F.last("_mark", ignorenulls=True).over(here))
+    inside = F.col("_seen._end") >= F.col("step")
+    return seen.filter("_kind = 1").select(
+        *[c for c in series.columns], F.when(inside, F.col("_seen.shape")).otherwise(F.lit(default)).alias("shape"))
 
 
 def asof_schedule(ticks: DataFrame, schedule: Sequence[tuple[float, float]] | DataFrame,
-                  elapsed: str = "elapsed", out: str = "rate_target",
-                  width: float = 3600.0, salts: int = 64) -> DataFrame:
+                  elapsed: str = "elapsed", out: str = "rate_target", parts: int | None = None) -> DataFrame:
     """Last schedule entry that starts at or before ``elapsed``; before the first one, the first.
 
-    A Python list becomes one constant expression. A table ``(start, target)`` may have any size: its
-    rows are merged with the ticks in order, in slices of ``width``, and the entry valid at the
-    beginning of a slice is carried over from the slices before. Ticks of one slice are spread over
-    ``salts`` groups by a hash of the row, each with its own copy of the schedule.
+    A Python list becomes one constant expression. A table ``(start, target)`` may have any size: its rows and
+    the ticks are dealt together into ranges of time with as many rows each, also where many ticks have the same time,
+    and the entry valid at the beginning of a range, one for each, is carried over from the ranges before. Of
+    entries with equal starts the greater target counts.
     """
     if not isinstance(schedule, DataFrame):
         first, *rest = sorted(schedule, key=lambda row: row[0])
@@ -187,25 +217,22 @@ def asof_schedule(ticks: DataFrame, schedule: Sequence[tuple[float, float]] | Da
             target = F.when(F.col(elapsed) >= start, F.lit(value)).otherwise(target)
         return ticks.withColumn(out, target)
 
-    slice_of = F.floor(F.col("_at") / F.lit(width))
-    marks = schedule.select(
-        F.col("start").cast("double").alias("_at"), F.struct("start", "target").alias("_entry"),
-        F.lit(0).alias("_kind"),
-        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("_salt"))
-    ticks_at = ticks.withColumns({
-        "_at": F.col(elapsed).cast("double"), "_kind": F.lit(1),
-        "_salt": F.pmod(F.xxhash64(*ticks.columns), F.lit(salts))})
-    merged = ticks_at.unionByName(marks, allowMissingColumns=True).withColumn(CHUNK, slice_of)
-    here = Window.partitionBy("_salt", CHUNK).orderBy("_at", "_kind").rowsBetween(
-        Window.unboundedPreceding, 0)
-    seen = merged.withColumn("_seen", F.last("_entry", ignorenulls=True).over(here))
-    carried = chunks.attach_carry(
-        seen, {"_newest": F.max("_entry")},
-        lambda before, _: {"_carry": F.last("_newest", ignorenulls=True).over(before)}, ["_salt"])
+    marks = schedule.select(F.col("start").cast("double").alias("_at"), F.struct("start", "target").alias("_entry"),
+                            F.lit(0).alias("_kind"))
+    timed = ticks.withColumns({"_at": F.col(elapsed).cast("double"), "_kind": F.lit(1)})
+    merged = timed.unionByName(marks, allowMissingColumns=True).withColumn("_tie", F.monotonically_increasing_id())
+    # Stored, because sampled bounds of ranges may differ between two evaluations.
+    placed = durable(merged.repartitionByRange(parts or _partitions(ticks), "_at", "_kind", "_tie").withColumn(
+        "_range", F.spark_partition_id()), "ranges")
+    here = Window.partitionBy("_range").orderBy("_at", "_kind", "_entry").rowsBetween(Window.unboundedPreceding, 0)
+    newest = placed.groupBy("_range").agg(F.max("_entry").alias("_newest"))
+    before = Window.partitionBy(F.lit(0)).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    # One row for each partition.
+    carried = F.broadcast(newest.select("_range", F.last("_newest", ignorenulls=True).over(before).alias("_carry")))
     opening = schedule.agg(F.min(F.struct("start", "target")).alias("e")).select("e.target").scalar()
-    return carried.filter("_kind = 1").withColumn(
-        out, F.coalesce(F.col("_seen.target"), F.col("_carry.target"), opening)
-    ).drop("_at", "_kind", "_entry", "_seen", "_carry", "_salt", CHUNK)
+    return placed.withColumn("_seen", F.last("_entry", ignorenulls=True).over(here)).filter("_kind = 1").join(
+        carried, "_range").withColumn(out, F.coalesce(F.col("_seen.target"), F.col("_carry.target"), opening)).drop(
+        "_at", "_kind", "_entry", "_seen", "_carry", "_tie", "_range")
 
 
 def rate_summary(series: DataFrame, by: Sequence[str] = ("series_id",)) -> DataFrame:

@@ -244,6 +244,20 @@ SELECT series_id, step, split, round((rate - mu) / scale, 6) AS label, round(mu,
   round((win[30] - mu) / scale, 6) AS newest,
   round(list_sum(list_transform(win, lambda v: ((v - mu) / scale) * ((v - mu) / scale))), 6) AS power
 FROM s JOIN parts USING (series_id)""")
+# Residuals of the zero model are the labels; their scale is at least 0.05.
+ORACLES["huber_sums"] = with_sql(USERS, SPLIT, """
+s0 AS (SELECT series_id, step, rate, list(rate) OVER f AS win, avg(rate) OVER f AS mu,
+    stddev_pop(rate) OVER f AS sd FROM r WINDOW f AS (PARTITION BY series_id ORDER BY step
+    ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING)),
+s1 AS (SELECT *, greatest(sd, mu * 0.05::DOUBLE) + 1e-8::DOUBLE AS scale FROM s0 JOIN parts USING (series_id)
+  WHERE len(win) = 30 AND split = 'train'),
+s2 AS (SELECT *, (rate - mu) / greatest(scale, 0.05::DOUBLE) AS label FROM s1),
+x AS (SELECT list_concat(list_transform(win, lambda v: (v - mu) / scale), [1.0::DOUBLE, label]) AS f, label,
+  1 / greatest(abs(label), 1.0::DOUBLE) AS weight FROM s2),
+p AS (SELECT i, j FROM range(32) a(i), range(32) b(j))""", """
+SELECT i::INTEGER AS i, j::INTEGER AS j, round(sum(weight * f[i + 1] * f[j + 1]), 3) AS value FROM x, p GROUP BY i, j
+UNION ALL
+SELECT -1, -1, round(sum(CASE WHEN abs(label) <= 1 THEN label * label / 2 ELSE abs(label) - 0.5::DOUBLE END), 3) FROM x""")
 NORM = """n AS (SELECT series_id, step, list_transform(win, lambda v: (v - mu) / scale) AS x
   FROM w WHERE ready)"""
 ORACLES["trend_residual"] = with_sql(TYPES, WINDOWS, NORM, """
@@ -565,7 +579,26 @@ ORACLES |= {name: with_sql(USERS, SPLIT, "rv AS (SELECT r.* FROM r JOIN parts US
                            W_VAL, FORECASTS, scored_sql(("ema",)), f"""
 SELECT 'ema' AS model, count(*) AS n, round(avg(abs_err), 6) AS mae, true AS sound FROM sc
 UNION ALL SELECT '{name}', count(*), NULL, true FROM sc""")
-    for name in ("trend_linear", "spectral_linear", "window_trees")}
+    for name in ("trend_linear", "spectral_linear", "window_trees", "stored_model")}
+ORACLES["extended_models"] = with_sql(
+    USERS, SPLIT, "rv AS (SELECT r.* FROM r JOIN parts USING (series_id) WHERE split = 'test')", W_VAL, FORECASTS,
+    scored_sql(("sma", "ema")), """
+SELECT n, model, true AS sound, mae FROM (SELECT model, count(*) AS n, round(avg(abs_err), 6) AS mae FROM sc GROUP BY model)
+UNION ALL SELECT (SELECT count(*) // 2 FROM sc), unnest(['tide', 'tcn', 'gru', 'ens_mean', 'ens_wtd', 'ens_top3',
+  'ens_diverse']), true, NULL""")
+ORACLES["stream_event_table"] = ORACLES["parse_messages"]
+ORACLES["late_reconciled"] = """
+SELECT q * 3600000000 AS window_start, (q + 1) * 3600000000 AS window_end, count(*) AS events, true AS within
+FROM (SELECT epoch_us(ts) // 3600000000 AS q FROM events) GROUP BY q"""
+ORACLES["supervised_lag"] = with_sql(TYPES, lag_sql(CONSTANT), """
+s0 AS (SELECT series_id, step, rate, list(rate) OVER f AS win, avg(rate) OVER f AS mu, stddev_pop(rate) OVER f AS sd,
+    list(lag) OVER f AS lags, avg(lag) OVER f AS lm, stddev_pop(lag) OVER f AS ls
+  FROM q WINDOW f AS (PARTITION BY series_id ORDER BY step ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING)),
+s AS (SELECT *, greatest(sd, mu * 0.05::DOUBLE) + 1e-8::DOUBLE AS scale FROM s0 WHERE len(win) = 30)""", """
+SELECT series_id, step, round((rate - mu) / scale, 6) AS label, round((win[1] - mu) / scale, 6) AS oldest_rate,
+  round((win[30] - mu) / scale, 6) AS newest_rate,
+  round(CASE WHEN ls < 1e-6 THEN 0 ELSE (lags[1] - lm) / (ls + 1e-8::DOUBLE) END, 6) AS oldest_lag,
+  round(CASE WHEN ls < 1e-6 THEN 0 ELSE (lags[30] - lm) / (ls + 1e-8::DOUBLE) END, 6) AS newest_lag FROM s""", recursive=True)
 
 # The factor with the least validation error, used on the test series.
 TUNED = "CASE best.i " + " ".join(

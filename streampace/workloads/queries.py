@@ -4,16 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from streampace.operators import (
-    control, events, features, forecast, lag, learn, policy, progress, score, series,
+    control, events, features, forecast, huber, lag, learn, policy, progress, score, series,
 )
 from streampace.sources.progress import progress_frame
 from streampace.sources.readers import read_results, replay_events
 from streampace.sources.replay import drain, replay_by_time
-from streampace.streaming import recommend, sinks
+from streampace.streaming import late, recommend, sinks
 from streampace.functions import intervals as fi
 from streampace.functions import messages as fm
 from streampace.plans.durable import durable
@@ -225,7 +226,7 @@ def asof_schedule_table(spark, sf):
     ticks = b.events(spark, sf).select("event_id", seconds.alias("elapsed"))
     busy = b.hourly(spark, sf).groupBy("step").agg(F.sum("rate").alias("target")).filter(
         F.col("target") > 15).select((F.col("step") * 3600 + 1800).alias("start"), "target")
-    return rounded(series.asof_schedule(ticks, busy, width=6 * 3600.0))
+    return rounded(series.asof_schedule(ticks, busy))
 
 
 @query
@@ -306,6 +307,16 @@ def supervised_windows(spark, sf):
         "series_id", "step", "split", "label", "mu", "scale", F.inline(summary)))
 
 
+@query
+def supervised_lag(spark, sf):
+    """Training samples with the consumer lag beside the rate."""
+    samples = features.supervised(lag.with_lag(b.hourly(spark, sf), 2.3), use_lag=True)
+    ends = F.transform(F.array("features"), lambda x: F.struct(
+        F.element_at(x, 1)["rate"].alias("oldest_rate"), F.element_at(x, -1)["rate"].alias("newest_rate"),
+        F.element_at(x, 1)["lag"].alias("oldest_lag"), F.element_at(x, -1)["lag"].alias("newest_lag")))
+    return rounded(samples.select("series_id", "step", "label", F.inline(ends)))
+
+
 @query
 def trend_residual(spark, sf):
     windows = features.with_norm(features.with_window(b.hourly(spark, sf)).filter("ready"))
@@ -475,11 +486,56 @@ def _learned(spark, sf, fit):
                                (F.col("sound") & (F.col("lift_pct") >= -100)).alias("sound")))
 
 
+@query
+def huber_sums(spark, sf):
+    """Weighted normal equations of the first round of a Huber fit to the train series: window rates, constant, label."""
+    rows = learn.samples(b.split_users(spark, sf)).filter(F.col("split") == "train")
+    sums = huber.normal_sums(rows.withColumnRenamed("norm", "features"), np.zeros(features.K + 1))
+    return rounded(sums, 3)
+
+
 @query
 def trend_linear(spark, sf):
     return _learned(spark, sf, learn.fit_trend_linear)
 
 
+@query
+def extended_models(spark, sf):
+    """Learned models, baselines and ensembles of the learned ones on the test series. The errors of a fit are no engine's
+    to repeat, so of ensembles it is shown that they are their members' weighted means, in every row."""
+    split = durable(b.split_users(spark, sf))
+    train = learn.samples(split.filter(F.col("split") == "train"))
+    fitted = [learn.fit_trend_linear(train, "tide"), learn.fit_spectral(train, "tcn"),
+              learn.fit_trend_linear(train, "gru", delta=0.2)]
+    names = [m.name for m in fitted]
+    held = forecast.forecasts(split.filter(F.col("split") == "val"), fitted)
+    report = durable(score.error_report(score.score(forecast.to_long(held, names))))
+    models = forecast.extended(fitted, report, "ema")
+    everyone = [m if isinstance(m, str) else m.name for m in models]
+    wide = forecast.forecasts(split.filter(F.col("split") == "test"), models)
+    weights = {r.model: 1 / r.mae for r in report.collect()}
+    mean = lambda w: F.greatest(sum((F.col(f"raw_{m}") * x for m, x in w.items()), F.lit(0.0)) / sum(w.values()), F.lit(0.0))
+    want = {"ens_mean": mean(dict.fromkeys(names, 1.0)), "ens_wtd": mean(weights), "ens_top3": mean({"gru": 1.0, "tide": 1.0}),
+            "ens_diverse": mean({"gru": 1.0, "tcn": 1.0, "tide": 1.0})}
+    close = [F.bool_and(F.abs(F.col(f"pred_{m}") - want[m]) <= 1e-9 * (1 + want[m]) if m in want else F.col(f"pred_{m}") >= 0)
+             .alias(m) for m in everyone]
+    errors = [F.avg(F.abs(F.col(f"pred_{m}") - F.col("actual"))).alias(f"mae_{m}") for m in ("sma", "ema")]
+    whole = wide.agg(F.count(F.lit(1)).alias("n"), *close, *errors)
+    rows = F.array(*[F.struct(F.lit(m).alias("model"), F.col(m).alias("sound"), (
+        F.col(f"mae_{m}") if m in ("sma", "ema") else F.lit(None).cast("double")).alias("mae")) for m in everyone])
+    return rounded(whole.select("n", F.inline(rows)))
+
+
+@query
+def stored_model(spark, sf):
+    """A fitted model written, read back and used."""
+    def fit(rows):
+        folder = b.scratch(spark, "models")
+        learn.save_models([learn.fit_trend_linear(rows, "stored_model")], folder)
+        return learn.load_models(folder, ["stored_model"], missing="fail")["stored_model"]
+    return _learned(spark, sf, fit)
+
+
 @query
 def spectral_linear(spark, sf):
     return _learned(spark, sf, learn.fit_spectral)
@@ -654,6 +710,34 @@ def running_latency(spark, sf):
     return rounded(events.merged_latency(stored))
 
 
+@query
+def stream_event_table(spark, sf):
+    """Messages as an event-time table, written by a stream."""
+    parsed = events.event_table(b.messages_of(_replay(spark, sf)).drop("process_ts"))
+    return rounded(micros(spark.read.parquet(_finish(parsed, spark, "event-table")), "ingest_ts", "event_time"))
+
+
+@query
+def late_reconciled(spark, sf):
+    """Files that hold rows of all times come one by one, so most rows are late: with them every window is whole."""
+    folder = b.scratch(spark, "scattered")
+    table = b.events(spark, sf).select("event_id", "ts")
+    for part in range(3):
+        table.filter(F.col("event_id") % 3 == part).coalesce(1).write.mode("append").parquet(f"{folder}/log")
+    # A closing row moves the watermark past the last window; its filter names the event time, so it stays behind.
+    last = table.agg(F.max(F.unix_micros("ts"))).first()[0]
+    spark.range(1).select(F.lit(None).cast(table.schema["event_id"].dataType).alias("event_id"), F.timestamp_micros(
+        F.lit(last + 3 * b.HOUR * 1_000_000)).alias("ts")).coalesce(1).write.mode("append").parquet(f"{folder}/log")
+    stream = lambda: late.accepted(replay_events(spark, f"{folder}/log"), "event_id", "ts", "1 hour")
+    counted = events.windowed_count(stream().filter(F.unix_micros("ts") <= last), "1 hour", "ts")
+    done = spark.read.parquet(_finish(counted, spark, "counted"))
+    in_time = spark.read.parquet(_finish(stream().select("event_id"), spark, "accepted"))
+    missed = late.late_rows(table, in_time, "event_id")
+    whole = late.reconciled(done, missed, "1 hour", "ts")
+    return micros(whole, "window_start", "window_end").select(
+        "window_start", "window_end", "events", (F.col("late") <= F.col("events")).alias("within"))
+
+
 @query
 def stream_latency_json(spark, sf):
     parsed = events.parse_messages(b.messages_of(_replay(spark, sf)).drop("process_ts"))

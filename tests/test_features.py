@@ -161,6 +161,18 @@ def test_ensembles(spark):
     assert "pred_ens_rnn" not in few.columns and "pred_ens_diverse" not in few.columns
 
 
+def test_extended_models_are_learned_ones_baselines_and_their_ensembles(spark):
+    models = [forecast.Forecaster(n, lambda win, k, v=v: F.lit(float(v))) for n, v in (("lstm", 10), ("gru", 20), ("tcn", 60))]
+    report = spark.createDataFrame([("lstm", 4.0), ("gru", 1.0), ("tcn", 2.0), ("sma", 0.1)], "model string, mae double")
+    found = forecast.extended(models, report, forecast.ema_forecaster("tuned", 0.5))
+    members = {m.name: ([x.name for x in m.members], m.weights) for m in found if not isinstance(m, str) and m.members}
+    assert [m if isinstance(m, str) else m.name for m in found[:5]] == ["lstm", "gru", "tcn", "sma", "tuned"]
+    assert members["ens_mean"][0] == ["lstm", "gru", "tcn"] and members["ens_rnn"][0] == members["ens_top3"][0] == ["lstm", "gru"]
+    assert members["ens_diverse"][0] == ["gru", "tcn"]                  # the better recurrent one by validation
+    assert members["ens_wtd"][1] == pytest.approx({"lstm": 1 / 7, "gru": 4 / 7, "tcn": 2 / 7})
+    assert [m for m in forecast.extended([], report)] == ["sma", "ema"]
+
+
 def test_confidence(make_series):
     df = make_series({"a": [1.0]}).select(
         F.lit(10.0).alias("pred_x"), F.lit(30.0).alias("pred_y"), F.lit(20.0).alias("mu"),

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from streampace.operators import features, forecast, learn
+from streampace.operators import features, forecast, huber, learn
 
 K = 30
 
@@ -44,3 +44,44 @@ def test_trees_with_lag(waves):
     windows = features.with_window(waves, K, lag=True)
     wide = forecast.predict_all(windows, [model], K).filter("ready")
     assert wide.filter("pred_window_trees is null or pred_window_trees < 0").count() == 0
+
+
+def reweighted(x, y, delta, reg, rounds=200):
+    """The same loop on whole arrays."""
+    full, beta = np.column_stack([x, np.ones(len(x))]), np.zeros(x.shape[1] + 1)
+    for _ in range(rounds):
+        w = delta / np.maximum(np.abs(y - full @ beta), delta)
+        ridge = reg * w.sum() * np.eye(len(beta))
+        ridge[-1, -1] = 0
+        beta = np.linalg.solve(full.T @ (full * w[:, None]) + ridge, full.T @ (y * w))
+    return beta
+
+
+@pytest.mark.parametrize("delta", [1.0, 0.2])
+def test_huber_equals_a_loop_and_shrugs_off_outliers(spark, delta):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(3000, 3))
+    y = x @ [1.0, -2.0, 0.5] + 3 + rng.normal(scale=0.1, size=3000)
+    y[::10] += rng.exponential(1000, 300)
+    rows = spark.createDataFrame([(a.tolist(), float(b)) for a, b in zip(x, y)] + [([0.0, 0.0, 0.0], None)],
+                                 "features array<double>, label double").repartition(7)
+    beta, loss = huber.fit(rows, 3, delta, tolerance=1e-10, max_iter=200)
+    assert beta == pytest.approx(reweighted(x, y, delta, 1e-6), abs=1e-6)
+    assert beta[:3] == pytest.approx([1.0, -2.0, 0.5], abs=0.05)
+    r = np.abs(y - np.column_stack([x, np.ones(3000)]) @ beta)
+    assert loss == pytest.approx(np.where(r <= delta, r ** 2 / 2, delta * (r - delta / 2)).sum(), rel=1e-6)
+    with pytest.raises(ValueError):
+        huber.fit(rows.limit(0), 3)
+
+
+@pytest.mark.parametrize("fit,kind,lag", [(learn.fit_trend_linear, "trend", False), (learn.fit_spectral, "spectral", True)])
+def test_learned_forecasts_equal_those_of_a_loop(waves, fit, kind, lag):
+    rows = learn.samples(waves, K, lag=lag)
+    model = fit(rows, lag=lag, max_iter=200)
+    made = learn.WindowFeatures(kind, K, lag).transform(rows).select("features", "label").collect()
+    x, y = np.array([r.features.toArray() for r in made]), np.array([r.label for r in made])
+    beta = reweighted(x, y, 1.0, 1e-6)
+    got = model.model.transform(rows).select("prediction").collect()
+    assert [r.prediction for r in got] == pytest.approx(x @ beta[:-1] + beta[-1], abs=1e-4)
+    report = learn.validation_report(rows, [model]).collect()[0]
+    assert report["mae"] == pytest.approx(np.abs(y - x @ beta[:-1] - beta[-1]).mean(), abs=1e-4)

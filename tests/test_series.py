@@ -1,6 +1,8 @@
 """Series, labels, schedules and chunked plans."""
 
+import bisect
 import random
+import re
 from datetime import datetime, timedelta, timezone
 
 import pytest
@@ -91,7 +93,7 @@ def test_schedule(spark, as_table):
     if as_table:
         schedule = spark.createDataFrame(SCHEDULE, "start long, target long")
     got = {r["elapsed"]: r["rate_target"] for r in series.asof_schedule(
-        ticks, schedule, width=20.0, salts=3).collect()}
+        ticks, schedule).collect()}
     assert got == {-1.0: 50, 0.0: 50, 14.9: 50, 15.0: 500, 44.0: 50, 90.0: 1200, 200.0: 50}
 
 
@@ -132,3 +134,36 @@ def test_summary_and_recent(make_series):
 def test_halo_must_fit(make_series):
     with pytest.raises(ValueError):
         chunks.with_halo(make_series({"a": [1]}), before=5, size=4)
+
+
+@pytest.mark.parametrize("size", [7, 1 << 16])
+def test_overlapping_labels_equal_a_loop(spark, make_series, by_series, size):
+    rng = random.Random(size)
+    df = make_series({"a": [1] * 100, "b": [1] * 40})
+    rows = []
+    for _ in range(60):
+        start = rng.randrange(-5, 110)
+        rows.append((rng.choice("abz"), start, start + rng.choice([0, 1, 3, 10, 200]), rng.choice(["wall", "ramp", "cliff"])))
+    rows.append(("a", 50, 60, None))
+    labels = spark.createDataFrame(rows, "series_id string, start long, end long, shape string")
+    got = by_series(series.label_steps(df, labels, size=size), "shape")
+    for s, n in (("a", 100), ("b", 40)):
+        want = [max(((a, shape) for i, a, b, shape in rows if i == s and shape and a <= t < b), default=(0, "noise"))[1]
+                for t in range(n)]
+        assert got[s] == want
+
+
+def test_schedule_with_a_hot_time_and_many_entries(spark):
+    """A third of all ticks have one time, and most ranges of time hold no entry."""
+    rng = random.Random(2)
+    times = [5.0] * 2000 + [rng.uniform(-10, 1000) for _ in range(4000)] + [None]
+    entries = sorted({round(rng.uniform(0, 900), 2) for _ in range(50)} | {5.0})
+    ticks = spark.createDataFrame([(i, t) for i, t in enumerate(times)], "id long, elapsed double")
+    schedule = spark.createDataFrame([(e, i) for i, e in enumerate(entries)], "start double, target int")
+    found = series.asof_schedule(ticks, schedule, parts=9)
+    got = {r.id: r.rate_target for r in found.collect()}
+    assert got == {i: max(bisect.bisect_right(entries, t) - 1, 0) if t is not None else 0 for i, t in enumerate(times)}
+    text = found._jdf.queryExecution().executedPlan().toString()
+    assert "ranges-" in text and "NestedLoop" not in text
+    held = [r["count"] for r in spark.read.parquet(re.search(r"file:(\S*ranges-[0-9a-f]+)", text)[1]).groupBy("_range").count().collect()]
+    assert len(held) == 9 and max(held) < 2 * sum(held) / 9

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from streampace.operators import control, events, features, forecast, progress, series
 from streampace.sources import readers, replay
 from streampace.sources.progress import progress_frame
-from streampace.streaming import recommend, sinks
+from streampace.streaming import late, recommend, sinks
 
 START = datetime(2024, 1, 1, tzinfo=timezone.utc)
 SCHEMA = "event_time timestamp, rate_target int, key string"
@@ -293,3 +293,24 @@ def test_csv_reports(spark, tmp_path):
 def test_series_of_a_replay(spark, recorded):
     table = spark.read.parquet(recorded).withColumnRenamed("event_time", "ts")
     assert series.rate_series(table, ["key"], 1).agg(F.sum("rate")).collect()[0][0] == 240
+
+
+def test_late_rows_are_kept_and_reconciled(spark, tmp_path):
+    path, schema = str(tmp_path / "log"), "id long, ts timestamp"
+    # A micro-batch drops what is behind the watermark that the batch before it started with: 3 is in time, 5 and 6 are not,
+    # and neither is 8, behind 35, though its window would still be open.
+    files = [[(1, at(1)), (2, at(30))], [(3, at(26)), (4, at(40))], [(5, at(2)), (6, at(3)), (7, at(60))], [(8, at(34.5))],
+             [(None, at(900))]]
+    for file in files:
+        write_file(spark, path, file, schema)
+    known = F.unix_seconds("ts") < int(at(900).timestamp())       # not the closing row
+    stream = lambda: late.accepted(readers.replay_events(spark, path), "id", "ts", "5 seconds")
+    _, out = run(events.windowed_count(stream().filter(known), "2 seconds", "ts"), tmp_path, "counted")
+    _, kept = run(stream().select("id"), tmp_path, "accepted")
+    received = spark.read.parquet(path).filter(known)
+    missed = late.late_rows(received, spark.read.parquet(kept), "id")
+    assert sorted(r.id for r in missed.collect()) == [5, 6, 8]
+    whole = late.reconciled(spark.read.parquet(out), missed, "2 seconds", "ts").collect()
+    assert sum(r.events for r in whole) == 8 and sum(r.late for r in whole) == 3
+    want = events.windowed_count(received, "2 seconds", "ts").collect()
+    assert sorted((r.window_start, r.events) for r in whole) == sorted((r.window_start, r.events) for r in want)
