@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -36,6 +36,22 @@ def with_row(docs: DataFrame) -> DataFrame:
     return durable(docs.withColumn("_row", F.monotonically_increasing_id()), "docs")
 
 
+def aside(docs: DataFrame, inner: Sequence[str]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``docs`` with columns called like one of the ``inner`` names under other names, and the way back."""
+    names = {c.lower() for c in docs.columns}
+    other = {}
+    for c in docs.columns:
+        if c.lower() in {i.lower() for i in inner}:
+            fresh = f"{c}_aside"
+            while fresh.lower() in names:
+                fresh += "_"
+            names.add(fresh.lower())
+            other[c] = fresh
+    if not other:
+        return docs, lambda found: found
+    return docs.withColumnsRenamed(other), lambda found: found.withColumnsRenamed({fresh: c for c, fresh in other.items()})
+
+
 def fold_of(key: str, folds: int) -> Column:
     """crc32 of a key as text, modulo ``folds``; a null key counts as the empty text."""
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % folds

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from streampace.llm.common import slices
+from streampace.llm.common import aside, slices
 
 UNKNOWN = "und"
 GRAMS = 1 << 16
@@ -194,5 +194,6 @@ def languages(docs: DataFrame, model: Model, text: str = "text") -> Column:
 
 def drop_undetermined(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """The rows whose text has a language, with the columns of ``docs``."""
+    docs, back = aside(docs, ["_found"])
     found = docs.withColumn("_found", languages(docs, model, text))
-    return found.filter(F.col("_found.lang_pred") != UNKNOWN).drop("_found")
+    return back(found.filter(F.col("_found.lang_pred") != UNKNOWN).drop("_found"))

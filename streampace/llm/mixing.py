@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from streampace.llm.common import lookup, running_start, with_row
+from streampace.llm.common import aside, lookup, running_start, with_row
 from streampace.plans.durable import durable
 from streampace.plans.ranks import dense_index
 
@@ -158,10 +158,11 @@ def taken(mixed: Mix) -> DataFrame:
 def mixed_documents(docs: DataFrame, share: float = 1.5, weights: Sequence[float] = WEIGHTS, most: float = 2.0,
                     seed: int = 1, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """Whole documents, each as often as the mix takes it, with the columns of ``docs``."""
+    docs, back = aside(docs, ["_row", "_times"])
     stored = with_row(docs)
     found = mix(stored.select("_row", doc_id, text, source), share, weights, most, None, 1, seed, doc_id, text,
                 source, ["_row"])
     times = found.draws.groupBy("row").agg(F.count(F.lit(1)).cast("int").alias("_times"))
     drawn = found.rows.select("row", "_row").join(times, "row").drop("row")
-    return stored.join(drawn, "_row").withColumn(
-        "_times", F.explode(F.sequence(F.lit(1), F.col("_times")))).drop("_row", "_times")
+    return back(stored.join(drawn, "_row").withColumn(
+        "_times", F.explode(F.sequence(F.lit(1), F.col("_times")))).drop("_row", "_times"))

@@ -21,7 +21,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from streampace.llm.common import lookup, running_start, with_row
+from streampace.llm.common import aside, lookup, running_start, with_row
 from streampace.plans.durable import durable
 
 LAW = "rows"
@@ -193,6 +193,7 @@ def assign_shards(docs: DataFrame, shards: int = 24, doc_id: str = "doc_id", tex
 def sharded(docs: DataFrame, shards: int = 24, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with ``shard`` and ``slot``; columns of these names are replaced."""
     plain = docs.drop("shard", "slot") if {"shard", "slot"} & set(docs.columns) else docs
+    plain, back = aside(plain, ["_row"])
     stored = with_row(plain)
     marks = assign_shards(stored.select(doc_id, text, "_row"), shards, doc_id, text, ["_row"])
-    return stored.join(marks.select("_row", "shard", "slot"), "_row").drop("_row")
+    return back(stored.join(marks.select("_row", "shard", "slot"), "_row").drop("_row"))

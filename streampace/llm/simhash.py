@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from streampace.llm.common import lookup, with_row
+from streampace.llm.common import aside, lookup, with_row
 from streampace.llm.components import components
 from streampace.llm.exact_dedup import normalised
 from streampace.plans.durable import broadcast_if_small, durable
@@ -241,8 +241,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, distance: int = 2, doc_id:
     ``component_id`` is the smallest id reachable over fingerprints within ``distance``. One row of a
     component is kept: one of the smallest id.
     """
-    made = ("fingerprint", "component_id", "kept", "print", "row")
-    plain = docs.select(*[c for c in docs.columns if c not in made or c in (doc_id, text)])
+    made = ("fingerprint", "component_id", "kept")
+    inner = [c for c in ("print", "row", "n", "root", "lead", "m", "first") if c not in (doc_id, text)]
+    plain, back = aside(docs.select(*[c for c in docs.columns if c not in made or c in (doc_id, text)]), inner)
     rows = durable(with_fingerprints(plain, width, text).withColumn(
         "row", F.monotonically_increasing_id()), "rows")
     first = F.min(F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), "row"))
@@ -253,16 +254,17 @@ def near_duplicates(docs: DataFrame, width: int = 5, distance: int = 2, doc_id:
     groups = durable(joined.groupBy("root").agg(F.min("first").alias("lead"), F.count(F.lit(1)).alias("m")), "groups")
     named = durable(lookup(joined.select("print", "n", "root"), groups, "root", "m"), "named")
     found = lookup(rows, named, "print", "n")
-    return found.select(
+    return back(found.select(
         *[c for c in rows.columns if c not in ("print", "row")],
         F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"),
-        F.col("lead.id").alias("component_id"), (F.col("row") == F.col("lead.row")).alias("kept"))
+        F.col("lead.id").alias("component_id"), (F.col("row") == F.col("lead.row")).alias("kept")))
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = 5, distance: int = 2, doc_id: str = "doc_id",
                          text: str = "text") -> DataFrame:
     """One row of each component, with the columns of ``docs``."""
+    docs, back = aside(docs, ["_row"])
     stored = with_row(docs)
     marks = near_duplicates(stored.select(doc_id, text, "_row"), width, distance, doc_id, text)
     gone = durable(marks.filter(~F.col("kept")).select("_row"), "gone")
-    return stored.join(broadcast_if_small(gone), "_row", "left_anti").drop("_row")
+    return back(stored.join(broadcast_if_small(gone), "_row", "left_anti").drop("_row"))
