@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,8 +53,30 @@ def _clean() -> None:
     for spark, path in _written:
         try:
             delete(spark, path)
-        except Exception:  # the session may have ended before
-            return
+        except Exception:  # the session may have ended before; the others may still be reachable
+            continue
+
+
+@contextmanager
+def released() -> Iterator[list[DataFrame]]:
+    """Tables stored inside are removed at the end, but for those that the block puts into the list it gets.
+
+    What is computed inside must have been written by then, as its inputs are gone.
+    """
+    first, kept = len(_written), []
+    yield kept
+    paths = {p for df in kept for p in (os.path.dirname(f) for f in df.inputFiles())}
+    inside, _written[first:] = _written[first:], []
+    for spark, path in inside:
+        if any(_bare(p) == _bare(path) for p in paths):
+            _written.append((spark, path))
+        else:
+            delete(spark, path)
+
+
+def _bare(path: str) -> str:
+    """A path without its scheme, as readers and settings may spell it differently."""
+    return "/" + path.split(":", 1)[-1].lstrip("/")
 
 
 def durable(df: DataFrame, name: str = "table") -> DataFrame:

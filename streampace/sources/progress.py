@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import time
 from collections.abc import Iterable
 from datetime import datetime, timezone
 
@@ -37,12 +38,14 @@ def progress_frame(query: StreamingQuery) -> DataFrame:
 class ProgressLog(StreamingQueryListener):
     """Listener that appends every progress report, idle ones as zeros, to a JSON table.
 
-    Rows are written ``flush_every`` at a time to a folder that the driver and later jobs share.
+    Rows go to a folder that the driver and later jobs share, ``flush_every`` at a time, or as soon as a report comes
+    ``flush_seconds`` after the first one that waits; idle queries report as well, so none waits long.
     """
 
-    def __init__(self, spark: SparkSession, path: str, flush_every: int = 20) -> None:
+    def __init__(self, spark: SparkSession, path: str, flush_every: int = 20, flush_seconds: float = 10.0) -> None:
         super().__init__()
-        self._spark, self._path, self._every = spark, path, flush_every
+        self._spark, self._path, self._every, self._seconds = spark, path, flush_every, flush_seconds
+        self._since = 0.0
         self._app = spark.sparkContext.appName
         self._rows: list[tuple] = []
         self._last_batch: dict[str, int] = {}
@@ -65,8 +68,10 @@ class ProgressLog(StreamingQueryListener):
         self.flush()
 
     def _add(self, rows: Iterable[tuple]) -> None:
+        if not self._rows:
+            self._since = time.monotonic()
         self._rows.extend(rows)
-        if len(self._rows) >= self._every:
+        if len(self._rows) >= self._every or time.monotonic() - self._since >= self._seconds:
             self.flush()
 
     def flush(self) -> None:

@@ -612,6 +612,13 @@ ORACLES["tuned_ema_report"] = with_sql(
   FROM u JOIN parts USING (series_id), best WHERE split = 'test' AND ready AND actual IS NOT NULL)""",
     scored_sql(("ema", "ema_tuned")), f"SELECT model, {rounds(REPORT_COLUMNS)}, n FROM (SELECT model, {ERRORS} FROM sc GROUP BY 1)")
 
+ORACLES["policy_adaptive_tuned"] = with_sql(
+    TICKS, CUMULATED, WINDOWS, "g AS (" + " UNION ALL ".join(
+        f"SELECT {i} AS i, avg(abs(greatest({ema_sql(a)}, 0) - actual)) AS mae FROM w WHERE ready AND actual IS NOT NULL"
+        for i, a in enumerate((0.1, 0.2, 0.3, 0.5, 0.7))) + ")", "best AS (SELECT arg_min(i, mae) AS i FROM g)",
+    jumps_sql("ema_tuned", f"greatest({TUNED.replace('best.i', '(SELECT i FROM best)')}, 0)"), chain_sql("ema_tuned"),
+    BATCHES.format(adaptive_sql("ema_tuned")), recursive=True)
+
 TOP3_JUMPS = jumps_sql("ens_top3", "greatest((list_sum(win) / 30 + " + ema_sql(0.3) + " + " + ema_sql(0.1) + ") / 3.0::DOUBLE, 0)")
 ORACLES["policy_compare_ensemble"] = with_sql(
     TICKS, CUMULATED, WINDOWS, EMA_JUMPS, TOP3_JUMPS, chain_sql("ema"), chain_sql("ens_top3"), REACTIVE,

@@ -665,6 +665,13 @@ def policy_compare_ensemble(spark, sf):
     return rounded(policy.compare_policies(b.trace(spark, sf), ("ema", ENS_TOP3)))
 
 
+@query
+def policy_adaptive_tuned(spark, sf):
+    """The average tuned on the traces sets the intervals."""
+    trace = durable(b.trace(spark, sf), "trace")
+    return rounded(policy.adaptive_batches(trace, forecast.tuned_ema(trace, "ema_tuned")))
+
+
 @query
 def policy_compare_chunked(spark, sf):
     return rounded(policy.compare_policies(b.trace(spark, sf), ("ema", "sma"), size=400))

@@ -9,7 +9,7 @@ import pytest
 import __spark_entry__ as entry
 from streampace.operators import features, forecast, lag, policy, score, series
 from streampace.plans import folds
-from streampace.plans.durable import broadcast_if_small, durable
+from streampace.plans.durable import broadcast_if_small, durable, released
 from streampace.workloads import bindings as b
 
 SF = "/root/testdata/sf0.001"
@@ -116,3 +116,12 @@ def test_quantiles_scan_their_input_once(spark):
     text = plan(report)
     assert "events.parquet" not in text and "raise_error" not in text and text.count("counts-") >= 1
     assert "spans-" not in text           # the series itself is not read again
+
+
+def test_tables_of_a_block_are_removed_when_it_ends(spark):
+    with released() as kept:
+        inner = durable(spark.range(5), "inner")
+        kept.append(durable(inner.selectExpr("id + 1 AS id"), "outer"))
+    assert kept[0].count() == 5
+    with pytest.raises(Exception, match="FILE_NOT_EXIST|FAILED_READ_FILE|does not exist"):
+        inner.collect()

@@ -93,3 +93,10 @@ def test_listener_writes_reports_and_idle_rows(spark, tmp_path):
     kept = progress.dedup_progress(read_progress(spark, path).unionByName(read_progress(spark, path)))
     rates = progress.progress_series(kept).orderBy("step").collect()
     assert [(r["step"], r["rate"]) for r in rates] == [(0, 6.5), (1, 0.0), (2, 0.0)]
+
+
+def test_reports_do_not_wait_long(spark, tmp_path):
+    log = ProgressLog(spark, str(tmp_path / "log"), flush_seconds=0)
+    log.onQueryStarted(SimpleNamespace(runId="r"))
+    log.onQueryIdle(SimpleNamespace(runId="r", timestamp="2024-01-01T00:00:02.000Z"))
+    assert read_progress(spark, str(tmp_path / "log")).count() == 1
