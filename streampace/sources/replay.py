@@ -27,7 +27,9 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
+from streampace.plans.durable import new_path
 from streampace.session import ship, zoned
+from streampace.sources.readers import replay_events
 
 # The process that plans a stream is neither the driver nor a worker with the package: the classes go along whole.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -124,6 +126,25 @@ def replay_by_time(spark: SparkSession, path: str, ts: str = "ts", watermark: st
     return rows.withWatermark(ts, watermark).filter(F.unix_micros(ts) <= last)
 
 
+def replay_whole(spark: SparkSession, path: str, ts: str = "ts", watermark: str = "0 seconds",
+                 closing_seconds: float = 3600.0, columns: Sequence[str] | None = None) -> DataFrame:
+    """Stream the parquet table at ``path`` (a folder or a pattern) in one micro-batch, closed as by :func:`replay_by_time`.
+
+    Spark's own file source reads the table, so it may lie in any store; no row is late, as all come at once. The mark
+    is a file of one row in the shared folder, read beside the table.
+    """
+    ship(spark)
+    stored = zoned(spark.read.parquet(path)).select(*(columns or ["*"]))
+    last = stored.agg(F.max(F.unix_micros(ts))).first()[0] or 0
+    mark = new_path(spark, "mark")
+    spark.range(1, numPartitions=1).select(*[
+        F.timestamp_micros(F.lit(last + round(closing_seconds * 1_000_000))).alias(ts) if f.name == ts
+        else F.lit(None).cast(f.dataType).alias(f.name) for f in stored.schema.fields]).write.parquet(mark)
+    rows = zoned(replay_events(spark, path, max_files_per_trigger=None)).select(*(columns or ["*"]))
+    both = rows.unionByName(replay_events(spark, mark, stored.schema, max_files_per_trigger=None))
+    return both.withWatermark(ts, watermark).filter(F.unix_micros(ts) <= last)
+
+
 def drain(query: StreamingQuery) -> StreamingQuery:
     """Let a query over recordings take all slices, then stop it."""
     try:

@@ -573,7 +573,11 @@ ORACLES |= {twin: ORACLES[name] for twin, name in (
 
 # Below its accuracy the sketch is exact: the smallest value that covers the share.
 ORACLES["latency_stats_approx"] = ORACLES["latency_stats_exact"].replace("quantile_cont", "quantile_disc")
-ORACLES["running_latency"] = ORACLES["latency_stats_approx"]
+ORACLES["running_latency"] = ORACLES["running_complete"] = ORACLES["latency_stats_approx"]
+ORACLES["predictions_csv"] = ORACLES["predictions_wide"]
+ORACLES["summary_csv"] = """
+SELECT event_type AS approach, round(epoch_us(max(ts)) / 1e6::DOUBLE - epoch_us(min(ts)) / 1e6::DOUBLE, 3) AS elapsed_sec,
+  (event_type = 'error')::INTEGER AS exit_code, count(*) AS stdout_lines FROM events GROUP BY event_type"""
 
 ORACLES |= {name: with_sql(USERS, SPLIT, "rv AS (SELECT r.* FROM r JOIN parts USING (series_id) WHERE split = 'test')",
                            W_VAL, FORECASTS, scored_sql(("ema",)), f"""

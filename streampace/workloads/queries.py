@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 
 import numpy as np
@@ -13,7 +14,7 @@ from streampace.operators import (
 )
 from streampace.sources.progress import progress_frame
 from streampace.sources.readers import read_results, replay_events
-from streampace.sources.replay import drain, replay_by_time
+from streampace.sources.replay import drain, replay_by_time, replay_whole
 from streampace.streaming import late, recommend, sinks
 from streampace.functions import intervals as fi
 from streampace.functions import messages as fm
@@ -458,6 +459,26 @@ def predictions_wide(spark, sf):
     return rounded(forecast.to_wide(scored_types(spark, sf), NAMES))
 
 
+@query
+def predictions_csv(spark, sf):
+    """The wide report written as CSV and read back."""
+    folder = b.scratch(spark, "csv")
+    sinks.write_predictions_csv(scored_types(spark, sf), folder, NAMES)
+    return rounded(spark.read.csv(folder, header=True, inferSchema=True).withColumn("step", F.col("step").cast("long")))
+
+
+@query
+def summary_csv(spark, sf):
+    """A run per event type: seconds it spans, whether it had errors, and its events, as CSV."""
+    folder = b.scratch(spark, "csv")
+    seconds = F.unix_micros("ts") / 1e6
+    runs = b.events(spark, sf).groupBy(F.col("event_type").alias("approach")).agg(
+        F.round(F.max(seconds) - F.min(seconds), 3).alias("elapsed_sec"),
+        F.max(F.when(F.col("event_type") == "error", 1).otherwise(0)).alias("exit_code"), F.count(F.lit(1)).alias("stdout_lines"))
+    sinks.write_summary_csv(runs, folder)
+    return spark.read.csv(folder, header=True, schema="approach string, elapsed_sec double, exit_code int, stdout_lines long")
+
+
 @query
 def stored_predictions(spark, sf):
     """Predictions without outcomes, joined to the series afterwards."""
@@ -696,13 +717,13 @@ def _finish(stream: DataFrame, spark: SparkSession, name: str, fmt: str = "parqu
 
 @query
 def stream_windowed_stats(spark, sf):
-    """A month of event time at a trigger; the closing mark closes the last window."""
-    recorded = replay_by_time(spark, f"{sf}/events.parquet", "ts", "5 seconds", 31 * b.DAY, 2 * b.HOUR, ["ts", "props"])
+    """The whole recording at one trigger; the closing mark closes the last window."""
+    recorded = replay_whole(spark, f"{sf}/events*.parquet", "ts", "5 seconds", 2 * b.HOUR, ["ts", "props"])
     timed = recorded.select(
         F.col("ts").alias("event_time"),
         F.get_json_object("props", "$.k").cast("int").alias("rate_target"))
     stats = events.windowed_stats(timed, "1 hour", watermark=None)
-    done = spark.read.parquet(_finish(stats, spark, "stats", trigger=None))
+    done = spark.read.parquet(_finish(stats, spark, "stats"))
     return rounded(micros(done, "window_start", "window_end"))
 
 
@@ -745,6 +766,17 @@ def late_reconciled(spark, sf):
         "window_start", "window_end", "events", (F.col("late") <= F.col("events")).alias("within"))
 
 
+@query
+def running_complete(spark, sf):
+    """Running statistics in complete mode, as a small table of the driver."""
+    rows = _replay(spark, sf).select(
+        F.get_json_object("props", "$.k").cast("int").alias("rate_target"),
+        fm.latency_ms(b.done_at(F.col("ts"), F.col("value")), fm.epoch_seconds(F.col("ts"))).alias("e2e_latency_ms"))
+    name = f"running_{uuid.uuid4().hex}"
+    sinks.to_memory(events.latency_stats(rows, exact=False), name, "complete", "available").awaitTermination()
+    return rounded(spark.table(name))
+
+
 @query
 def stream_latency_json(spark, sf):
     parsed = events.parse_messages(b.messages_of(_replay(spark, sf)).drop("process_ts"))

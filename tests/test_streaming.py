@@ -235,6 +235,13 @@ def test_a_recording_is_replayed_in_time_order_and_closed(spark, tmp_path, scatt
     assert sum(counted) == 501 and len(counted) == (1 if slice_seconds != 7 else 15)
 
 
+def test_a_whole_recording_is_closed(spark, tmp_path, scattered):
+    timed = replay.replay_whole(spark, scattered, "event_time", "1 second", 10)
+    _, out = run(events.windowed_stats(timed, "4 seconds", watermark=None), tmp_path, "whole")
+    batch = events.windowed_stats(spark.read.parquet(scattered).filter("event_time IS NOT NULL"), "4 seconds", watermark=None)
+    assert sorted(map(tuple, spark.read.parquet(out).collect())) == sorted(map(tuple, batch.collect()))
+
+
 def test_a_replay_goes_on_from_its_checkpoint(spark, tmp_path, scattered):
     def start():
         timed = replay.replay_by_time(spark, scattered, "event_time", "1 second", 7, 10)
