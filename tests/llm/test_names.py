@@ -21,7 +21,8 @@ def docs(spark):
     lambda d: language_id.drop_undetermined(d, language_id.learn(d)), simhash.near_duplicates])
 def test_clashing_columns_come_back(docs, stage):
     found = stage(docs)
-    assert [c for c in found.columns if c in docs.columns] == docs.columns
+    left_out = ["text"] if stage is simhash.near_duplicates else []
+    assert [c for c in found.columns if c in docs.columns] == [c for c in docs.columns if c not in left_out]
     for r in found.collect():
         assert all(r[c] == f"{c}{r.doc_id}" for c in CLASHES)
     assert found.count() >= 2 and corpus_pipeline.STAGES
