@@ -8,7 +8,8 @@ reach the bound are verified by an alignment of the whole passage within the ban
 Texts are compared in lower case with white space collapsed. The edit budget is a share of the passage,
 lowered for short ones until the bound is at least one; passages shorter than q are matched exactly.
 Null or empty passages occur nowhere, null texts hold nothing. Texts of any length are searched whole.
-Of equal passages each is reported. Repeated rows are reported once each, empty tables give no match.
+Of equal passages each is reported. Repeated rows are reported once each, empty tables give no match. Columns are
+taken by name; documents without a match keep all their columns, whatever their names.
 
 The passages are sent to all tasks in parts of at most ``PART`` characters, one pass over the documents
 for each part, so a benchmark of any size can be searched.

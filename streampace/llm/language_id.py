@@ -7,7 +7,8 @@ penalty (half the logarithm of the independent observations, a third of the over
 
 The model has ``GRAMS`` x languages entries whatever the size of the input. Null texts and texts
 without a letter are undetermined (``und``, score 0); so is every text if nothing was learned. Texts of
-any length are read whole. Equal likelihoods prefer the language that sorts first.
+any length are read whole. Equal likelihoods prefer the language that sorts first. Repeated rows are judged one by
+one, columns may have any names, and an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -11,8 +11,9 @@ shards are disjoint, and orders them by another hash.
 
 Permutations are hashes of the seed, the id and the text, so reruns agree whatever the partitioning.
 Sources sort by code point with null last. Null and wordless texts have size 0 and nothing is taken of
-them; if no words remain all targets are 0. Repeated rows are documents of their own. An empty table
-gives an empty result.
+them; if no words remain all targets are 0. Repeated rows are documents of their own. Texts of any length
+are measured whole. Columns are taken by name; whole documents come back with all their columns, whatever their
+names. An empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -79,7 +79,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
     fields = ("doc_id", "source", "lang", "n_chars", "text")
-    changed = merkle.leaf([F.col(f) + 1 if f == "n_chars" else F.col(f) for f in fields])
+    changed = merkle.leaf([F.col(f).cast("long") + 1 if f == "n_chars" else F.col(f) for f in fields])
     tampered = F.when(fold_of("doc_id", 7) == 0, changed)
     found = merkle.proofs(docs, fields, "lang", "doc_id", {"tampered": tampered})
     return found.select(

@@ -11,7 +11,8 @@ is its quota of rows less its linked rows, so no quota is ever exceeded. Unlinke
 shard up to its quota. Row counts differ by one at most.
 
 Null texts are linked with one another and have size 8 and no checksum. Null ids are allowed and repeated
-rows are placed one by one. An empty table gives an empty result. Only DataFrame operations are used.
+rows are placed one by one. Texts of any length count by their bytes. Columns may have any names; ``shard`` and
+``slot`` are replaced. An empty table gives an empty result. Only DataFrame operations are used.
 """
 
 from __future__ import annotations

@@ -12,7 +12,8 @@ linear work.
 
 The search runs on distinct fingerprints, so copies cost nothing. Null and empty texts have fingerprint
 zero and are linked like others. Null ids count as the largest; a component of null ids has a null
-component. Repeated rows come back one by one, an empty table gives an empty result.
+component. Repeated rows come back one by one, an empty table gives an empty result. Texts of any length are read
+whole. Other columns may have any names; those called like a column of the result are replaced.
 """
 
 from __future__ import annotations

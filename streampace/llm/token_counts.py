@@ -6,7 +6,8 @@ of a text is the sum over its segments. Segments unknown to the worker are encod
 their lengths are kept, and the batches are cut by bytes.
 
 Null and empty texts have no tokens. A segment of any length is encoded as one. Repeated rows are
-counted one by one, an empty table gives an empty result, and other columns pass through untouched.
+counted one by one, an empty table gives an empty result, and other columns pass through untouched. Columns called
+like those of the result are replaced.
 """
 
 from __future__ import annotations

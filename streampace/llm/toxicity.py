@@ -9,7 +9,8 @@ weights of the patterns are fitted to the labels, so the data decide how much a
 
 Null and empty texts match nothing and get the base rate's score. Labels of null count as none; if no row
 is labelled, or only one class is, no word is learned and threats alone decide. Long texts are read
-whole; repeated rows are scored one by one. Scores depend on the text only.
+whole; repeated rows are scored one by one. Scores depend on the text only; columns are taken by name, others do not
+matter. An empty table gives an empty result, and one without labels a model that learned nothing.
 
 ``SAMPLE`` labelled rows, those with the smallest hashes of the id, bound what is learned from.
 """

@@ -2,9 +2,9 @@
 
 Records are written with Spark's text writer, one row per record, with the record terminator of the format
 as line separator and compressed; so files are committed like any other output and survive lost
-executors. A file holds at most ``FILE_RECORDS`` records of a task. Archives are read as a stream from each
-file and parsed by the lengths in their headers, so payloads may hold anything and one record is in
-memory at a time; the digest of every payload is verified.
+executors. A file holds at most ``FILE_RECORDS`` records of a task. A file is read as one compressed value, which
+must be smaller than 2 GB, and unpacked as a stream that is parsed by the lengths in the headers, so payloads may hold
+anything; the digest of every payload is verified.
 
 Revisit resolution reads only headers: they are shuffled by payload digest, the first page of each
 payload is its response, and the others become revisit records that name it. Fresh archives then hold
@@ -12,7 +12,8 @@ every payload once.
 
 A null payload is empty, a null url an empty target. Payloads under ``LEAST`` bytes are always responses.
 Of repeated rows of the first page one is the response; null ids come last. The payload of a revisit is
-found through its digest. An empty table gives archives without records and an empty result.
+found through its digest. Payloads of any length are stored whole. Columns are taken by name; others do not matter
+and are not archived. An empty table gives archives without records and an empty result.
 """
 
 from __future__ import annotations
