@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from streampace.functions import rates
 from streampace.plans import chunks
 from streampace.plans.chunks import CHUNK, CHUNK_SIZE
-from streampace.plans.durable import BROADCAST_BYTES, BROADCAST_ROWS, broadcast_if_small, durable
+from streampace.plans.durable import BROADCAST_BYTES, BROADCAST_ROWS, broadcast_if_small, durable, stored_bytes
 from streampace.plans.quantiles import exact_quantiles
 from streampace.plans.ranks import dense_index
 
@@ -248,15 +248,22 @@ def with_split(series: DataFrame, train: float = 0.70, validation: float = 0.15,
     Whole series go to one side, so no window of a test series is ever seen in training. ``ids`` may
     give the column ``series_id`` from a cheaper table than ``series``.
     """
-    index = dense_index(series if ids is None else ids, "series_id", "_index")
+    named = durable((series if ids is None else ids).select("series_id").filter("series_id IS NOT NULL").distinct(), "ids")
+    few = stored_bytes(named) <= BROADCAST_BYTES and named.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+
+    def sides(index: DataFrame, count: Column) -> DataFrame:
+        n_train, n_val = F.floor(count * F.lit(train)), F.floor(count * F.lit(validation))
+        side = F.when(F.col("_index") < n_train, "train").when(F.col("_index") < n_train + n_val, "val").otherwise("test")
+        return index.select("series_id", side.alias("split"))
+
+    if few:     # as many rows as a broadcast may have: one task numbers them
+        whole = Window.partitionBy(F.lit(0))
+        numbered = named.withColumns({"_index": F.row_number().over(whole.orderBy("series_id")) - 1,
+                                      "_count": F.count(F.lit(1)).over(whole)})
+        return series.join(F.broadcast(sides(numbered, F.col("_count"))), "series_id")
+    index = dense_index(named, "series_id", "_index")
     count = index.agg(F.count(F.lit(1)).alias("n")).select("n").scalar()
-    n_train = F.floor(count * F.lit(train))
-    n_val = F.floor(count * F.lit(validation))
-    parts = durable(index.select(
-        "series_id",
-        F.when(F.col("_index") < n_train, "train")
-        .when(F.col("_index") < n_train + n_val, "val").otherwise("test").alias("split")), "parts")
-    return series.join(broadcast_if_small(parts), "series_id")
+    return series.join(broadcast_if_small(durable(sides(index, count), "parts")), "series_id")
 
 
 def recent(df: DataFrame, k: int, keys: Sequence[str] = ("series_id",),

@@ -167,3 +167,13 @@ def test_schedule_with_a_hot_time_and_many_entries(spark):
     assert "ranges-" in text and "NestedLoop" not in text
     held = [r["count"] for r in spark.read.parquet(re.search(r"file:(\S*ranges-[0-9a-f]+)", text)[1]).groupBy("_range").count().collect()]
     assert len(held) == 9 and max(held) < 2 * sum(held) / 9
+
+
+def test_sides_of_many_series_equal_those_of_few(spark, make_series, monkeypatch):
+    df = make_series({f"s{i:03d}": [1, 2] for i in range(41)})
+    few = sorted(map(tuple, series.with_split(df, 0.5, 0.3).select("series_id", "step", "split").collect()))
+    monkeypatch.setattr(series, "BROADCAST_ROWS", 3)
+    many = series.with_split(df, 0.5, 0.3)
+    assert sorted(map(tuple, many.select("series_id", "step", "split").collect())) == few
+    count = {s: sum(r[2] == s for r in few) for s in ("train", "val", "test")}
+    assert count == {"train": 40, "val": 24, "test": 18}
