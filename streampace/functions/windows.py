@@ -134,6 +134,11 @@ def dot(values: Column, weights: np.ndarray, constant: float) -> Column:
     return _on_full_windows(len(weights), None, lambda rows: rows @ weights + constant)(values)
 
 
+def mapped(values: Column, k: int, compute: Callable[[np.ndarray], np.ndarray]) -> Column:
+    """``compute`` of the matrix of all arrays that have ``k`` values, one number for each; else null."""
+    return _on_full_windows(k, None, compute)(values)
+
+
 def dispersion_confidence(forecasts: list[Column]) -> Column:
     """1 / (1 + 10 s) in [0, 1], where s is the population deviation of normalised forecasts."""
     n = float(len(forecasts))

@@ -1,4 +1,4 @@
-"""Forecasters fitted on supervised windows with Spark ML.
+"""Forecasters fitted on supervised windows, as Spark ML pipelines.
 
 Models read the row that ``with_window`` makes and predict in the window's normalised space. Training
 is distributed: only coefficients or tree nodes pass through the driver.
@@ -8,10 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml import Pipeline, PipelineModel, Transformer
-from pyspark.ml.functions import array_to_vector, vector_to_array
+import numpy as np
+from pyspark.ml import PipelineModel, Transformer
+from pyspark.ml.functions import array_to_vector
 from pyspark.ml.param import Param, Params, TypeConverters
-from pyspark.ml.regression import GBTRegressor
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,7 +19,7 @@ from pyspark.sql.utils import AnalysisException
 
 from streampace.functions import windows as fw
 from streampace.operators import features as feat
-from streampace.operators import huber
+from streampace.operators import boost, huber
 from streampace.operators.features import K
 from streampace.operators.forecast import Forecaster
 from streampace.operators.score import error_report, score
@@ -45,10 +45,9 @@ class WindowFeatures(Transformer, DefaultParamsReadable, DefaultParamsWritable):
         rows = dataset
         if "norm" not in rows.columns:
             rows = feat.with_norm(rows)
-        matrices = {"trend": fw.trend_residual_matrix, "spectral": lambda n: fw.low_frequency_matrix(n, SPECTRUM)}
         array = F.col("norm")
-        if kind in matrices:
-            array = fw.linear_map(array, matrices[kind](k))
+        if kind != "flat":
+            array = fw.linear_map(array, _matrix(kind, k))
         if self.getOrDefault(self.lag):
             if "lag_norm" not in rows.columns:
                 rows = feat.with_lag_norm(rows)
@@ -56,6 +55,13 @@ class WindowFeatures(Transformer, DefaultParamsReadable, DefaultParamsWritable):
         return rows.withColumn("features", array_to_vector(array))
 
 
+def _matrix(kind: str, k: int) -> np.ndarray:
+    """The linear map of a normalised window that makes the features of ``kind``."""
+    if kind == "trend":
+        return fw.trend_residual_matrix(k)
+    return fw.low_frequency_matrix(k, SPECTRUM) if kind == "spectral" else np.eye(k)
+
+
 SPECTRUM = 10     # frequencies that ``low_frequency_matrix`` keeps
 
 # Least scale of a label, in units of the rate. A window of zeros has scale 1e-8; the rate that ends such
@@ -68,25 +74,25 @@ def samples(series: DataFrame, k: int = K, lag: bool = False, least_scale: float
 
     Labels are bounded by ``least_scale``; every row is kept, and forecasts are scaled as ever.
     """
-    rows = feat.supervised(series, k, use_lag=lag).withColumn("label", (F.col("rate") - F.col("mu")) / F.greatest(
+    return feat.normal_windows(series, k, lag).withColumn("label", (F.col("rate") - F.col("mu")) / F.greatest(
         F.col("scale"), F.lit(float(least_scale))))
-    if lag:
-        return rows.withColumns({
-            "norm": F.col("features.rate"), "lag_norm": F.col("features.lag")}).drop("features")
-    return rows.withColumnRenamed("features", "norm")
 
 
-def _fit(name: str, train: DataFrame, kind: str, estimator, k: int, lag: bool) -> Forecaster:
-    used = ["norm", "label"] + (["lag_norm"] if lag else [])
-    model = Pipeline(stages=[WindowFeatures(kind, k, lag), estimator]).fit(train.select(*used))
-    return Forecaster(name, model=model)
+def _inputs(train: DataFrame, lag: bool) -> DataFrame:
+    """``features, label``: the normalised window, and with ``lag`` the lag window after it."""
+    array = F.concat("norm", "lag_norm") if lag else F.col("norm")
+    return train.select(array.alias("features"), "label")
 
 
 def _fit_huber(name: str, train: DataFrame, kind: str, k: int, lag: bool, delta: float, max_iter: int) -> Forecaster:
     made = WindowFeatures(kind, k, lag)
-    rows = made.transform(train).select(vector_to_array("features").alias("features"), "label")
-    width = {"flat": k, "trend": 2 * k, "spectral": 2 * min(SPECTRUM, k // 2 + 1)}[kind] + (k if lag else 0)
-    beta, _ = huber.fit(rows, width, delta, max_iter=max_iter)
+    # The features are a linear map of the windows, so only the windows are stored and summed up.
+    matrix = _matrix(kind, k)
+    basis = np.zeros((len(matrix) + k * lag, k + k * lag))
+    basis[:len(matrix), :k] = matrix
+    if lag:
+        basis[len(matrix):, k:] = np.eye(k)
+    beta, _ = huber.fit(_inputs(train, lag), len(basis), delta, max_iter=max_iter, basis=basis)
     return Forecaster(name, model=PipelineModel([made, huber.LinearMap(beta[:-1].tolist(), float(beta[-1]))]))
 
 
@@ -104,9 +110,9 @@ def fit_spectral(train: DataFrame, name: str = "spectral_linear", k: int = K, la
 
 def fit_window_trees(train: DataFrame, name: str = "window_trees", k: int = K, lag: bool = False,
                      max_iter: int = 10, max_depth: int = 4, seed: int = 42) -> Forecaster:
-    """A nonlinear map of the flat window: boosted trees."""
-    trees = GBTRegressor(maxIter=max_iter, maxDepth=max_depth, seed=seed, lossType="absolute")
-    return _fit(name, train, "flat", trees, k, lag)
+    """A nonlinear map of the flat window: boosted trees under the absolute loss."""
+    trees = boost.fit(_inputs(train, lag), k + k * lag, max_iter, max_depth, seed=seed)
+    return Forecaster(name, model=PipelineModel([WindowFeatures("flat", k, lag), boost.BoostedTrees(trees, k + k * lag)]))
 
 
 def validation_report(validation: DataFrame, models: Sequence[Forecaster]) -> DataFrame:

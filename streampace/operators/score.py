@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ from streampace.functions import rates
 from streampace.plans import chunks
 from streampace.plans.chunks import CHUNK_SIZE
 from streampace.plans.quantiles import exact_quantiles
+from streampace.session import ship
 
 
 def score(predictions: DataFrame, ties: str = "two_way") -> DataFrame:
@@ -86,11 +89,39 @@ def rolling_report(scored: DataFrame, n: int = 50, size: int = CHUNK_SIZE) -> Da
     }), size)
 
 
+def _newest(n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of the rows of a task, the last ``n`` of each model."""
+    order = [("series_id", "descending"), ("step", "descending")]
+
+    def top(rows: pa.Table) -> pa.Array:
+        if rows["series_id"].null_count or rows["step"].null_count:     # which a selection would leave out
+            return pc.sort_indices(rows, order, null_placement="at_end")[:n]
+        return pc.select_k_unstable(rows, n, order)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: dict[str | None, pa.Table] = {}
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            for model in rows["model"].unique():
+                its = pc.is_null(rows["model"]) if model.as_py() is None else pc.equal(rows["model"], model)
+                name, part = model.as_py(), rows.filter(pc.fill_null(its, False))
+                both = pa.concat_tables([kept[name], part]) if name in kept else part
+                # The rows are taken together so that no kept row holds on to its batch.
+                kept[name] = both.take(top(both)).combine_chunks()
+        for part in kept.values():
+            yield from part.to_batches()
+    return run
+
+
 def rolling_latest(scored: DataFrame, n: int = 50) -> DataFrame:
     """MAE and direction accuracy of each model over its last ``n`` scores of all series, in
-    ``(series_id, step)`` order. Only ``n`` rows per task and model are shuffled."""
+    ``(series_id, step)`` order. Nothing is sorted as a whole: each task keeps ``n`` rows per model, and only
+    these are shuffled."""
+    ship(scored.sparkSession)
+    rows = scored.select("model", "series_id", "step", "abs_err", "dir_ok")
     newest = Window.partitionBy("model").orderBy(F.desc("series_id"), F.desc("step"))
-    last = scored.withColumn("_rank", F.row_number().over(newest)).filter(F.col("_rank") <= n)
+    last = rows.mapInArrow(_newest(n), rows.schema).withColumn(
+        "_rank", F.row_number().over(newest)).filter(F.col("_rank") <= n)
     return last.groupBy("model").agg(
         F.avg("abs_err").alias("mae"), (F.avg("dir_ok") * 100).alias("dir_acc"),
         F.count(F.lit(1)).alias("n"))

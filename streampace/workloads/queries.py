@@ -495,7 +495,7 @@ def _learned(spark, sf, fit):
     to repeat, so of the learned model only its sanity is shown: as many forecasts as the average has,
     all finite and not negative, with at most twice its error."""
     split = durable(b.split_users(spark, sf))
-    model = fit(learn.samples(split).filter(F.col("split") == "train"))
+    model = fit(learn.samples(split.filter(F.col("split") == "train")))
     wide = forecast.forecasts(split.filter(F.col("split") == "test"), [model, "ema"])
     scored = score.score(forecast.to_long(wide, [model.name, "ema"]))
     report = scored.groupBy("model").agg(
@@ -510,7 +510,7 @@ def _learned(spark, sf, fit):
 @query
 def huber_sums(spark, sf):
     """Weighted normal equations of the first round of a Huber fit to the train series: window rates, constant, label."""
-    rows = learn.samples(b.split_users(spark, sf)).filter(F.col("split") == "train")
+    rows = learn.samples(b.split_users(spark, sf).filter(F.col("split") == "train"))
     sums = huber.normal_sums(rows.withColumnRenamed("norm", "features"), np.zeros(features.K + 1))
     return rounded(sums, 3)
 

@@ -2,8 +2,12 @@
 
 import numpy as np
 import pytest
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.regression import GBTRegressor
+from pyspark.sql import functions as F
 
-from streampace.operators import features, forecast, huber, learn
+from streampace.operators import boost, features, forecast, huber, learn
+from streampace.plans.durable import durable
 
 K = 30
 
@@ -85,3 +89,68 @@ def test_learned_forecasts_equal_those_of_a_loop(waves, fit, kind, lag):
     assert [r.prediction for r in got] == pytest.approx(x @ beta[:-1] + beta[-1], abs=1e-4)
     report = learn.validation_report(rows, [model]).collect()[0]
     assert report["mae"] == pytest.approx(np.abs(y - x @ beta[:-1] - beta[-1]).mean(), abs=1e-4)
+
+
+def test_samples_equal_the_supervised_windows(spark, waves):
+    """Arrays cut from batches against Spark's frames: chunks with halos, few rows a batch, nulls, short and quiet series."""
+    rows = [("null", t, None if t % 40 == 7 else float(t % 5), float(t)) for t in range(100)]
+    rows += [("short", t, 1.0, 1.0) for t in range(K)] + [("quiet", t, 0.0, 2.0) for t in range(50)]
+    series = waves.unionByName(spark.createDataFrame(rows, waves.schema)).withColumn("split", F.lit("train"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 17)
+    try:
+        for size, held in ((1 << 16, 1), (32, 4096)):
+            old, features.ROWS = features.ROWS, held
+            got = features.normal_windows(series, K, True, size).collect()
+            features.ROWS = old
+            want = {(r.series_id, r.step): r for r in features.supervised(series, K, True, size).collect()}
+            assert len(got) == len(want) and {(r.series_id, r.step) for r in got} == set(want)
+            for r in got:
+                w = want[r.series_id, r.step]
+                assert (r.rate, r.lag, r.split) == (w.rate, w.lag, w.split)
+                assert [r.mu, r.scale, *r.norm, *r.lag_norm] == pytest.approx(
+                    [w.mu, w.scale, *[x.rate for x in w.features], *[x.lag for x in w.features]], abs=1e-9)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_boosted_trees_equal_those_of_spark(spark, tmp_path):
+    """Few values a feature, so both have the same bounds; and no row is dropped."""
+    rng = np.random.default_rng(11)
+    x = rng.integers(0, 9, (4000, 4)).astype(float)
+    y = x[:, 0] * 3 + np.where(x[:, 1] > 4, 10, 0) * x[:, 2] + rng.normal(scale=0.5, size=4000)
+    rows = spark.createDataFrame([(a.tolist(), float(b)) for a, b in zip(x, y)] + [([0.0] * 4, None)],
+                                 "features array<double>, label double").repartition(5).cache()
+    trees = boost.fit(rows, 4, 5, 3)
+    vectors = rows.withColumn("features", array_to_vector("features"))
+    theirs = GBTRegressor(maxIter=5, maxDepth=3, lossType="absolute").fit(vectors.filter("label is not null"))
+    mine = boost.BoostedTrees(trees, 4)
+    mine.write().overwrite().save(str(tmp_path / "trees"))
+    for model in (mine, boost.BoostedTrees.load(str(tmp_path / "trees"))):
+        both = model.transform(vectors).withColumnRenamed("prediction", "mine")
+        both = theirs.transform(both).filter("label is not null")
+        assert both.filter("abs(mine - prediction) > 1e-9").count() == 0
+    doubles = huber.packed(rows.filter("label is not null"))
+    stored = boost.binned(doubles, boost.bounds_of(doubles, 4, 1))
+    seen = boost.histograms(stored, 4, [], [], []).agg(F.sum("n"), F.sum("total")).first()
+    assert seen[0] == 4 * 4000 and seen[1] == pytest.approx(4 * y.sum())
+
+
+def test_continuous_features_get_bins(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(3000, 2))
+    y = np.sign(x[:, 0]) * 5 + x[:, 1]
+    rows = spark.createDataFrame([(a.tolist(), float(b)) for a, b in zip(x, y)], "features array<double>, label double")
+    bounds = boost.bounds_of(huber.packed(rows), 2, 1)
+    assert all(len(b) == boost.BINS - 1 for b in bounds)
+    trees = boost.fit(rows, 2, 3, 3)
+    assert np.abs(boost.value_of(np.ascontiguousarray(x.T), trees) - y).mean() < 1
+    with pytest.raises(ValueError):
+        boost.fit(rows.limit(0), 2)
+
+
+def test_fits_store_no_derived_features(spark, waves, monkeypatch):
+    stored = []
+    monkeypatch.setattr(huber, "durable", lambda df, name: stored.append(durable(df, name)) or stored[-1])
+    learn.fit_trend_linear(learn.samples(waves), max_iter=2)
+    assert stored[0].columns == ["packed"]
+    assert stored[0].agg(F.sum(F.octet_length("packed"))).first()[0] == 6 * (90 - K) * (K + 1) * 8

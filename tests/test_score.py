@@ -125,3 +125,16 @@ def test_next_rate_is_scored_to_the_last_point(make_series):
     wide = forecast.forecasts(make_series({"a": range(35)}), ["last"], 30)
     assert sorted(r["step"] for r in wide.collect()) == [29, 30, 31, 32, 33]
     assert series.with_next(make_series({"a": [1, 2]})).count() == 2
+
+
+def test_latest_scores_sort_no_table(spark):
+    """Each task keeps its newest rows; null names and ids keep their places, and no sort comes before that."""
+    rows = [(m, s, t, float(t % 9), t % 2) for m in ("a", None) for s in ("x", "y", None, "z") for t in range(40)]
+    rows += [("few", "q", t, 1.0, 1) for t in range(3)]
+    df = spark.createDataFrame(rows, "model string, series_id string, step long, abs_err double, dir_ok int").repartition(7)
+    got = {r["model"]: (r["mae"], r["n"]) for r in score.rolling_latest(df, 130).collect()}
+    want = sorted([r for r in rows if r[0] == "a"], key=lambda r: (r[1] is not None, r[1] or "", r[2]))[-130:]
+    mae = sum(r[3] for r in want) / 130
+    assert got == {"a": (mae, 130), None: (mae, 130), "few": (1.0, 3)}
+    plan = score.rolling_latest(df, 5)._jdf.queryExecution().executedPlan().toString()
+    assert "Sort" not in plan[plan.index("MapInArrow"):]
