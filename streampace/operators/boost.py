@@ -153,12 +153,18 @@ def histograms(stored: DataFrame, width: int, trees: Sequence[Tree], feature: Se
                 data = rows[start:start + ROWS]
                 columns = np.ascontiguousarray(data[:, :width].T)
                 label = np.ascontiguousarray(data[:, width:]).view(np.float64)[:, 0]
-                target = np.where(label - value_of(columns, trees) < 0, -1.0, 1.0) if trees else label
-                base = leaf_of(columns, feature, bound).astype(np.intp) * BINS
+                node = leaf_of(columns, feature, bound).astype(np.intp)
+                if trees:       # targets are signs, which are counted as two sides of a node
+                    base = (node * 2 + ~(label - value_of(columns, trees) < 0)) * BINS
+                    for i in range(width):
+                        sides = np.bincount(base + columns[i], minlength=nodes * 2 * BINS).reshape(nodes, 2, BINS)
+                        n[i] += sides.sum(1).ravel()
+                        total[i] += (sides[:, 1] - sides[:, 0]).ravel()
+                    continue
                 for i in range(width):
-                    at = base + columns[i]
+                    at = node * BINS + columns[i]
                     n[i] += np.bincount(at, minlength=nodes * BINS)
-                    total[i] += np.bincount(at, target, nodes * BINS)
+                    total[i] += np.bincount(at, label, nodes * BINS)
         n, total = (x.reshape(width, nodes, BINS).swapaxes(0, 1).ravel() for x in (n, total))
         some = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some]), pa.array(total[some])], names=["cell", "n", "total"])

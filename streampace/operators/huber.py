@@ -88,13 +88,13 @@ def fit(rows: DataFrame, features: int, delta: float = 1.0, reg: float = 1e-6, m
         tolerance: float = 1e-6, basis: np.ndarray | None = None) -> tuple[np.ndarray, float]:
     """Coefficients (the constant last) and mean loss over ``rows(features array, label)``.
 
-    With ``basis``, a matrix of ``features`` rows, the features are ``basis`` times the array of a row.
+    ``rows`` may be stored :func:`packed` rows, which are read as they are. With ``basis``, a matrix of ``features`` rows, the features are ``basis`` times the array of a row.
 
     ``reg`` is a ridge per row on all but the constant, which makes collinear features share their weight.
     Rows without a label are left out.
     """
     ship(rows.sparkSession)
-    stored = durable(packed(rows.filter(F.col("label").isNotNull())), "samples")
+    stored = rows if rows.columns == ["packed"] else durable(packed(rows.filter(F.col("label").isNotNull())), "samples")
     basis = np.eye(features) if basis is None else basis
     lift = np.zeros((features + 2, basis.shape[1] + 2))      # constant and label stay what they are
     lift[:features, :-2], lift[-2, -2], lift[-1, -1] = basis, 1.0, 1.0

@@ -23,6 +23,7 @@ from streampace.operators import boost, huber
 from streampace.operators.features import K
 from streampace.operators.forecast import Forecaster
 from streampace.operators.score import error_report, score
+from streampace.plans.durable import durable
 
 
 class WindowFeatures(Transformer, DefaultParamsReadable, DefaultParamsWritable):
@@ -79,11 +80,18 @@ def samples(series: DataFrame, k: int = K, lag: bool = False, least_scale: float
 
 
 def _inputs(train: DataFrame, lag: bool) -> DataFrame:
-    """``features, label``: the normalised window, and with ``lag`` the lag window after it."""
+    """``features, label``: the normalised window, and with ``lag`` the lag window after it. What :func:`stored` gave stays."""
+    if train.columns == ["packed"]:
+        return train
     array = F.concat("norm", "lag_norm") if lag else F.col("norm")
     return train.select(array.alias("features"), "label")
 
 
+def stored(train: DataFrame, lag: bool = False) -> DataFrame:
+    """Samples stored once for several linear fits, which must have the same ``lag``."""
+    return durable(huber.packed(_inputs(train, lag).filter(F.col("label").isNotNull())), "samples")
+
+
 def _fit_huber(name: str, train: DataFrame, kind: str, k: int, lag: bool, delta: float, max_iter: int) -> Forecaster:
     made = WindowFeatures(kind, k, lag)
     # The features are a linear map of the windows, so only the windows are stored and summed up.

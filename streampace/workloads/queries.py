@@ -525,7 +525,7 @@ def extended_models(spark, sf):
     """Learned models, baselines and ensembles of the learned ones on the test series. The errors of a fit are no engine's
     to repeat, so of ensembles it is shown that they are their members' weighted means, in every row."""
     split = durable(b.split_users(spark, sf))
-    train = learn.samples(split.filter(F.col("split") == "train"))
+    train = learn.stored(learn.samples(split.filter(F.col("split") == "train")))
     fitted = [learn.fit_trend_linear(train, "tide"), learn.fit_spectral(train, "tcn"),
               learn.fit_trend_linear(train, "gru", delta=0.2)]
     names = [m.name for m in fitted]

@@ -154,3 +154,12 @@ def test_fits_store_no_derived_features(spark, waves, monkeypatch):
     learn.fit_trend_linear(learn.samples(waves), max_iter=2)
     assert stored[0].columns == ["packed"]
     assert stored[0].agg(F.sum(F.octet_length("packed"))).first()[0] == 6 * (90 - K) * (K + 1) * 8
+
+
+def test_samples_stored_once_give_the_same_fit(waves, monkeypatch):
+    samples = learn.samples(waves)
+    kept = learn.stored(samples)
+    first = learn.fit_trend_linear(samples, max_iter=5).model.stages[-1]
+    monkeypatch.setattr(huber, "durable", None)      # nothing is stored again
+    again = learn.fit_trend_linear(kept, max_iter=5).model.stages[-1]
+    assert again.getOrDefault(again.coefficients) == pytest.approx(first.getOrDefault(first.coefficients), abs=1e-9)
